@@ -5,18 +5,94 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from adlint_spark.llm.common import LOWER, UPPER, table
+from adlint_spark.llm.fingerprint import edited_fingerprints
+from adlint_spark.llm.mixing import mixed
 from adlint_spark.llm.neardup import near_duplicates
+from adlint_spark.llm.sharding import shard_documents
+from adlint_spark.llm.urlfilter import filter_urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_WORD}')"
 
 
+SHARDS = 24
+MIX_WEIGHTS = (1, 2, 3)
+MIX_MOST = 3
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+
+
+def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST)
+    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _shard_sql(shards: int) -> str:
+    """The last of the highest-scoring shards, as ties go to the larger number; equal weights leave the largest u."""
+    scores = ", ".join(f"{{'s': 1.0 / -ln((('0x' || substr(md5(k || '/{i}'), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}), 'i': {i}}}" for i in range(shards))
+    return f"list_max([{scores}]).i"
+
+
+OP4_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                 lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, (coalesce(strlen(text), 0) + 8)::BIGINT AS size, CASE WHEN text IS NOT NULL THEN
+          xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT)),
+              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS text_crc32
+      FROM documents, crc),
+s AS (SELECT *, {_shard_sql(SHARDS)} AS shard, {_shard_sql(SHARDS + 1)} AS grown_shard,
+             ('0x' || substr(md5(k || '/' || coalesce(text_crc32::VARCHAR, '')), 20, 8))::BIGINT % 64 AS slice FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s
+"""
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5('1/' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM d GROUP BY source),
+w AS (SELECT *, [1, 2, 3][((nth - 1) % 3 + 1)::INT] AS weight FROM s),
+-- sources that the level of all the others would put above their cap leave, round by round
+fill AS (SELECT 0 AS round, nth, weight, 3 * source_size AS cap, false AS capped, sum(source_size) OVER () / sum(weight) OVER () AS level FROM w
+         UNION ALL
+         SELECT round + 1, nth, weight, cap, out, level_next FROM (
+             SELECT *, (sum(cap) FILTER (out) OVER ()) AS caps, (sum(cap) OVER () / 3 - coalesce(sum(cap) FILTER (out) OVER (), 0)) / nullif(sum(weight) FILTER (NOT out) OVER (), 0) AS level_next
+             FROM (SELECT *, capped OR cap <= level * weight AS out FROM fill)) WHERE round < (SELECT count(*) FROM w)),
+t AS (SELECT nth, (CASE WHEN capped THEN cap ELSE level * weight END)::DOUBLE AS target FROM fill WHERE round = (SELECT count(*) FROM w)),
+r AS (SELECT w.source, w.source_size, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+             ('0x' || substr(md5('1/' || coalesce(source, '')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} AS u FROM w JOIN t USING (nth)),
+c AS (SELECT *, ('0x' || substr(o, 1, 8))::BIGINT % 64 AS slice, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) * 16 +
+          CASE WHEN length(bin(size)) > 3 THEN (size * 8) >> (length(bin(size)) - 1)::INT ELSE size * 8 END END AS class FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, slice, size, o, doc_id) AS n FROM c)
+SELECT p.doc_id, p.size, r.source_size, r.target, (floor(u + rate * n) - floor(u + rate * (n - 1)))::BIGINT * p.size AS taken
+FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
+"""
+
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(verdict, h, start) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+best AS (SELECT page_id, host, path, arg_max(h || start, length(h || start)) AS rule, arg_max(verdict, length(h || start)) AS verdict
+         FROM (SELECT DISTINCT * FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+FROM p LEFT JOIN best b ON p.page_id = b.page_id AND p.host = b.host AND p.path = b.path
+"""
+
 OP7_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s
@@ -38,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minmax_neardup": OP7_SQL}
+    return {"op4_rendezvous_shards": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op6_bloom_cascade": OP6_SQL, "op7_minmax_neardup": OP7_SQL}
