@@ -9,42 +9,48 @@ from pyspark.sql import functions as F
 from adlint_spark.llm.common import words
 
 #: Bits of the hash value that stay beside the bin number while minima are searched.
-VALUE_BITS = 48
+VALUE_BITS = 48  # a value has 47, which leaves the largest number for a mark
 
 
 def shingle_hashes(w: Column, width: int) -> Column:
     """Hashes of the runs of ``width`` words of an array column; of the whole sequence if it is shorter; none without words."""
-    last = F.greatest(F.size(w) - width + 1, F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " ")))
+    last = F.greatest(F.size(w) - width, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))
     return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(runs)
 
 
-def bin_minima(hashes: Column, bins: int) -> Column:
-    """array<long>: for each bin that a shingle falls in, ``bin << VALUE_BITS | least value``, by bin.
+def binned(hashes: Column, bins: int) -> Column:
+    """The hashes as ``bin << VALUE_BITS | value`` in order, and after each bin's values a mark, the largest value.
 
-    Each shingle is hashed once: the hash picks bin and value. Sorting puts the least value of a bin first.
+    Each shingle is hashed once: the hash picks bin and value.
     """
-    packed = F.transform(hashes, lambda h: F.shiftleft(F.pmod(h, F.lit(bins)), VALUE_BITS) + F.shiftrightunsigned(h, 64 - VALUE_BITS))
-    return F.sort_array(packed)
+    packed = F.transform(hashes, lambda h: F.shiftleft(F.pmod(h, F.lit(bins)), VALUE_BITS) + F.shiftrightunsigned(h, 65 - VALUE_BITS))
+    marks = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.shiftleft(i.cast("long"), VALUE_BITS) - 1)
+    return F.sort_array(F.concat(packed, marks))
 
 
-def first_of_bins(ordered: Column) -> Column:
+def bin_minima(ordered: Column) -> Column:
+    """The first entry of each bin: its least value, or the mark of an empty bin."""
     return F.filter(ordered, lambda x, i: (i == 0) | (F.shiftright(x, VALUE_BITS) != F.shiftright(F.get(ordered, i - 1), VALUE_BITS)))
 
 
-def densified(minima: Column, bins: int, bits: int) -> Column:
-    """array<int> of ``bins`` values, the low ``bits`` of each bin's minimum.
+def is_mark(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << VALUE_BITS) - 1)) == (1 << VALUE_BITS) - 1
+
+
+def densified(minima: Column, full: Column, bits: int) -> Column:
+    """array<int>: the low ``bits`` of each bin's minimum; ``full`` has the entries of ``minima`` that aren't marks.
 
     An empty bin takes the value of the full bin that comes first in a random order of its own (a hash of both bins).
     No bin is full without words: the result is then empty.
     """
-    full = F.map_from_entries(F.transform(minima, lambda x: F.struct(F.shiftright(x, VALUE_BITS).cast("int"), x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))))
+    low = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))
 
-    def value(i: Column) -> Column:
-        turn = lambda x: F.struct(F.xxhash64(i, F.shiftright(x, VALUE_BITS)), x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("v"))
-        return F.coalesce(F.try_element_at(full, i), F.array_min(F.transform(minima, turn))["v"])
+    def value(x: Column) -> Column:
+        turn = lambda y: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftright(x, VALUE_BITS), F.shiftright(y, VALUE_BITS)), bits + 1), bits) + low(y)
+        return low(F.when(is_mark(x), F.array_min(F.transform(full, turn))).otherwise(x)).cast("int")
 
-    return F.when(F.size(minima) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), value))
+    return F.when(F.size(full) == 0, F.array().cast("array<int>")).otherwise(F.transform(minima, value))
 
 
 def packed(values: Column, bits: int) -> Column:
@@ -70,9 +76,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = 128, bits:
     fingerprints, texts with equal shingle sets too. Each step is a column of its own, so that none is computed twice.
     """
     df = df.withColumn("__words", words(F.col(text)))
-    df = df.withColumn("__ordered", bin_minima(shingle_hashes(F.col("__words"), width), bins))
-    df = df.withColumn("__minima", first_of_bins(F.col("__ordered")))
-    return df.withColumn(out, densified(F.col("__minima"), bins, bits)).drop("__words", "__ordered", "__minima")
+    df = df.withColumn("__ordered", binned(shingle_hashes(F.col("__words"), width), bins))
+    df = df.withColumn("__minima", bin_minima(F.col("__ordered")))
+    df = df.withColumn("__full", F.filter("__minima", lambda x: ~is_mark(x)))
+    return df.withColumn(out, densified(F.col("__minima"), F.col("__full"), bits)).drop("__words", "__ordered", "__minima", "__full")
 
 
 def with_next(df: DataFrame, order: str, columns: list[str], parts: int = 256) -> DataFrame:
