@@ -12,6 +12,7 @@ from adlint_spark.llm.fingerprint import edited_fingerprints
 from adlint_spark.llm.mixing import mixed
 from adlint_spark.llm.neardup import near_duplicates
 from adlint_spark.llm.sharding import shard_documents
+from adlint_spark.llm.topk import top_k
 from adlint_spark.llm.urlfilter import filter_urls
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +25,10 @@ MIX_MOST = 3
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op1_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -51,6 +56,14 @@ def _shard_sql(shards: int) -> str:
     return f"list_max([{scores}]).i"
 
 
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id)::INT AS rank,
+       c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id QUALIFY rank <= 5
+"""
+
 OP4_SQL = f"""
 WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
                  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
@@ -114,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rendezvous_shards": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op6_bloom_cascade": OP6_SQL, "op7_minmax_neardup": OP7_SQL}
+    return {"op1_va_topk": OP1_SQL, "op4_rendezvous_shards": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op6_bloom_cascade": OP6_SQL, "op7_minmax_neardup": OP7_SQL}
