@@ -86,8 +86,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def text_chunks(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of at most max_bytes, or one longer text. Nulls are empty."""
+def text_chunks(column: pa.Array, max_bytes: int = 2 << 20, max_rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of at most max_rows and max_bytes, or one longer text. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if column.null_count:
@@ -101,7 +101,7 @@ def text_chunks(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[in
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offs, offs[at] + max_bytes, "right")) - 1)
+        end = min(at + max_rows, n, max(at + 1, int(np.searchsorted(offs, offs[at] + max_bytes, "right")) - 1))
         yield at, end, data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import LOWER, UPPER, table
+from adlint_spark.llm.common import LOWER, UPPER, held_in, table
 from adlint_spark.llm.fingerprint import edited_fingerprints
+from adlint_spark.llm.langid import languages
 from adlint_spark.llm.mixing import mixed
 from adlint_spark.llm.neardup import near_duplicates
+from adlint_spark.llm.quality import quality_scores
 from adlint_spark.llm.sharding import shard_documents
 from adlint_spark.llm.topk import top_k
 from adlint_spark.llm.urlfilter import filter_urls
@@ -29,6 +31,10 @@ def op1_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"), lambda doc_id: held_in(doc_id, 3, 1))
+
+
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -46,6 +52,10 @@ def op7_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: held_in(doc_id, 5, 0))
+
+
 def op10_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
