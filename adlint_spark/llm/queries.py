@@ -12,6 +12,7 @@ from adlint_spark.llm.fingerprint import edited_fingerprints
 from adlint_spark.llm.langid import languages
 from adlint_spark.llm.mixing import mixed
 from adlint_spark.llm.neardup import near_duplicates
+from adlint_spark.llm.ppm import lm_scores
 from adlint_spark.llm.quality import quality_scores
 from adlint_spark.llm.sharding import shard_documents
 from adlint_spark.llm.topk import top_k
@@ -56,6 +57,10 @@ def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: held_in(doc_id, 5, 0))
 
 
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), lambda doc_id: held_in(doc_id, 7, 2))
+
+
 def op10_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
