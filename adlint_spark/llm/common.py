@@ -72,13 +72,14 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-_BYTE = seeded(256, 17)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
+_EXACT = seeded(256, 17)
+_FOLDED = _EXACT.copy()
+_FOLDED[65:91] = _EXACT[97:123]  # A-Z hash as a-z
 _BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, for n positions."""
     if not _powers or len(_powers[0]) < n:
         m = max(n, 1 << 20)
@@ -119,11 +120,11 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, A-Z counted as a-z: polynomial prefix sums modulo 2^64, then a finaliser."""
-    power, inverse = _power_tables(len(data))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of the byte spans: polynomial prefix sums modulo 2^64, then a finaliser. ``fold`` counts A-Z as a-z."""
+    power, inverse = power_tables(len(data))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+        np.cumsum((_FOLDED if fold else _EXACT)[data] * power[: len(data)], out=sums[1:])
         h = (sums[ends] - sums[starts]) * inverse[starts]
         return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

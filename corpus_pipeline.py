@@ -3,10 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import cut_lineage, table
+from adlint_spark.llm import langid, quality
+from adlint_spark.llm.common import cut_lineage, held_in, table
+from adlint_spark.llm.mixing import mixed
+from adlint_spark.llm.neardup import near_duplicates
+from adlint_spark.llm.pieces import encode, load_vocabulary
+from adlint_spark.llm.queries import MIX_MOST, MIX_WEIGHTS, TOKENIZERS
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text stays if label 1 is at least this likely.
+LEAST_QUALITY = 0.3
+#: A text goes if no letter or no language can be told.
+LEAST_LANGUAGE = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be of label 1; it learns from labels outside its held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(held_in(F.col("doc_id"), 5, 0))
+    model = quality.train(docs, labels, "quality")
+    return quality.with_score(docs.select(COLUMNS), model, "__score").filter(F.col("__score") >= LEAST_QUALITY).select(COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; the classifier learns from text and lang outside its held-out fold."""
+    model = langid.train(docs.filter(held_in(F.col("doc_id"), 3, 1)))
+    return langid.with_language(docs.select(COLUMNS), model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each near-duplicate group; rows without doc_id stay."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    rows = mixed(docs.select(COLUMNS), MIX_WEIGHTS, MIX_MOST)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    return rows.filter("__copies > 0").select(*COLUMNS, copies.alias("__nth")).drop("__nth")
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids of each text."""
+    rows = encode(docs.select("doc_id", "source", "text"), load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return rows.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("mixing sources", mixing_stage),
+    ("SentencePiece encoding", encoding_stage),
+]
 
 #: Learnt models decide in these stages, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
