@@ -11,27 +11,27 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] = _FOLD[97:123]
 
 
-def byte_grams(data: np.ndarray, offs: np.ndarray, orders: tuple[int, ...], bits: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, offsets): for each text and order, the bucket of the n-gram that starts at each of its bytes.
+def byte_grams(data: np.ndarray, offs: np.ndarray, orders: tuple[int, ...], bits: int, fold: bool) -> np.ndarray:
+    """Buckets, a row for each order: the bucket of the n-gram that starts at each byte of the texts.
 
-    Three zero bytes end each text, so n-grams don't cross texts. Buckets of one order are
-    ``[k << bits, (k + 1) << bits)``; ``fold`` counts A-Z as a-z. Row k of buckets belongs to order k.
+    Zero bytes end each text, so n-grams don't cross texts. Buckets of the kth order are
+    ``[k << bits, (k + 1) << bits)``; ``fold`` counts A-Z as a-z.
     """
     n, texts = len(data), len(offs) - 1
-    starts = offs + 3 * np.arange(texts + 1)
+    own = np.arange(n) + 3 * np.repeat(np.arange(texts), np.diff(offs))
     wide = np.zeros(n + 3 * texts + 3, np.uint32)
-    wide[np.arange(n) + 3 * np.repeat(np.arange(texts), np.diff(offs))] = _FOLD[data] if fold else data
-    gram, out = wide.copy(), np.empty((len(orders), len(wide) - 3), np.uint32)
+    wide[own] = _FOLD[data] if fold else data
+    gram, out = wide.copy(), np.empty((len(orders), n), np.uint32)
     for k in range(1, 5):
         if k > 1:
             gram[: len(wide) - k + 1] = (gram[: len(wide) - k + 1] << np.uint32(8)) | wide[k - 1 :]
         for row, order in enumerate(orders):
             if order == k:
-                mixed = gram[:-3] * np.uint32(int(_SEEDS[k]) & 0xFFFFFFFF | 1)
+                mixed = gram[own] * np.uint32(int(_SEEDS[k]) & 0xFFFFFFFF | 1)
                 mixed ^= mixed >> np.uint32(15)
                 mixed *= np.uint32(0x2C1B3C6D)
                 out[row] = (mixed >> np.uint32(32 - bits)) | np.uint32(row << bits)
-    return out, starts
+    return out
 
 
 def word_shapes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +61,8 @@ def word_shapes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def distinct_features(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, offsets): the distinct hashed features of each text: byte 3- and 4-grams with case, word-shape 1- to 3-grams."""
-    grams, starts = byte_grams(data, offs, (3, 4), bits - 1, False)
-    text = np.repeat(np.arange(len(offs) - 1, dtype=np.uint32), np.diff(starts))
-    keys = [(text << np.uint32(bits)) | g for g in grams]
+    text = np.repeat(np.arange(len(offs) - 1, dtype=np.uint32), np.diff(offs))
+    keys = [(text << np.uint32(bits)) | g for g in byte_grams(data, offs, (3, 4), bits - 1, False)]
     shape, first = word_shapes(data, offs)
     owner = np.repeat(np.arange(len(offs) - 1, dtype=np.uint32), np.diff(first))
     with np.errstate(over="ignore"):

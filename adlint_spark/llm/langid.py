@@ -57,8 +57,8 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             for at, end, data, offs in text_chunks(batch.column("text")):
-                grams, starts = byte_grams(data, offs, ORDERS, BITS, True)
-                owner = np.repeat(np.arange(end - at), np.diff(starts))
+                grams = byte_grams(data, offs, ORDERS, BITS, True)
+                owner = np.repeat(np.arange(end - at), np.diff(offs))
                 for lang in set(langs[at:end]):
                     mine = (langs[at:end] == lang)[owner]
                     total = sums.setdefault(lang, np.zeros(len(ORDERS) << BITS, np.int64))
@@ -120,10 +120,10 @@ def with_language(docs: DataFrame, model: Codes, sharpness: float = 4.0) -> Data
         for batch in batches:
             margins = np.zeros((batch.num_rows, m.codes.shape[1] if m.languages else 1))
             for at, end, data, offs in text_chunks(batch.column("text")) if m.languages else ():
-                grams, starts = byte_grams(data, offs, ORDERS, BITS, True)
-                n = np.diff(starts)[:, None]
-                for g in grams:
-                    margins[at:end] += np.add.reduceat(m.weights[g], starts[:-1], axis=0) / (n * len(ORDERS))
+                full = np.flatnonzero(np.diff(offs))
+                n = np.diff(offs)[full][:, None]
+                for g in byte_grams(data, offs, ORDERS, BITS, True) if len(full) else ():
+                    margins[at + full] += np.add.reduceat(m.weights[g], offs[:-1][full], axis=0) / (n * len(ORDERS))
             letter = batch.column("__letter").to_numpy(zero_copy_only=False)
             lang, score, clear = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             if m.languages and letter.any():
