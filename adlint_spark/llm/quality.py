@@ -26,16 +26,15 @@ class Model:
     intercept: float
 
 
-def dual_coordinate_descent(features: np.ndarray, offs: np.ndarray, values: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 7) -> np.ndarray:
+def dual_coordinate_descent(features: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 7) -> np.ndarray:
     """Weights of the L1-loss linear support vector machine: each step solves one row's dual variable exactly."""
     w, alpha = np.zeros(1 << BITS), np.zeros(len(y))
-    rows = [(features[a:b], values[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-    square = np.array([v @ v for _, v in rows])
+    square = np.array([float(v @ v) for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(np.flatnonzero(square > 0)):
-            f, v = rows[i]
+            f, v = features[i], values[i]
             step = (y[i] * (w[f] @ v) - 1) / square[i]
             new = min(max(alpha[i] - step, 0.0), cost[i])
             if new != alpha[i]:
@@ -62,29 +61,26 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 0.0)), float(theta[1])
 
 
-def fit(features: np.ndarray, offs: np.ndarray, label: np.ndarray, smoothing: float = 1.0, epochs: int = 15) -> Model:
+def fit(features: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0, epochs: int = 15) -> Model:
     """The model of labelled rows (0/1), given by their distinct features. Every fifth row only sets the logistic curve."""
     n = len(label)
     if not n or label.min() == label.max():
         share = (label.sum() + 1) / (n + 2)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, float(np.log(share / (1 - share))))
     y = np.where(label > 0, 1.0, -1.0)
-    owner = np.repeat(np.arange(n), np.diff(offs))
     learn = np.arange(n) % 5 != 4
     if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
         learn[:] = True
-    counts = [smoothing + np.bincount(features[learn[owner] & (y[owner] == s)], minlength=1 << BITS) for s in (1, -1)]
-    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-    value = ratio[features]
-    norm = np.sqrt(np.maximum(np.bincount(owner, value**2, n), 1e-12))
-    value = value / norm[owner]
+    counts = {s: np.full(1 << BITS, smoothing) for s in (1.0, -1.0)}
+    for i in np.flatnonzero(learn):
+        counts[y[i]][features[i]] += 1  # a row's features are distinct
+    ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
+    values = [(v / max(np.sqrt(float(v @ v)), 1e-6)).astype(np.float32) for v in (ratio[f] for f in features)]
     kept = np.flatnonzero(learn)
-    part = learn[owner]
     cost = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
-    w = dual_coordinate_descent(features[part], np.concatenate([[0], np.cumsum(np.diff(offs)[kept])]), value[part], y[kept], cost[kept], epochs)
-    margin = np.bincount(owner, value * w[features], n)
-    check = ~learn if not learn.all() else learn
-    slope, intercept = logistic(margin[check], y[check])
+    w = dual_coordinate_descent([features[i] for i in kept], [values[i] for i in kept], y[kept], cost[kept], epochs)
+    check = np.flatnonzero(~learn if not learn.all() else learn)
+    slope, intercept = logistic(np.array([w[features[i]] @ values[i] for i in check]), y[check])
     # a score divides by the norm of the scaled indicators, so both parts are kept
     return Model(np.stack([ratio * w, ratio**2]).astype(np.float32), slope, intercept)
 
@@ -104,7 +100,7 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 5000) -> Model:
     """The model for ``labels`` (doc_id, ``label`` 0 or 1) of ``docs`` (doc_id, text).
 
     It is fitted on the driver to at most ``max_rows`` labelled rows, those with the least hash of doc_id. Their
@@ -121,14 +117,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(features.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), batch.column("label").slice(at, end - at), lists], names=["doc_id", "label", "features"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    if not len(got):
-        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0))
-    lists = got.column("features").combine_chunks()
-    order = np.argsort(got.column("doc_id").to_numpy() * np.int64(0x9E3779B1) % 1_000_003, kind="stable")
-    flat, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    features = np.concatenate([flat[cuts[i] : cuts[i + 1]] for i in order])
-    return fit(features, np.concatenate([[0], np.cumsum(np.diff(cuts)[order])]), got.column("label").to_numpy()[order])
+    got = rows.mapInArrow(run, "doc_id long, label int, features array<int>").toArrow()
+    ids, label = got.column("doc_id").to_numpy(), got.column("label").to_numpy()
+    parts = [x for c in got.column("features").chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) if len(c)]
+    order = np.lexsort((label, ids, ids * np.int64(0x9E3779B1) % 1_000_003))  # any fixed order that mixes the ids
+    return fit([parts[i] for i in order], label[order])
 
 
 def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
@@ -142,7 +135,7 @@ def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame
     return docs.mapInArrow(run, docs.drop(score).schema.add(score, "double"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, may_learn, label: str = "quality", threshold: float = 0.3, max_rows: int = 8000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, may_learn, label: str = "quality", threshold: float = 0.3, max_rows: int = 5000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
 
     ``may_learn`` (a function of the doc_id column) marks the rows whose labels may be used; the others are held out. A score
