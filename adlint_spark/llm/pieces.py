@@ -47,16 +47,17 @@ def load_vocabulary(path: str) -> Vocabulary:
     )
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", checked: str = "") -> DataFrame:
     """``docs`` with the column ``ids``, array<int>, the best segmentation of each whole text.
 
     Under a unigram model that is the one with the highest sum of scores; under a BPE model the one that merging gives, found
     in the same lattice with pieces that can't stand side by side kept apart. Characters without a piece become
     their bytes (the unknown id if the model has none). A null or empty text has no ids. Repeated rows are encoded
-    alike; a column that has the name already is replaced.
+    alike; a column that has the name already is replaced. ``checked`` names a further column that tells whether decoding
+    the ids gives the text back (null counts as empty).
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the size of the model file
-    kept = [c for c in docs.columns if c != ids]
+    kept = [c for c in docs.columns if c not in (ids, checked)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,10 +65,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
             for tokens, offs in encode_texts(sent.value, batch.column(text)):
                 n = len(offs) - 1
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, n) for c in kept), lists], names=[*kept, ids])
+                columns, names = [*(batch.column(c).slice(at, n) for c in kept), lists], [*kept, ids]
+                if checked:
+                    was = batch.column(text).slice(at, n).to_pylist()
+                    columns.append(pa.array([a == (b or "") for a, b in zip(decode_ids(sent.value, tokens, offs), was, strict=True)], pa.bool_()))
+                    names.append(checked)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += n
 
-    return docs.mapInArrow(run, docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType())))
+    schema = docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType()))
+    return docs.mapInArrow(run, schema.add(checked, "boolean") if checked else schema)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -9,8 +9,9 @@ import numpy as np
 from adlint_spark.llm.common import mix64, power_tables, seeded, span_hashes, text_chunks
 
 SPACE = "▁"
-#: Longer words go through the lattice one by one.
-LONG = 256
+#: Words up to this length advance with those of the same length; longer ones, which are rare, are filled up to the next of
+#: a few lengths. What stands after a word's end doesn't change the lattice before it.
+SAME_LENGTH = 16
 _FIRST, _UNKNOWN = -1, -2
 _LENGTH = seeded(64, 606)
 
@@ -29,6 +30,12 @@ class Vocabulary:
     prefix: bool
     merges: Merges | None = None
     known: Known | None = None
+    #: For each start of a key (20 bits) whether a piece has it; most substrings are ruled out here.
+    starts: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.starts = np.zeros(1 << 20, bool)
+        self.starts[self.keys >> np.uint64(44)] = True
 
     def __getstate__(self):
         return self.__dict__ | {"known": None}
@@ -45,7 +52,7 @@ class Known:
 
 
 #: Beyond so many words a process starts anew.
-KNOWN_WORDS = 1 << 21
+KNOWN_WORDS = 1 << 20
 
 
 @dataclass
@@ -64,19 +71,19 @@ class Merges:
     left_end: np.ndarray
     pairs: np.ndarray
     ranks: np.ndarray
-    seen: np.ndarray = field(default_factory=lambda: np.full(1 << 18, -1, np.int64))
-    fine: np.ndarray = field(default_factory=lambda: np.zeros(1 << 18, bool))
+    seen: np.ndarray = field(default_factory=lambda: np.full(1 << 20, -1, np.int64))
+    fine: np.ndarray = field(default_factory=lambda: np.zeros(1 << 20, bool))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("seen", "fine")}
 
     def __setstate__(self, state):
-        self.__dict__ |= state | {"seen": np.full(1 << 18, -1, np.int64), "fine": np.zeros(1 << 18, bool)}
+        self.__dict__ |= state | {"seen": np.full(1 << 20, -1, np.int64), "fine": np.zeros(1 << 20, bool)}
 
     def side_by_side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of a and b leaves just these two pieces; answers are remembered by a code of the two."""
         code = a.astype(np.int64) * len(self.usable) + b
-        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         out, new = self.fine[slot], self.seen[slot] != code
         if new.any():
             codes, inverse = np.unique(code[new], return_inverse=True)
@@ -160,11 +167,15 @@ def substring_keys(sums: np.ndarray, m: int) -> np.ndarray:
 def probe(vocabulary: Vocabulary, sums: np.ndarray, m: int) -> np.ndarray:
     """The piece of each substring of m characters, or -1."""
     h = substring_keys(sums, m)
+    out = np.full(h.shape, -1, np.int32)
+    likely = vocabulary.starts[h >> np.uint64(44)]
+    h = h[likely]
     at = np.minimum(np.searchsorted(vocabulary.keys, h), len(vocabulary.keys) - 1)
     found = vocabulary.keys[at] == h
     if vocabulary.merges is not None:
         found &= vocabulary.merges.usable[at]
-    return np.where(found, at, -1).astype(np.int32)
+    out[likely] = np.where(found, at, -1)
+    return out
 
 
 def best_lengths(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -181,8 +192,11 @@ def best_lengths(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray
     best[:, 0] = 0
     back = np.zeros((n, length + 1), np.int32)
     last = np.full((n, length + 1), _FIRST, np.int32)
+    any_piece = [(p >= 0).any(axis=0) for p in pieces]
     for j in range(1, length + 1):
         for m in range(1, min(j, len(pieces)) + 1):
+            if m > 1 and not any_piece[m - 1][j - m]:
+                continue
             p = pieces[m - 1][:, j - m]
             fits = (p >= 0) & (back[:, j - m] > 0) if j > m else p >= 0
             if m == 1:
@@ -206,11 +220,12 @@ def best_lengths(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray
     return back, pieces
 
 
-def encode_equal(vocabulary: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, offsets) of words of one length: piece ids, or ``-1 - character`` for unknown ones."""
+def encode_equal(vocabulary: Vocabulary, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets) of words, rows of characters of which the first ``sizes`` count: piece ids, or ``-1 - character`` for
+    unknown ones."""
     n, length = points.shape
     back, pieces = best_lengths(vocabulary, points)
-    out, used, at, rows = np.zeros((n, length), np.int64), np.zeros(n, np.int64), np.full(n, length), np.arange(n)
+    out, used, at, rows = np.zeros((n, length), np.int64), np.zeros(n, np.int64), sizes.copy(), np.arange(n)
     while len(rows):
         m = back[rows, at[rows]]
         start = at[rows] - m
@@ -236,12 +251,19 @@ def encode_words(vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray) ->
     offs = lead[offs]
     sizes = np.diff(offs)
     parts, owner = [], []
-    for length in np.unique(sizes):
-        group = np.flatnonzero(sizes == length)
-        step = max(1, (1 << 21) // (int(length) * min(int(length), vocabulary.longest) + 1)) if length else len(group)
-        for k in range(0, len(group) if length else 0, step):
+    wide = np.where(sizes <= SAME_LENGTH, sizes, 0)
+    for k in np.flatnonzero(sizes > SAME_LENGTH):
+        power = 1 << int(sizes[k] - 1).bit_length()
+        wide[k] = power * 3 // 4 if sizes[k] <= power * 3 // 4 else power
+    points = np.concatenate([points, np.zeros(int(wide.max(initial=0)), np.uint32)])
+    for length in np.unique(wide[sizes > 0]):
+        group = np.flatnonzero(wide == length)
+        step = max(1, (1 << 19) // (int(length) * min(int(length), vocabulary.longest)))
+        for k in range(0, len(group), step):
             rows = group[k : k + step]
-            tokens, ends = encode_equal(vocabulary, points[offs[rows][:, None] + np.arange(length)])
+            column = np.arange(length)
+            letters = np.where(column < sizes[rows][:, None], points[offs[rows][:, None] + column], 0).astype(np.uint32)
+            tokens, ends = encode_equal(vocabulary, letters, sizes[rows])
             parts.append((tokens, np.diff(ends)))
             owner.append(rows)
     count = np.zeros(len(sizes), np.int64)
@@ -275,7 +297,7 @@ def encode_words(vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray) ->
 def encode_texts(vocabulary: Vocabulary, column) -> list[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: (ids, offsets). Words, cut before each run of spaces, are encoded once for each run of texts."""
     out = []
-    for at, end, data, offs in text_chunks(column, 8 << 20):
+    for at, end, data, offs in text_chunks(column, 4 << 20):
         raw = data.tobytes()
         if SPACE.encode() in raw:  # the mark itself is read as a space
             texts = [raw[a:b].replace(SPACE.encode(), b" ") for a, b in zip(offs[:-1], offs[1:], strict=True)]
@@ -318,11 +340,18 @@ def learn(vocabulary: Vocabulary, data: np.ndarray, cuts: np.ndarray, hashes: np
     return old
 
 
-def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> list[str]:
-    """The texts of lists of ids. Bytes that don't make UTF-8 become U+FFFD; the leading space of a prefix is dropped."""
+def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offs: np.ndarray, run: int = 1 << 18) -> list[str]:
+    """The texts of lists of ids. Bytes that don't make UTF-8 become U+FFFD; the leading space of a prefix is dropped.
+
+    Lists are decoded in runs of about ``run`` ids.
+    """
     sizes = np.array([len(t) for t in vocabulary.text])
     table, starts = np.frombuffer(b"".join(vocabulary.text), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-    take, runs = spread(starts, ids)
-    raw, cuts = table[take].tobytes(), runs[offs]
-    lead = 1 if vocabulary.prefix else 0
-    return [raw[a + (lead if raw[a : a + 1] == b" " else 0) : b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    lead, out, at, n = 1 if vocabulary.prefix else 0, [], 0, len(offs) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offs, offs[at] + run, "right")) - 1)
+        take, runs = spread(starts, ids[offs[at] : offs[end]])
+        raw, cuts = table[take].tobytes(), runs[offs[at : end + 1] - offs[at]]
+        out += [raw[a + (lead if raw[a : a + 1] == b" " else 0) : b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        at = end
+    return out

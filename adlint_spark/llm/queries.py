@@ -13,7 +13,7 @@ from adlint_spark.llm.fingerprint import edited_fingerprints
 from adlint_spark.llm.langid import languages
 from adlint_spark.llm.mixing import mixed
 from adlint_spark.llm.neardup import near_duplicates
-from adlint_spark.llm.pieces import decode, encode, load_vocabulary
+from adlint_spark.llm.pieces import encode, load_vocabulary
 from adlint_spark.llm.ppm import lm_scores
 from adlint_spark.llm.quality import quality_scores
 from adlint_spark.llm.sharding import shard_documents
@@ -45,8 +45,8 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, their number, and whether decoding them gives the text back."""
     vocabulary = load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
-    return rows.select("doc_id", F.size("ids").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, checked="round_trip")
+    return rows.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
