@@ -32,6 +32,11 @@ EVENTS_3_0 = (
 EVENTS_2_0 = [e for e in EVENTS_3_0 if e not in ("exitFullscreen", "skip", "progress", "acceptInvitationLinear", "closeLinear")]
 
 
+def among(c: Column, values) -> Column:
+    """Whether the value is one of a fixed list; null for null."""
+    return F.array_contains(F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")"), c)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
@@ -148,7 +153,7 @@ def has_illegal_uri_char(c: Column) -> Column:
 def valid_tracking_event(event: Column, ord_: Column) -> Column:
     """Whether the event is in its version's list; true if the version is unknown."""
     return (
-        F.when(ord_ >= 3, event.isin(EVENTS_4_1)).when(ord_ == 2, event.isin(EVENTS_4_0)).when(ord_ == 1, event.isin(EVENTS_3_0)).when(ord_ == 0, event.isin(EVENTS_2_0)).otherwise(F.lit(True))
+        F.when(ord_ >= 3, among(event, EVENTS_4_1)).when(ord_ == 2, among(event, EVENTS_4_0)).when(ord_ == 1, among(event, EVENTS_3_0)).when(ord_ == 0, among(event, EVENTS_2_0)).otherwise(F.lit(True))
     )
 
 

@@ -2,53 +2,68 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlint_spark.operators.rules import audio, content, playlist, required, values
-from adlint_spark.operators.rules.spec import LEVELS, Rule
-
-FAMILIES = {**required.FAMILIES, **values.FAMILIES, **content.FAMILIES, **playlist.FAMILIES, **audio.FAMILIES}
+#: A finding, and the severities by their letter.
+FINDING = "struct<rule_id:string,severity:string,message:string,path:string,line:int,col:int>"
+LEVELS = {"E": "error", "W": "warning", "I": "info"}
 #: Findings of these rules cost revenue.
 REVENUE = frozenset(
     "VAST-2.0-inline-impression VAST-2.0-wrapper-impression VAST-2.0-wrapper-vastadtaguri VAST-2.0-mediafile-https VAST-2.0-tracking-https "
     "VAST-2.0-url-empty VAST-2.0-json-escaped VAST-2.0-duplicate-impression VAST-4.1-vpaid-apiframework VAST-2.0-flash-mediafile "
     "VAST-2.0-mediafile-image VAST-2.0-linear-tracking-quartiles VAST-2.0-duration-zero VAST-4.1-mezzanine-recommended VAST-4.1-vpaid-in-interactive-context".split()
 )
-FINDING = "struct<rule_id:string,severity:string,message:string,path:string,line:int,col:int>"
 
 
-def family_rules(names: tuple[str, ...] = ()) -> list[Rule]:
-    return [rule for name, family in FAMILIES.items() if not names or name in names for rule in family()]
+@cache
+def families() -> dict:
+    """The families by name. Their modules hold columns, which need a running session, so they are read when first asked for."""
+    from adlint_spark.operators.rules import audio, content, playlist, required, values
+
+    return {**required.FAMILIES, **values.FAMILIES, **content.FAMILIES, **playlist.FAMILIES, **audio.FAMILIES}
+
+
+def family_rules(names: tuple[str, ...] = ()) -> list:
+    return [rule for name, family in families().items() if not names or name in names for rule in family()]
 
 
 def rule_catalog(spark: SparkSession, sources: list[str] | None = None) -> DataFrame:
     """(ordinal, rule_id, family, default_severity, description, source, revenue_impact): a row for each rule."""
     seen: dict[str, tuple] = {}
-    for name, family in FAMILIES.items():
+    for name, family in families().items():
         for r in family():
             seen.setdefault(r.rule_id, (len(seen), r.rule_id, name, LEVELS[r.level], r.text, r.source, r.rule_id in REVENUE))
     rows = spark.createDataFrame(list(seen.values()), "ordinal int, rule_id string, family string, default_severity string, description string, source string, revenue_impact boolean")
     return rows.filter(F.col("source").isin(sources)) if sources is not None else rows
 
 
-def run_rules(nodes: DataFrame, families: tuple[str, ...] = ()) -> DataFrame:
-    """The findings of all rules over ``nodes`` with detection columns: one projection, then one explode, no shuffle.
-
-    Rules are gathered by element name, so an element meets only those of its name and those for any name.
-    """
-    rules = family_rules(families)
-    names = sorted({n for r in rules for n in r.names})
-    lists = []
-    for name in names:
-        own = F.concat(*(r.findings() for r in rules if name in r.names))
-        lists.append(F.when(F.col("name") == name, own))
-    some = [r.findings() for r in rules if not r.names]
-    general = F.concat(*some) if some else F.array().cast(f"array<{FINDING}>")
-    named = F.coalesce(*lists, F.array().cast(f"array<{FINDING}>")) if lists else F.array().cast(f"array<{FINDING}>")
-    found = nodes.select("doc_id", "policy_id", F.explode(F.concat(general, named)).alias("f"))
+@cache
+def _all_findings(names: tuple[str, ...]) -> Column:
+    """array of findings of one element row. Rules are gathered by element name, so an element meets those of its name and
+    those for any name."""
+    rules = family_rules(names)
+    none = F.expr(f"cast(array() as array<{FINDING}>)")
+    by_name: dict[str, list[Column]] = {}
+    general = [none]
+    for r in rules:
+        found = r.findings()
+        for name in r.names:
+            by_name.setdefault(name, []).append(found)
+        if not r.names:
+            general.append(found)
+    named = none
+    for name, found in by_name.items():
+        named = F.when(F.expr(f"name = '{name}'"), F.concat(*found)).otherwise(named)
+    return F.concat(*general, named)
+
+
+def run_rules(nodes: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, policy_id, rule_id, severity, message, path, line, col): the findings of all rules over ``nodes`` with detection
+    columns. One projection, then one explode, no shuffle."""
+    found = nodes.select("doc_id", "policy_id", F.explode(_all_findings(tuple(names))).alias("f"))
     return found.select("doc_id", "policy_id", "f.*")
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlint_spark.functions.values import is_currency, is_hhmmss, is_time_or_percent, trimmed
-from adlint_spark.operators.rules.spec import TEXT, Rule, attr, has, lacks, rule
+from adlint_spark.functions.values import among, is_currency, is_hhmmss, is_time_or_percent, trimmed
+from adlint_spark.operators.rules.spec import on, TEXT, Rule, attr, has, lacks, rule
 
 SPEC, XSD, GUESS = "IAB DAAST", "DAAST XSD", "inferred"
 EVENTS = "creativeView start firstQuartile midpoint thirdQuartile complete mute unmute pause rewind resume skip progress".split()
@@ -13,7 +13,7 @@ EVENTS = "creativeView start firstQuartile midpoint thirdQuartile complete mute
 
 def audio() -> list[Rule]:
     daast = (F.col("root_name") == "DAAST") & F.col("parse_error").isNull()
-    at = lambda *trails: daast & F.col("trail").isin(*trails)
+    at = lambda *trails: daast & on(*trails)
     inline, wrapper = "DAAST/Ad/InLine", "DAAST/Ad/Wrapper"
     linear = f"{inline}/Creatives/Creative/Linear"
     media, tracking = at(f"{linear}/MediaFiles/MediaFile"), at(f"{linear}/TrackingEvents/Tracking", f"{wrapper}/Creatives/Creative/Linear/TrackingEvents/Tracking")
@@ -41,7 +41,7 @@ def audio() -> list[Rule]:
         rule("DAAST-1.0-mediafile-audio-type", "W", GUESS, "the type is not audio", "MediaFile", media & ~F.lower(trimmed(attr("type"))).startswith("audio/")),
         rule("DAAST-1.0-mediafile-id", "W", XSD, "MediaFile has no id", "MediaFile", media & lacks("id")),
         rule("DAAST-1.0-mediafile-url-empty", "E", SPEC, "MediaFile has no URL", "MediaFile", media & (TEXT == "")),
-        rule("DAAST-1.0-tracking-event-value", "E", XSD, "the event is unknown", "Tracking", tracking & ~event.isin(EVENTS)),
+        rule("DAAST-1.0-tracking-event-value", "E", XSD, "the event is unknown", "Tracking", tracking & ~among(event, EVENTS)),
         rule("DAAST-1.0-progress-offset", "E", SPEC, "a progress event has no fitting offset", "Tracking", tracking & (event == "progress") & ~F.coalesce(is_time_or_percent(trimmed(attr("offset"))), F.lit(False))),
         rule("DAAST-1.0-pricing-model", "E", SPEC, "Pricing has no model", "Pricing", price & lacks("model")),
         rule("DAAST-1.0-pricing-model-value", "W", XSD, "the model is unknown", "Pricing", price & ~F.lower(attr("model")).isin("cpm", "cpc", "cpe", "cpv", "cpo")),

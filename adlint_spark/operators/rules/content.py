@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlint_spark.functions.values import is_uri_like
-from adlint_spark.operators.rules.spec import INLINE, TEXT, VAST, WRAPPER, Rule, inside, is_v4, rule
+from adlint_spark.functions.values import among, is_uri_like
+from adlint_spark.operators.rules.spec import on, INLINE, TEXT, VAST, WRAPPER, Rule, inside, is_v4, rule
 
 XSD, SPEC = "VAST XSD", "VAST spec"
 
@@ -68,13 +68,13 @@ def trails() -> dict[str, list[str]]:
     return out
 
 
-def _late(parent: str, on) -> list[tuple]:
+def _late(parent: str, here) -> list[tuple]:
     """(condition, allowed children) by version."""
     kids = list(model()[parent])
     if parent not in LATE:
-        return [(on, kids)]
+        return [(here, kids)]
     new = F.coalesce(is_v4(), F.lit(False))
-    return [(on & new, kids), (on & ~new, [k for k in kids if k not in LATE[parent]])]
+    return [(here & new, kids), (here & ~new, [k for k in kids if k not in LATE[parent]])]
 
 
 def _paths(found, suffix=None):
@@ -88,14 +88,14 @@ def _numbered():
 
 
 def _other_than(names: list[str]):
-    return lambda k: ~k["name"].isin(names)
+    return lambda k: ~among(k["name"], names)
 
 
 def unknown_child() -> list[Rule]:
     out, where = [], trails()
     for parent in MODEL:
-        on = VAST & F.col("trail").isin(where[parent]) & F.col("first")
-        for condition, kids in _late(parent, on):
+        here = VAST & on(*where[parent]) & F.col("first")
+        for condition, kids in _late(parent, here):
             other = _other_than(kids)
             out.append(rule(f"VAST-{SINCE.get(parent, '2.0')}-{parent.lower()}-unknown-child", "E", XSD, f"{parent} has an unknown child", parent, condition & F.exists("kids", other), each=_paths(F.filter(_numbered(), other))))
     return out
@@ -109,18 +109,18 @@ def text_and_attributes() -> list[Rule]:
             if attributes is not None:
                 leaves.setdefault((kid, tuple(a for a in attributes if a)), []).extend(f"{t}/{kid}" for t in where[parent])
     for (kid, attributes), places in leaves.items():
-        on = VAST & F.col("trail").isin(places)
-        out.append(rule("VAST-2.0-text-only-element", "E", XSD, "an element that holds text has children", kid, on & (F.size("kids") > 0), each=_paths(_numbered())))
-        out.append(_unknown_attribute(kid, on, attributes))
+        here = VAST & on(*places)
+        out.append(rule("VAST-2.0-text-only-element", "E", XSD, "an element that holds text has children", kid, here & (F.size("kids") > 0), each=_paths(_numbered())))
+        out.append(_unknown_attribute(kid, here, attributes))
     for name, attributes in ATTRIBUTES.items():
         places = ["VAST"] if name == "VAST" else ["VAST/Ad"] if name == "Ad" else where[name]
-        out.append(_unknown_attribute(name, VAST & F.col("trail").isin(places), tuple(attributes.split())))
+        out.append(_unknown_attribute(name, VAST & on(*places), tuple(attributes.split())))
     return out
 
 
-def _unknown_attribute(name: str, on, allowed: tuple[str, ...]) -> Rule:
-    extra = F.filter("bare_attrs", lambda a: ~a.isin(*allowed)) if allowed else F.col("bare_attrs")
-    return rule("VAST-2.0-unknown-attribute", "W", XSD, "an unknown attribute", name, on & (F.size(extra) > 0), each=F.transform(extra, lambda a: F.concat("path_schema", F.lit("[@"), a, F.lit("]"))))
+def _unknown_attribute(name: str, here, allowed: tuple[str, ...]) -> Rule:
+    extra = F.filter("bare_attrs", lambda a: ~among(a, allowed)) if allowed else F.col("bare_attrs")
+    return rule("VAST-2.0-unknown-attribute", "W", XSD, "an unknown attribute", name, here & (F.size(extra) > 0), each=F.transform(extra, lambda a: F.concat("path_schema", F.lit("[@"), a, F.lit("]"))))
 
 
 def extensions() -> list[Rule]:
@@ -130,7 +130,7 @@ def extensions() -> list[Rule]:
         # the names between the extension and the element, and itself
         between = F.slice("ancestors", F.array_position("ancestors", holder).cast("int") + 1, F.size("ancestors"))
         inner = VAST & F.col("vendor_ext") & inside(holder)
-        outermost = F.col("name").isin(known) & ~F.exists(between, lambda a: a.isin(known))
+        outermost = among(F.col("name"), known) & ~F.exists(between, lambda a: among(a, known))
         leaf = (F.col("name") == holder) & VAST & (F.size("kids") == 0) & ~F.col("has_cdata") & TEXT.rlike("[&<]") & ~is_uri_like(TEXT)
         out += [
             rule(f"VAST-2.0-{prefix}-misplaced-element", "W", SPEC, "an element of the ad stands in an extension", "", inner & outermost, path=F.col("path_schema")),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlint_spark.functions.values import VERSIONS, is_omid_vendor, is_vendor_key, trimmed
-from adlint_spark.operators.rules.spec import INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_kid, at, attr, below, count_of, has, inside, is_v4, lacks, rule
+from adlint_spark.functions.values import among, VERSIONS, is_omid_vendor, is_vendor_key, trimmed
+from adlint_spark.operators.rules.spec import on, INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_kid, at, attr, below, count_of, has, inside, is_v4, lacks, rule
 
 SPEC, XSD, BEST, GUESS = "VAST spec", "VAST XSD", "revenue impact", "inferred"
 LINEAR = f"{INLINE}/Creatives/Creative/Linear"
@@ -82,7 +82,7 @@ def resources() -> list[Rule]:
     return [
         rule("VAST-2.0-companion-resource", "E", SPEC, "Companion has no resource", "Companion", at(f"{creative}/CompanionAds/Companion") & none),
         rule("VAST-2.0-nonlinear-resource", "E", SPEC, "NonLinear has no resource", "NonLinear", at(f"{creative}/NonLinearAds/NonLinear") & none & ~has("MediaFiles")),
-        rule("VAST-4.0-companion-clicktracking-id", "E", SPEC, "CompanionClickTracking has no id", "CompanionClickTracking", VAST & F.col("trail").isin(f"{creative}/CompanionAds/Companion/CompanionClickTracking") & lacks("id")),
+        rule("VAST-4.0-companion-clicktracking-id", "E", SPEC, "CompanionClickTracking has no id", "CompanionClickTracking", VAST & on(f"{creative}/CompanionAds/Companion/CompanionClickTracking") & lacks("id")),
     ]
 
 
@@ -109,7 +109,7 @@ def mezzanine() -> list[Rule]:
 
 def taxonomy() -> list[Rule]:
     return [
-        rule("VAST-4.0-category-authority", "E", SPEC, "Category has no authority", "Category", VAST & F.col("trail").isin(f"{INLINE}/Category", f"{WRAPPER}/Category") & lacks("authority")),
+        rule("VAST-4.0-category-authority", "E", SPEC, "Category has no authority", "Category", VAST & on(f"{INLINE}/Category", f"{WRAPPER}/Category") & lacks("authority")),
         rule("VAST-4.1-blockedadcategories-no-authority", "W", SPEC, "BlockedAdCategories has no authority", "BlockedAdCategories", VAST & (F.col("trail") == f"{WRAPPER}/BlockedAdCategories") & lacks("authority")),
     ]
 
@@ -127,9 +127,9 @@ def pricing() -> list[Rule]:
 def verification() -> list[Rule]:
     block = f"{INLINE}/AdVerifications", f"{WRAPPER}/AdVerifications"
     gate = F.col("trail").startswith(INLINE) | F.coalesce(V >= 3, F.lit(False))
-    here = VAST & F.col("first") & F.col("trail").isin(*(f"{b}/Verification" for b in block)) & gate
-    js = VAST & F.col("trail").isin(*(f"{b}/Verification/JavaScriptResource" for b in block)) & gate
-    exe = VAST & F.col("trail").isin(*(f"{b}/Verification/ExecutableResource" for b in block)) & gate
+    here = VAST & F.col("first") & on(*(f"{b}/Verification" for b in block)) & gate
+    js = VAST & on(*(f"{b}/Verification/JavaScriptResource" for b in block)) & gate
+    exe = VAST & on(*(f"{b}/Verification/ExecutableResource" for b in block)) & gate
     level = F.when(V < 3, "warning").otherwise("error")
     vendor, parent = attr("vendor"), F.col("parent_attr")["vendor"]
     api = lambda k: F.lower(trimmed(k["attr"]["apiFramework"])) == "omid"
@@ -140,7 +140,7 @@ def verification() -> list[Rule]:
     vendors = F.transform(F.filter("kids", lambda k: (k["name"] == "Verification") & k["attr"]["vendor"].isNotNull()), lambda k: F.lower(trimmed(k["attr"]["vendor"])))
     vendors = F.filter(vendors, lambda x: x != "")
     repeats = F.size(vendors) - F.size(F.array_distinct(vendors))
-    tracked = VAST & F.col("trail").isin(*(f"{b}/Verification/TrackingEvents/Tracking" for b in block)) & gate
+    tracked = VAST & on(*(f"{b}/Verification/TrackingEvents/Tracking" for b in block)) & gate
     failed = attr("event") == "verificationNotExecuted"
     return [
         rule("VAST-4.1-verification-no-resource", "W", SPEC, "Verification has no resource", "Verification", here & ~(has("JavaScriptResource") | has("ExecutableResource"))),
@@ -260,8 +260,8 @@ def quality() -> list[Rule]:
     low = F.lower(trimmed(TEXT))
     system = at(f"{INLINE}/AdSystem", f"{WRAPPER}/AdSystem")
     return [
-        rule("VAST-2.0-adtitle-quality", "W", BEST, "AdTitle is a placeholder", "AdTitle", at(f"{INLINE}/AdTitle") & low.isin("", *TITLES)),
-        rule("VAST-2.0-adsystem-quality", "I", BEST, "AdSystem is a placeholder", "AdSystem", system & low.isin("", *SYSTEMS)),
+        rule("VAST-2.0-adtitle-quality", "W", BEST, "AdTitle is a placeholder", "AdTitle", at(f"{INLINE}/AdTitle") & among(low, ["", *TITLES])),
+        rule("VAST-2.0-adsystem-quality", "I", BEST, "AdSystem is a placeholder", "AdSystem", system & among(low, ["", *SYSTEMS])),
         rule("VAST-2.0-adsystem-no-version", "I", BEST, "AdSystem has no version", "AdSystem", system & lacks("version")),
     ]
 

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEVELS = {"E": "error", "W": "warning", "I": "info"}
+from adlint_spark.operators.rules import FINDING, LEVELS
 
-VAST = (F.col("root_name") == "VAST") & F.col("parse_error").isNull()
+
+
+VAST = F.expr("root_name = 'VAST' and parse_error is null")
 #: Elements that the walker reaches: everything but the inside of vendor extensions.
-VISITED = VAST & ~F.col("vendor_ext")
+VISITED = F.expr("root_name = 'VAST' and parse_error is null and not vendor_ext")
 V = F.col("v")
 TEXT = F.col("text")
 INLINE, WRAPPER = "VAST/Ad/InLine", "VAST/Ad/Wrapper"
@@ -34,12 +36,15 @@ class Rule:
     located: bool = True
 
     def findings(self) -> Column:
-        where = [F.col(c) if self.located else F.lit(None).cast("int") for c in ("line", "col")]
-        severity = self.severity if self.severity is not None else F.lit(LEVELS[self.level])
-        finding = lambda path: F.struct(F.lit(self.rule_id).alias("rule_id"), severity.alias("severity"), F.lit(self.text).alias("message"), path.alias("path"), where[0].alias("line"), where[1].alias("col"))
-        none = F.array().cast("array<struct<rule_id:string,severity:string,message:string,path:string,line:int,col:int>>")
-        found = F.array(finding(self.path if self.path is not None else F.col("path_sem"))) if self.each is None else F.transform(self.each, finding)
-        return F.when(F.coalesce(self.when, F.lit(False)), found).otherwise(none)
+        line, col = ("line", "col") if self.located else ("cast(null as int)", "cast(null as int)")
+        quoted = self.text.replace("'", "\\'")
+        if self.severity is None and self.path is None and self.each is None:  # most rules; one expression is quicker to build
+            found = F.expr(f"array(named_struct('rule_id', '{self.rule_id}', 'severity', '{LEVELS[self.level]}', 'message', '{quoted}', 'path', path_sem, 'line', {line}, 'col', {col}))")
+        else:
+            severity = self.severity if self.severity is not None else F.lit(LEVELS[self.level])
+            finding = lambda path: F.struct(F.lit(self.rule_id).alias("rule_id"), severity.alias("severity"), F.lit(self.text).alias("message"), path.alias("path"), F.expr(line).alias("line"), F.expr(col).alias("col"))
+            found = F.array(finding(self.path if self.path is not None else F.col("path_sem"))) if self.each is None else F.transform(self.each, finding)
+        return F.when(F.coalesce(self.when, F.lit(False)), found).otherwise(F.expr(f"cast(array() as array<{FINDING}>)"))
 
 
 def rule(rule_id: str, level: str, source: str, text: str, names: str, when: Column, **more) -> Rule:
@@ -47,15 +52,15 @@ def rule(rule_id: str, level: str, source: str, text: str, names: str, when: Col
 
 
 def attr(name: str) -> Column:
-    return F.col("attr")[name]
+    return F.expr(f"attr['{name}']")
 
 
 def lacks(name: str) -> Column:
-    return F.col("attr")[name].isNull()
+    return F.expr(f"attr['{name}'] is null")
 
 
 def has(kid: str) -> Column:
-    return F.array_contains("kids.name", kid)
+    return F.expr(f"array_contains(kids.name, '{kid}')")
 
 
 def count_of(kid: str) -> Column:
@@ -64,11 +69,15 @@ def count_of(kid: str) -> Column:
 
 def at(*trails: str) -> Column:
     """The element stands there, as the first of its name where only the first counts."""
-    return VAST & F.col("trail").isin(*trails) & F.col("first")
+    return VAST & on(*trails) & F.col("first")
+
+
+def on(*trails: str) -> Column:
+    return F.expr("trail in (" + ", ".join(f"'{t}'" for t in trails) + ")")
 
 
 def inside(name: str) -> Column:
-    return F.array_contains("ancestors", name)
+    return F.expr(f"array_contains(ancestors, '{name}')")
 
 
 def below(name: str) -> Column:

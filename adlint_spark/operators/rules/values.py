@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from adlint_spark.functions.values import (
     MACROS,
+    among,
     data_uri_is_html,
     has_illegal_uri_char,
     is_data_uri,
@@ -24,7 +25,7 @@ from adlint_spark.functions.values import (
     valid_tracking_event,
 )
 from adlint_spark.operators.detect import MACRO_ELEMENTS, URL_ELEMENTS
-from adlint_spark.operators.rules.spec import INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_kid, at, attr, has, inside, is_v4, lacks, rule
+from adlint_spark.operators.rules.spec import on, INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_kid, at, attr, has, inside, is_v4, lacks, rule
 
 SPEC, XSD, BEST, SIMID = "VAST spec", "VAST XSD", "revenue impact", "IAB SIMID"
 LINEAR = f"{INLINE}/Creatives/Creative/Linear"
@@ -45,7 +46,7 @@ def xs_types() -> list[Rule]:
 def taxonomy_authority() -> list[Rule]:
     out = []
     for name, trails, least in (("category", (f"{INLINE}/Category", f"{WRAPPER}/Category"), 2), ("blockedadcategories", (f"{WRAPPER}/BlockedAdCategories",), 3)):
-        here = VAST & F.col("trail").isin(*trails) & (V >= least) & ~lacks("authority")
+        here = VAST & on(*trails) & (V >= least) & ~lacks("authority")
         host = taxonomy_host(attr("authority"))
         known = host.isin("iabtechlab.com", "iab.com") | host.endswith(".iabtechlab.com")
         element, version = ("Category", "4.0") if least == 2 else ("BlockedAdCategories", "4.1")
@@ -104,7 +105,7 @@ def security() -> list[Rule]:
 def macros() -> list[Rule]:
     here = VAST & (inside("InLine") | inside("Wrapper") | (F.col("trail") == "VAST/Error"))
     tokens, place = macro_tokens(TEXT), F.col("path_pos")
-    known = lambda t: F.upper(t).isin(MACROS)
+    known = lambda t: among(F.upper(t), MACROS)
     names, can = " ".join(MACRO_ELEMENTS), TEXT.contains("[")
     wrong_place = F.exists(tokens, lambda t: ((F.upper(t) == "ERRORCODE") & (F.col("name") != "Error")) | ((F.upper(t) == "REASON") & ~((F.col("name") == "Tracking") & F.coalesce(attr("event") == "verificationNotExecuted", F.lit(False)))))
     return [
