@@ -182,7 +182,7 @@ def wrapper_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CTE + "SELECT k::VARCHAR AS doc_id, count(*) AS n FROM a WHERE inl AND s % 3 = 0 GROUP BY k")
 def https_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = verdicts.prepared(corpus.ad_corpus(spark, sf_dir)).filter("doc_id % 50 not in (0, 1, 2) and not (doc_id % 50 = 3 and doc_id % 9 = 7)")
-    return ready.select("doc_id", fix.upgrade_https(F.col("xml"))["n"].cast("long").alias("n")).filter("n > 0")
+    return ready.select("doc_id", fix.upgrade_https(F.col("xml"))["n"].cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 @query(_CTE + "SELECT count(DISTINCT k) AS documents, 'https' AS fix FROM a WHERE inl AND s % 3 = 0")

@@ -16,8 +16,8 @@ def mask_templates(xml: Column, pattern: str, placeholder: str = PLACEHOLDER_URL
 
 
 def is_json_escaped(xml: Column) -> Column:
-    plain = xml.contains('<VAST version="') | xml.contains("<VAST version='")
-    return ~plain & (xml.contains('<VAST version=\\"') | xml.contains("\\n<VAST"))
+    """An escaped open tag, and no plain one. One pattern, so that the text is named once where expressions nest."""
+    return xml.rlike(r"""(?s)^(?!.*<VAST version=["']).*(<VAST version=\\"|\\n<VAST)""")
 
 
 def _unescape_once(xml: Column) -> Column:
@@ -28,13 +28,15 @@ def _unescape_once(xml: Column) -> Column:
     return F.replace(out, F.lit("\x00"), F.lit("\\"))
 
 
-def unescape_json_vast(xml: Column, layers: int = 4) -> Column:
-    """struct<xml, was_escaped>: a JSON-escaped document unescaped up to ``layers`` times; as it was if that doesn't help."""
-    out = xml
+def unescape_json_vast(documents: DataFrame, layers: int = 4) -> DataFrame:
+    """``documents`` with JSON-escaped xml unescaped up to ``layers`` times, left as it was if that doesn't help, and was_escaped.
+
+    Each layer is a column of its own: nested in one expression they would multiply.
+    """
+    rows = documents.withColumns({"was_escaped": F.coalesce(is_json_escaped(F.col("xml")), F.lit(False)), "__layer": F.col("xml")})
     for _ in range(layers):
-        out = F.when(is_json_escaped(out), _unescape_once(out)).otherwise(out)
-    was = is_json_escaped(xml)
-    return F.struct(F.when(is_json_escaped(out), xml).otherwise(out).alias("xml"), was.alias("was_escaped"))
+        rows = rows.withColumn("__layer", F.when(is_json_escaped(F.col("__layer")), _unescape_once(F.col("__layer"))).otherwise(F.col("__layer")))
+    return rows.withColumn("xml", F.when(is_json_escaped(F.col("__layer")), F.col("xml")).otherwise(F.col("__layer"))).drop("__layer")
 
 
 def guard_document(xml: Column, max_bytes: int = 4 << 20) -> Column:

@@ -15,8 +15,7 @@ NOT_SILENCED = ("VAST-2.0-extension-misplaced-element", "VAST-2.0-creative-exten
 
 def prepared(documents: DataFrame) -> DataFrame:
     """``documents`` with JSON-escaped texts unescaped, and was_escaped."""
-    fixed = unescape_json_vast(F.coalesce("xml", F.lit("")))
-    return documents.withColumn("__fixed", fixed).withColumns({"xml": F.col("__fixed.xml"), "was_escaped": F.col("__fixed.was_escaped")}).drop("__fixed")
+    return unescape_json_vast(documents.withColumn("xml", F.coalesce("xml", F.lit(""))))
 
 
 def elements(documents: DataFrame) -> DataFrame:
