@@ -62,4 +62,5 @@ def fix(documents: DataFrame) -> DataFrame:
 
 def fix_report(fixed: DataFrame) -> DataFrame:
     """(doc_id, fix, path): a row for each repair of each document."""
-    return fixed.select("doc_id", F.explode("applied").alias("fix"), F.lit("/VAST").alias("path"))
+    # an inner explode would push its filter through all the steps, and write them out many times
+    return fixed.select("doc_id", F.explode_outer("applied").alias("fix"), F.lit("/VAST").alias("path")).filter("fix is not null")
