@@ -183,6 +183,17 @@ def test_ppm_bounds_its_model_by_the_most_frequent_contexts(docs_of):
     assert all(len(level.cells) <= 40 for level in small.levels[2:]) and np.isfinite(ppm.log_probability(small.levels, ppm.context_keys(np.frombuffer(b"zabq", np.uint8), np.array([0, 4]), 4)[0])).all()
 
 
+@pytest.mark.parametrize("max_cells", [1, 12, 60])
+def test_ppm_with_few_contexts_sent_equals_brute_force(docs_of, max_cells):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["ab", "abc", "Bca", "é", "cab", "x\ty", f"q{k % 9}z"]) for _ in range(rng.randrange(14)))) for k in range(70)] + [(70, None), (71, "zz Q"), (72, "漢 ab " * 40)]
+    docs, learn = docs_of(rows), [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    model = ppm.train(docs, 5, max_cells, 3)[0]
+    assert all(len(level.cells) <= max_cells for level in model.levels[2:])
+    got = {r.doc_id: r for r in ppm.lm_scores(docs, lambda c: held_in(c, 7, 2), max_cells=max_cells, max_head=3).collect()}
+    assert [got[i].score for i, _ in rows] == pytest.approx([brute_ppm(learn, t or "", 5) for _, t in rows])
+
+
 # ---------------------------------------------------------------- SentencePiece
 
 TEXTS = ["", "   ", "  a  b\n c\t d 漢字 é \x00x", None, "aaaaaaa bbbbbb", "tttt", "x" * 700, "<s> </s> <0x0A> 🎉🎉", "http://www.example.com/a_b?c=d&&&###", "\n\n\n", "the " * 5000, "Thinanre*** of the  things"]
