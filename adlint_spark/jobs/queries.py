@@ -70,6 +70,11 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.elements(verdicts.prepared(corpus.ad_corpus(spark, sf_dir)))
 
 
+def _well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = verdicts.prepared(corpus.ad_corpus(spark, sf_dir))
+    return fix.well_formed(ready, verdicts.elements(ready))
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = verdicts.prepared(corpus.ad_corpus(spark, sf_dir))
     return run_rules(verdicts.elements(ready), FIRING).unionByName(verdicts.escaped_findings(ready))
@@ -163,7 +168,7 @@ def tracking_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM o LEFT JOIN broken b ON b.k = o.k LEFT JOIN (SELECT DISTINCT k FROM a WHERE inl) m ON m.k = o.k WHERE NOT (o.kind = 3 AND o.v = 7) GROUP BY 1, 2"""
 )
 def detected_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect.doc_meta(_nodes(spark, sf_dir)).filter("not (doc_id % 50 = 3 and doc_id % 9 = 7)")
+    rows = detect.doc_meta(_nodes(spark, sf_dir))
     return rows.groupBy("input_status", F.col("version.effective").alias("version")).agg(F.count("*").alias("n"))
 
 
@@ -181,14 +186,13 @@ def wrapper_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CTE + "SELECT k::VARCHAR AS doc_id, count(*) AS n FROM a WHERE inl AND s % 3 = 0 GROUP BY k")
 def https_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = verdicts.prepared(corpus.ad_corpus(spark, sf_dir)).filter("doc_id % 50 not in (0, 1, 2) and not (doc_id % 50 = 3 and doc_id % 9 = 7)")
+    ready = _well_formed(spark, sf_dir)
     return ready.select("doc_id", fix.upgrade_https(F.col("xml"))["n"].cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 @query(_CTE + "SELECT count(DISTINCT k) AS documents, 'https' AS fix FROM a WHERE inl AND s % 3 = 0")
 def fix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = verdicts.prepared(corpus.ad_corpus(spark, sf_dir)).filter("not (doc_id % 50 = 3 and doc_id % 9 = 7)")
-    return fix.fix_report(fix.fix(ready)).groupBy("fix").agg(F.countDistinct("doc_id").alias("documents"))
+    return fix.fix_report(fix.fix(_well_formed(spark, sf_dir))).groupBy("fix").agg(F.countDistinct("doc_id").alias("documents"))
 
 
 @query(_CTE + "SELECT rule_id, sum(times)::BIGINT AS n FROM f WHERE rule_id NOT IN ('VAST-2.0-mediafile-https', 'VAST-2.0-json-escaped') GROUP BY rule_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlint_spark.functions.values import is_simid
+from adlint_spark.operators.detect import doc_meta
 
 TRACKING = (
     "Impression Error ClickThrough ClickTracking CustomClick IconClickThrough IconClickTracking IconViewTracking NonLinearClickThrough "
@@ -48,6 +49,11 @@ def remove_conditional_ad(xml: Column) -> Column:
 STEPS = (("https", lambda x: upgrade_https(x)["xml"]), ("simid-api", fix_simid_api), ("variable-duration", fix_variable_duration), ("simid-type", fix_simid_type), ("conditional-ad", remove_conditional_ad))
 
 
+def well_formed(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``documents`` that can be parsed, by their ``nodes``; a malformed one has no elements to report a repair of."""
+    return documents.join(doc_meta(nodes).filter("parse_error is null").select("doc_id"), "doc_id", "left_semi")
+
+
 def fix(documents: DataFrame) -> DataFrame:
     """``documents`` with repaired xml, and ``applied``, the names of the repairs that changed it. Each step is a column of its own."""
     rows, before = documents.withColumn("__0", F.col("xml")), "__0"

@@ -1,10 +1,12 @@
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from adlint_spark import streaming
 from adlint_spark.functions import values
+from adlint_spark.jobs import queries as jobs
 from adlint_spark.operators import chains, detect, fix, tallies, verdicts
 from adlint_spark.operators.rules import REVENUE, rule_catalog
 from adlint_spark.sources import corpus, io
@@ -113,6 +115,25 @@ def test_repairs(spark):
     assert r[0].applied == ["https", "simid-api", "variable-duration", "simid-type", "conditional-ad"] and r[1].xml is None and r[2].applied == []
 
 
+def test_repair_queries_see_every_document(spark):
+    """Document by document from the texts themselves: a malformed one has a status and no repair."""
+    ready = verdicts.prepared(corpus.ad_corpus(spark, "/root/testdata/sf0.001")).select("doc_id", "xml").collect()
+
+    def parses(xml):
+        try:
+            ElementTree.fromstring(xml)
+        except ElementTree.ParseError:
+            return False
+        return True
+
+    insecure = {r.doc_id: r.xml.lower().count("http://") for r in ready if parses(r.xml) and "http://" in r.xml.lower()}
+    assert any("http://" in r.xml and not parses(r.xml) for r in ready)
+    assert {r.doc_id: r.n for r in jobs.https_upgrades(spark, "/root/testdata/sf0.001").collect()} == insecure
+    assert [tuple(r) for r in jobs.fix_report(spark, "/root/testdata/sf0.001").collect()] == [("https", len(insecure))]
+    versions = jobs.detected_versions(spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n for r in versions) == len(ready) and sum(r.n for r in versions if r.input_status == "malformed") == sum(not parses(r.xml) for r in ready)
+
+
 def test_values(spark):
     uris = {"https://a.com/x": True, "https://[DOMAIN]/x": False, "https://a.com/[X]": True, "a.com": False, "data:x": True, "about:blank": True, "mailto:a": True, "http://": False}
     rows = spark.createDataFrame(list(uris.items()), "u string, want boolean").filter(values.is_uri_like(F.col("u")) != F.col("want"))
