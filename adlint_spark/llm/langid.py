@@ -32,12 +32,12 @@ class Codes:
 def codewords(n: int) -> np.ndarray:
     """n codewords of +1 and -1, no column constant or the opposite of another.
 
-    Up to seven languages have the exhaustive code (2 ** (n - 1) - 1 bits, any two words differ in 2 ** (n - 2));
+    Up to eight languages have the exhaustive code (2 ** (n - 1) - 1 bits, any two words differ in 2 ** (n - 2));
     more have seeded random columns, about fifteen for each doubling of n.
     """
     if n < 2:
         return np.ones((n, 1))
-    if n <= 7:
+    if n <= 8:  # eight have 35 balanced columns only
         return np.array([c for c in itertools.product((1.0, -1.0), repeat=n) if c[0] > 0 and min(c) < 0]).T
     rng, columns = np.random.default_rng(11), {}
     while len(columns) < 15 * int(np.ceil(np.log2(n))):

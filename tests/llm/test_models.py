@@ -92,6 +92,21 @@ def test_codes_correct_errors():
             assert langid.decode(codes, sent[None], 4.0)[0][0] == k
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_codes_end_and_differ_for_every_number_of_languages(n):
+    codes = langid.codewords(n)
+    assert codes.shape[0] == n and set(codes.ravel()) <= {1.0, -1.0} and len({tuple(c * c[0]) for c in codes.T}) == codes.shape[1]
+    if n > 1:
+        assert (np.abs(codes.sum(axis=0)) < n).all() and min((a != b).sum() for a, b in itertools.combinations(codes, 2)) >= min(codes.shape[1], 2 ** (min(n, 5) - 2))
+
+
+def test_eight_languages_are_told_apart(docs_of):
+    words = ["the of and", "der die das", "le la les", "el los una", "il gli che", "och det som", "ja ei se", "nie jest na"]
+    rows = [(k, w, f"l{k % 8}", None) for k, w in enumerate(words * 6)]
+    got = langid.languages(docs_of(rows), lambda c: F.lit(True)).collect()
+    assert all(r.lang_pred == f"l{r.doc_id % 8}" for r in got)
+
+
 # ---------------------------------------------------------------- quality
 
 
