@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adlint_spark.functions.values import normalize_caller
 from adlint_spark.operators.rules import _all_findings
-from adlint_spark.operators.verdicts import elements, prepared
+from adlint_spark.operators.verdicts import elements, escaped_findings, prepared
 
 
 def validate_stream(documents: DataFrame) -> DataFrame:
@@ -15,8 +15,9 @@ def validate_stream(documents: DataFrame) -> DataFrame:
 
     A document that can't be read gives its parse error and the stream goes on.
     """
-    nodes = elements(prepared(documents))
-    return nodes.select("doc_id", F.explode(_all_findings(())).alias("f")).select("doc_id", "f.*")
+    ready = prepared(documents)
+    found = elements(ready).select("doc_id", F.explode(_all_findings(())).alias("f")).select("doc_id", "f.*")
+    return found.unionByName(escaped_findings(ready).select(found.columns))
 
 
 def event_time(events: DataFrame, delay: str = "10 minutes") -> DataFrame:

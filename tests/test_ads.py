@@ -85,6 +85,15 @@ def test_stream_finds_what_the_batch_finds(spark, documents, validated, tmp_path
     assert got == sorted((r.doc_id, r.rule_id) for r in validated[1] if r.rule_id != "VAST-2.0-json-escaped")
 
 
+def test_stream_finds_escaped_documents_too(spark, documents, validated, tmp_path):
+    documents.write.parquet(str(tmp_path / "in"))
+    stream = io.stream_documents(spark, str(tmp_path / "in"), documents.schema)
+    query = streaming.validate_stream(stream).writeStream.format("memory").queryName("all_found").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    key = lambda r: tuple(str(r[c]) for c in verdicts.FINDING_KEY)
+    assert sorted(map(key, spark.table("all_found").collect())) == sorted(map(key, validated[1]))
+
+
 def test_event_stream_equals_batch(spark, tmp_path):
     events = corpus.verdict_events(spark, "/root/testdata/sf0.001")
     events.write.parquet(str(tmp_path / "e"))
