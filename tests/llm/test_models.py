@@ -128,6 +128,15 @@ def test_quality_edge_cases(spark, docs_of):
     assert quality.quality_scores(docs.limit(0), labels.limit(0), lambda c: held_in(c, 5, 0)).count() == 0
 
 
+def test_quality_learns_from_eight_thousand_rows(spark, docs_of, monkeypatch):
+    docs = docs_of([(k, f"word{k % 2}") for k in range(8200)])
+    labels = spark.range(8200).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda features, label: seen.append(len(label)))
+    quality.train(docs, labels, "quality")
+    assert seen == [8000]
+
+
 def test_dual_coordinate_descent_finds_the_optimum():
     rng = np.random.default_rng(1)
     x = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
