@@ -33,9 +33,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate group; rows without doc_id stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each near-duplicate group, that of the least doc_id (null last); texts without words all stay.
+
+    Decided by row: numbers stand as ids, so rows that repeat a doc_id or have none are compared like others. ``docs``
+    must have the same rows in the same places whenever it is read, as tables and checkpoints do.
+    """
+    rows = docs.select(COLUMNS).withColumn("__row", F.monotonically_increasing_id())
+    near = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).filter(~F.col("kept"))
+    later = cut_lineage(near.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__set")))
+    members = later.union(later.select("__set", "__set").distinct()).join(rows.select("__row", "doc_id"), "__row")
+    least = members.groupBy("__set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__least"))
+    gone = members.join(least, "__set").filter("__row <> __least").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +55,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of each text."""
-    rows = encode(docs.select("doc_id", "source", "text"), load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
-    return rows.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids")
+    """doc_id, source, n_tokens and ids of each text, and whether decoding them gives the text back."""
+    rows = encode(docs.select("doc_id", "source", "text"), load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"), checked="round_trip")
+    return rows.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
@@ -59,7 +68,7 @@ STAGES = [
     ("SentencePiece encoding", encoding_stage),
 ]
 
-#: Learnt models decide in these stages, which SQL can't express; tests hold them against brute force.
+#: Learnt models decide in these stages, which SQL can't express; tests hold each stage's rows against plain Python, the models' predictions given.
 ORACLE_SQL = None
 
 
