@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,21 @@ def held_in(doc_id: Column, modulus: int, left_out: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus != left_out
 
 
+def count_class(n: Column) -> Column:
+    """A whole number that rises with ``n``: its binary length, then its first four bits. Some 500 at most; 1 has the least but 0."""
+    length = F.length(F.bin(n))
+    return F.when(n <= 0, F.lit(0)).otherwise(length * 16 + F.call_function("shiftrightunsigned", n * 8, length - 1))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the folder that the session names; a temporary one only where none is set (tests)."""
+    """``checkpoint()`` in the shared folder that the session names as ``spark.checkpoint.dir``.
+
+    Where none is set, a local master, all of whose tasks run in the driver, takes a temporary one; a cluster is an error.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -55,6 +67,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- numpy, inside tasks
 
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow``; at a partition's end the Python worker, which lives on, gives back the memory that it no longer uses."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -80,11 +112,14 @@ _powers: list[np.ndarray] = []
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, for n positions."""
-    if not _powers or len(_powers[0]) < n:
-        m = max(n, 1 << 20)
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.full(m, b, np.uint64)]).cumprod() for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+    """Powers of an odd base and of its inverse modulo 2^64, for n positions; those for long texts aren't kept."""
+    if _powers and len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    m = max(n, (1 << 20) + (1 << 16))
+    tables = [np.concatenate([np.ones(1, np.uint64), np.full(m, b, np.uint64)]).cumprod() for b in (_BASE, _INVERSE)]
+    if m < 1 << 21:
+        _powers[:] = tables
+    return tables[0], tables[1]
 
 
 def text_chunks(column: pa.Array, max_bytes: int = 1 << 20, max_rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

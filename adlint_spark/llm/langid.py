@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import text_chunks
+from adlint_spark.llm.common import map_batches, text_chunks
 from adlint_spark.llm.grams import byte_grams
 
 ORDERS = (2, 3, 4)
@@ -67,7 +67,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             full = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(total[full])], names=["lang", "bucket", "n"])
 
-    return labelled.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return map_batches(labelled.select("text", "lang"), run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(labelled: DataFrame, smoothing: float = 0.5) -> Codes:
@@ -134,7 +134,7 @@ def with_language(docs: DataFrame, model: Codes, sharpness: float = 4.0) -> Data
             yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(~clear)], names=[*(c for c in batch.schema.names if c != "__letter"), "lang_pred", "score", "ambiguous"])
 
     schema = docs.drop("lang_pred", "score", "ambiguous").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return rows.drop("lang_pred", "score", "ambiguous").mapInArrow(run, schema)
+    return map_batches(rows.drop("lang_pred", "score", "ambiguous"), run, schema)
 
 
 def languages(docs: DataFrame, may_learn) -> DataFrame:

@@ -12,7 +12,7 @@ from adlint_spark.llm.common import cut_lineage, n_words
 
 
 def size_class(size: Column) -> Column:
-    """A whole number that rises with the size: its binary length, then the three bits below the first one."""
+    """A whole number for each range of sizes, some 500 at most: by the binary length and the first bits of the size."""
     length = F.length(F.bin(size))
     low = F.when(length > 3, F.call_function("shiftrightunsigned", size * 8, length - 1)).otherwise(size * 8)
     return F.when(size <= 0, F.lit(0)).otherwise((length * 16).cast("long") + low)

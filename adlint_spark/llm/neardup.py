@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import cut_lineage
+from adlint_spark.llm.common import cut_lineage, map_batches
 from adlint_spark.llm.neardup_kernel import linked_stars, min_max_bands, shingle_sets
 
 #: A group that compares shingle sets holds two blocks of at most about this many shingles (8 bytes each).
@@ -43,7 +43,7 @@ def signatures(docs: DataFrame, width: int = 5, permutations: int = 64, rows: in
                 )
                 at += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -57,7 +57,7 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["doc_id", "shingles"])
                 at += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>")
 
 
 def candidate_groups(reps: DataFrame) -> DataFrame:

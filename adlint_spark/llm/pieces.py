@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from adlint_spark.llm.pieces_kernel import SPACE, Vocabulary, decode_ids, encode_texts, make_merges, piece_key
+from adlint_spark.llm.common import map_batches
+from adlint_spark.llm.pieces_kernel import SPACE, Vocabulary, decode_ids, encode_runs, make_merges, piece_key
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -62,7 +63,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for tokens, offs in encode_texts(sent.value, batch.column(text)):
+            for tokens, offs in encode_runs(sent.value, batch.column(text)):
                 n = len(offs) - 1
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(tokens))
                 columns, names = [*(batch.column(c).slice(at, n) for c in kept), lists], [*kept, ids]
@@ -74,7 +75,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
                 at += n
 
     schema = docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType()))
-    return docs.mapInArrow(run, schema.add(checked, "boolean") if checked else schema)
+    return map_batches(docs, run, schema.add(checked, "boolean") if checked else schema)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -94,4 +95,4 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
             out = decode_ids(sent.value, flat, np.concatenate([[0], np.cumsum(sizes)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], names=[*kept, text])
 
-    return docs.mapInArrow(run, docs.select(kept).schema.add(text, "string"))
+    return map_batches(docs, run, docs.select(kept).schema.add(text, "string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,7 +53,11 @@ class Known:
 
 
 #: Beyond so many words a process starts anew.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 17
+
+
+#: The rank of what never merges.
+NEVER = np.iinfo(np.int32).max
 
 
 @dataclass
@@ -87,7 +92,7 @@ class Merges:
         out, new = self.fine[slot], self.seen[slot] != code
         if new.any():
             codes, inverse = np.unique(code[new], return_inverse=True)
-            fine = np.concatenate([self._test(*np.divmod(codes[k : k + 20_000], len(self.usable))) for k in range(0, len(codes), 20_000)])
+            fine = np.concatenate([self._test(*np.divmod(codes[k : k + 4_000], len(self.usable))) for k in range(0, len(codes), 4_000)])
             out[new] = fine[inverse]
             self.seen[slot[new]], self.fine[slot[new]] = code[new], out[new]
         return out
@@ -97,8 +102,8 @@ class Merges:
         r, re, l, le = self.right[a][:, :, None], self.right_end[a][:, :, None], self.left[b][:, None, :], self.left_end[b][:, None, :]
         code = np.where((r >= 0) & (l >= 0), r.astype(np.int64) * len(self.usable) + l, -1)
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        rank = np.where(self.pairs[at] == code, self.ranks[at], np.iinfo(np.int64).max)
-        return ~((rank < re) & (rank <= le) & (rank < np.iinfo(np.int64).max)).any(axis=(1, 2))
+        rank = np.where(self.pairs[at] == code, self.ranks[at], NEVER)
+        return ~((rank < re) & (rank <= le) & (rank < NEVER)).any(axis=(1, 2))
 
 
 def merge_tree(word: str, rank: dict[str, int]) -> tuple | None:
@@ -119,29 +124,28 @@ def make_merges(pieces: list[str], scores: np.ndarray) -> Merges:
     order = np.empty(len(pieces), np.int64)
     order[np.lexsort((np.arange(len(pieces)), -scores))] = np.arange(len(pieces))
     rank = {p: int(order[k]) for p, k in index.items()}
-    never = np.iinfo(np.int64).max
     chains: list[list[list[tuple[int, int]]]] = [[], []]
     usable = np.zeros(len(pieces), bool)
     for k, p in enumerate(pieces):
         tree = merge_tree(p, rank)
         usable[k] = tree is not None
         for side in (0, 1):  # 0: last parts, 1: first parts
-            chain, node, end = [], tree, never
+            chain, node, end = [], tree, NEVER
             while node is not None:
                 if node[0] in index:
                     chain.append((index[node[0]], end))
-                end, node = rank.get(node[0], never), node[2 - side]
+                end, node = rank.get(node[0], NEVER), node[2 - side]
             chains[side].append(chain)
     depth = max(len(c) for side in chains for c in side)
     tables = []
     for side in chains:
-        part, end = np.full((len(pieces), depth), -1, np.int64), np.zeros((len(pieces), depth), np.int64)
+        part, end = np.full((len(pieces), depth), -1, np.int32), np.zeros((len(pieces), depth), np.int32)
         for k, chain in enumerate(side):
             for j, (x, e) in enumerate(chain):
                 part[k, j], end[k, j] = x, e
         tables += [part, end]
     pairs = sorted((index[p[:i]] * len(pieces) + index[p[i:]], rank[p]) for p in pieces for i in range(1, len(p)) if p[:i] in index and p[i:] in index)
-    return Merges(usable, *tables, np.array([c for c, _ in pairs] or [-2], np.int64), np.array([r for _, r in pairs] or [never], np.int64))
+    return Merges(usable, *tables, np.array([c for c, _ in pairs] or [-2], np.int64), np.array([r for _, r in pairs] or [NEVER], np.int32))
 
 
 def piece_key(points: np.ndarray) -> np.ndarray:
@@ -295,9 +299,13 @@ def encode_words(vocabulary: Vocabulary, data: np.ndarray, offs: np.ndarray) ->
 
 
 def encode_texts(vocabulary: Vocabulary, column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``encode_runs``, all at once."""
+    return list(encode_runs(vocabulary, column))
+
+
+def encode_runs(vocabulary: Vocabulary, column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: (ids, offsets). Words, cut before each run of spaces, are encoded once for each run of texts."""
-    out = []
-    for at, end, data, offs in text_chunks(column, 4 << 20):
+    for at, end, data, offs in text_chunks(column):
         raw = data.tobytes()
         if SPACE.encode() in raw:  # the mark itself is read as a space
             texts = [raw[a:b].replace(SPACE.encode(), b" ") for a, b in zip(offs[:-1], offs[1:], strict=True)]
@@ -319,8 +327,7 @@ def encode_texts(vocabulary: Vocabulary, column) -> list[tuple[np.ndarray, np.nd
         sizes = known.sizes[place]
         runs = np.concatenate([[0], np.cumsum(sizes)])
         take = np.repeat(known.starts[place] - runs[:-1], sizes) + np.arange(runs[-1])
-        out.append((known.ids[take], runs[np.searchsorted(starts, offs)]))
-    return out
+        yield known.ids[take], runs[np.searchsorted(starts, offs)]
 
 
 def learn(vocabulary: Vocabulary, data: np.ndarray, cuts: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Known:

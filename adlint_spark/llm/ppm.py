@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import cut_lineage, span_hashes, text_chunks, word_spans
+from adlint_spark.llm.common import count_class, cut_lineage, map_batches, span_hashes, text_chunks, word_spans
 
 #: Bytes that UTF-8 never has: before the text, and its end.
 START, END = 0xFE, 0xFF
@@ -18,6 +18,10 @@ START, END = 0xFE, 0xFF
 END_TOKEN = np.uint64(0x5EED0FE2DA71E57D)
 
 
+#: The class of 1, the least of all counts.
+LEAST_CLASS = 24
+
+
 # ---------------------------------------------------------------- counting
 
 
@@ -54,44 +58,45 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def counts(docs: DataFrame, order: int) -> DataFrame:
     """(kind, key, n): occurrences of contexts with their symbol (kind 0) and of tokens (kind 1) in all of ``docs`` (text).
 
-    A partition adds up its own texts first, some 32 MB at a time.
+    A partition adds up its own texts first, as long as it holds at most some 2 ** 20 different keys of a kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                keys, n = _added(held[kind])
-                for a in range(0, len(keys), 1 << 18):
-                    part = slice(a, a + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int8)), pa.array(keys[part].view(np.int64)), pa.array(n[part])], names=["kind", "key", "n"])
-                held[kind] = []
+        def flush(kind: int) -> Iterator[pa.RecordBatch]:
+            keys, n = _added(held[kind])
+            held[kind] = []
+            for a in range(0, len(keys), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int8)), pa.array(keys[part].view(np.int64)), pa.array(n[part])], names=["kind", "key", "n"])
 
         for batch in batches:
-            for _, _, data, offs in text_chunks(batch.column("text"), 4 << 20):
+            for _, _, data, offs in text_chunks(batch.column("text")):
                 held[0].append(np.unique(context_keys(data, offs, order)[0], return_counts=True))
                 held[1].append(np.unique(token_hashes(data, offs)[0], return_counts=True))
-                size += len(data)
-            if size > 32 << 20:
-                yield from flush()
-                size = 0
-        if held[0]:
-            yield from flush()
-
-    return docs.select("text").mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def least_count(df: DataFrame, n: str, weight: str, most: int, top: int = 10_000) -> int:
-    """The least count from which on the summed ``weight`` stays within ``most``; counts of ``top`` and more are one class."""
-    rows = df.groupBy(F.least(n, F.lit(top)).alias("n")).agg(F.sum(weight).alias("w")).collect()  # top rows at most
-    total, least = 0, top + 1
-    for r in sorted(rows, key=lambda r: -r["n"]):
+                for kind in (0, 1):
+                    if sum(len(k) for k, _ in held[kind]) > 1 << 21:
+                        held[kind] = [_added(held[kind])]
+                        if len(held[kind][0][0]) > 1 << 20:
+                            yield from flush(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                yield from flush(kind)
+
+    return map_batches(docs.select("text"), run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def least_class(df: DataFrame, n: str, weight: str, most: int) -> int:
+    """The least class of ``n`` from which on the summed ``weight`` stays within ``most``; one above all where even the
+    highest class is more."""
+    rows = df.groupBy(count_class(F.col(n)).alias("class")).agg(F.sum(weight).alias("w")).collect()  # some 500 classes
+    total, least = 0, 1 << 20
+    for r in sorted(rows, key=lambda r: -r["class"]):
         total += r["w"]
         if total > most:
             break
-        least = r["n"]
+        least = r["class"]
     return least
 
 
@@ -211,8 +216,8 @@ def train(docs: DataFrame, order: int, max_cells: int, max_head: int) -> tuple[M
     """The model of all texts of ``docs`` (text), the table of all token counts (key, n), and that of the rare cells (key, n).
 
     Every text counts. ``max_cells`` bounds what is sent to the tasks: of each order the most frequent contexts, whole,
-    down to the least count at which their cells fit. The cells of the longest order whose contexts are not sent are the
-    rare ones; those of shorter contexts follow from them. ``max_head`` bounds the tokens that are sent.
+    down to the least class of counts at which their cells fit, none if not even the highest fits. The cells of the longest
+    order whose contexts are not sent are the rare ones; those of shorter contexts follow from them. ``max_head`` bounds the tokens that are sent.
     """
     seen = cut_lineage(counts(docs, order))
     tokens = seen.filter("kind = 1").select("key", "n")
@@ -227,18 +232,18 @@ def train(docs: DataFrame, order: int, max_cells: int, max_head: int) -> tuple[M
         if k > 1:  # orders 0 and 1 have 2 ** 16 cells at most
             contexts = table.groupBy(context.alias("context")).agg(F.sum("times").alias("total"), F.count("*").alias("cells"))
             # a context is at most as frequent as its end, which is then kept too
-            least = max(least, least_count(contexts, "total", "cells", max_cells))
-            if least > 1:
-                kept = table.join(contexts.filter(F.col("total") >= least), context == F.col("context"), "left_semi")
+            least = max(least, least_class(contexts, "total", "cells", max_cells))
+            if least > LEAST_CLASS:
+                kept = table.join(contexts.filter(count_class(F.col("total")) >= least), context == F.col("context"), "left_semi")
                 rare_from = k if rare_from is None else rare_from
-                rare = table.join(contexts.filter(F.col("total") < least), context == F.col("context"), "left_semi").select("key", "n")
+                rare = table.join(contexts.filter(count_class(F.col("total")) < least), context == F.col("context"), "left_semi").select("key", "n")
         got = kept.select("key", "n").toArrow()
         keys, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
         turn = np.argsort(keys)
         tables.append((keys[turn], n[turn]))
     sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head_from = least_count(tokens.withColumn("one", F.lit(1)), "n", "one", max_head)
-    head = tokens.filter(F.col("n") >= head_from).toArrow()
+    head_from = least_class(tokens.withColumn("one", F.lit(1)), "n", "one", max_head)
+    head = tokens.filter(count_class(F.col("n")) >= head_from).toArrow()
     keys, n = head.column("key").to_numpy().view(np.uint64), head.column("n").to_numpy()
     turn = np.argsort(keys)
     return Model(order, make_levels(tables), rare_from, keys[turn], n[turn], head_from, int(sums["n"]), int(sums["v"])), tokens, rare
@@ -318,10 +323,10 @@ def rare_scores(asked: DataFrame, cells: DataFrame, sent, rare_from: int) -> Dat
             yield from scored(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     end = F.col("key").bitwiseAND(F.lit(mask))
-    return both.repartition(end).sortWithinPartitions(end).mapInArrow(run, "row long, score double")
+    return map_batches(both.repartition(end).sortWithinPartitions(end), run, "row long, score double")
 
 
-def lm_scores(docs: DataFrame, may_learn, order: int = 5, max_cells: int = 1 << 21, max_head: int = 1 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, may_learn, order: int = 5, max_cells: int = 1 << 20, max_head: int = 1 << 19) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     ``score`` is the log10 probability of the text's bytes and its end under a PPM model (escape method D, update and symbol
@@ -343,8 +348,8 @@ def lm_scores(docs: DataFrame, may_learn, order: int = 5, max_cells: int = 1 <<
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, end - at), batch.column("doc_id").slice(at, end - at), pa.array(n), pa.array(known), pa.array(total), pa.array(score), tail, rare], names=["row", "doc_id", "n_tokens", "known", "total", "score", "tail", "rare"])
 
     pairs = "array<struct<key:long,times:long>>"
-    found = cut_lineage(rows.mapInArrow(run, f"row long, doc_id long, n_tokens long, known long, total double, score double, tail {pairs}, rare {pairs}"))
-    rest = found.select("row", F.inline("tail")).join(tokens.filter(F.col("n") < model.head_from), "key")
+    found = cut_lineage(map_batches(rows, run, f"row long, doc_id long, n_tokens long, known long, total double, score double, tail {pairs}, rare {pairs}"))
+    rest = found.select("row", F.inline("tail")).join(tokens.filter(count_class(F.col("n")) < model.head_from), "key")
     rest = rest.select("row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("added"), F.lit(0.0).alias("rare_score"))
     if model.rare_from is not None:
         rare = rare_scores(found.select("row", F.inline("rare")), cells, sent, model.rare_from)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import text_chunks
+from adlint_spark.llm.common import map_batches, text_chunks
 from adlint_spark.llm.grams import distinct_features
 
 #: Hashed features: 2 ** BITS; a text's number in a run of texts takes the other bits of 32.
@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(features.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), batch.column("label").slice(at, end - at), lists], names=["doc_id", "label", "features"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, features array<int>").toArrow()
+    # rows that repeat a document count once, so no more than max_rows of them reach the driver
+    got = map_batches(rows, run, "doc_id long, label int, features array<int>").toArrow()
     ids, label = got.column("doc_id").to_numpy(), got.column("label").to_numpy()
     parts = [x for c in got.column("features").chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) if len(c)]
     order = np.lexsort((label, ids, ids * np.int64(0x9E3779B1) % 1_000_003))  # any fixed order that mixes the ids
@@ -125,14 +126,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000)
 
 
 def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
-    """``docs`` with the column ``score``, P(label 1) of each whole text; a null text counts as empty."""
+    """``docs`` with the column ``score``, P(label 1) of each whole text; a null text counts as empty. A column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(sent.value, batch.column("text")))], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(run, docs.drop(score).schema.add(score, "double"))
+    rows = docs.drop(score)
+    return map_batches(rows, run, docs.drop(score).schema.add(score, "double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, may_learn, label: str = "quality", threshold: float = 0.3, max_rows: int = 8000) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from adlint_spark.llm.common import map_batches
+
 _BLOCK = "n long, dim long, ids binary, low binary, step binary, cells binary, vectors binary"
 _QUERY = "n long, dim long, ids binary, vectors binary"
 _FOUND = "query_id long, vec_id long, score long"
@@ -61,7 +63,7 @@ def va_file(vectors: DataFrame, bits: int = 6, block_rows: int = 4096) -> DataFr
             cells = np.minimum((v - low) / step, 2**bits - 1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(ids), v.shape[1], ids.tobytes(), low.tobytes(), step.tobytes(), cells.tobytes(), v.tobytes())], schema=pa.schema([("n", pa.int64()), ("dim", pa.int64()), *((c, pa.binary()) for c in ("ids", "low", "step", "cells", "vectors"))]))
 
-    return vectors.mapInArrow(run, _BLOCK)
+    return map_batches(vectors, run, _BLOCK)
 
 
 def query_blocks(queries: DataFrame, block_rows: int = 512) -> DataFrame:
@@ -71,7 +73,7 @@ def query_blocks(queries: DataFrame, block_rows: int = 512) -> DataFrame:
         for ids, v in _matrices(batches, block_rows):
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(ids), v.shape[1], ids.tobytes(), v.tobytes())], schema=pa.schema([("n", pa.int64()), ("dim", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())]))
 
-    return queries.mapInArrow(run, _QUERY)
+    return map_batches(queries, run, _QUERY)
 
 
 def scan(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, low: np.ndarray, step: np.ndarray, cells: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -156,7 +158,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, lanes: int = 0) -> Data
                 for own, ids, scores in found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), own)), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-    met = left.join(right, "lane").drop("lane").mapInArrow(run, _FOUND)
+    met = map_batches(left.join(right, "lane").drop("lane"), run, _FOUND)
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank: Column = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
