@@ -26,9 +26,6 @@ def query(sql: str | None = None):
     return register
 
 
-#: Families that the queries run.
-FIRING = ()  # all: the columns of one set of families are built once a process
-
 # what each switch of the corpus gives, by document k
 _CTE = """
 WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 9 AS v, o_orderkey % 50 AS kind FROM orders),
@@ -40,6 +37,7 @@ imp AS (SELECT *, CASE WHEN p % 17 = 0 THEN 2 ELSE 1 END AS times FROM a WHERE p
 f AS (
   SELECT k, 'VAST-2.0-parse-error' AS rule_id, 'error' AS severity, 1 AS times FROM broken
   UNION ALL SELECT k, 'VAST-2.0-json-escaped', 'error', 1 FROM o WHERE kind = 3 AND v <> 7
+  UNION ALL SELECT k, 'VMAP-1.0-root-namespace', 'warning', 1 FROM o WHERE kind = 1
   UNION ALL SELECT k, 'VAST-2.0-root-version', 'error', 1 FROM d WHERE v = 7
   UNION ALL SELECT k, 'VAST-2.0-root-version-value', 'warning', 1 FROM d WHERE v = 8
   UNION ALL SELECT k, 'VAST-2.0-ad-sequence', 'warning', 1 FROM a WHERE k % 4 = 0 GROUP BY k HAVING bool_or(n % 2 = 0) AND bool_or(n % 2 = 1)
@@ -76,16 +74,11 @@ def _well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = verdicts.prepared(corpus.ad_corpus(spark, sf_dir))
-    return run_rules(verdicts.elements(ready), FIRING).unionByName(verdicts.escaped_findings(ready))
-
-
-def _callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tallies.with_caller(corpus.ad_corpus(spark, sf_dir).select("doc_id", "caller"))
+    return run_rules(_nodes(spark, sf_dir))
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.verdicts_of(corpus.ad_corpus(spark, sf_dir)).join(_callers(spark, sf_dir), "doc_id")
+    return tallies.with_caller(verdicts.verdicts_of(corpus.ad_corpus(spark, sf_dir)))
 
 
 @query(_CTE + "SELECT caller, count(*) AS total, count(*) FILTER (errors > 0) AS invalid, count(*) FILTER (errors > 0) / greatest(count(*)::DOUBLE, 1e-9) AS rate FROM verdict JOIN caller USING (k) GROUP BY caller")
@@ -115,13 +108,13 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CTE + f"SELECT caller, rule_id, rule_id IN {_REVENUE} AS revenue_impact, sum(times)::BIGINT AS count FROM f JOIN caller USING (k) GROUP BY caller, rule_id")
 def finding_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = verdicts.enrich(_findings(spark, sf_dir), rule_catalog(spark)).join(_callers(spark, sf_dir), "doc_id")
+    rows = tallies.with_caller(verdicts.enrich(_findings(spark, sf_dir), rule_catalog(spark)))
     return tallies.finding_tally(rows)
 
 
 @query(_CTE + f"SELECT caller, sum(times)::BIGINT AS count FROM f JOIN caller USING (k) WHERE rule_id IN {_REVENUE} GROUP BY caller")
 def revenue_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = verdicts.enrich(_findings(spark, sf_dir), rule_catalog(spark)).join(_callers(spark, sf_dir), "doc_id")
+    rows = tallies.with_caller(verdicts.enrich(_findings(spark, sf_dir), rule_catalog(spark)))
     return tallies.revenue_findings(rows)
 
 
@@ -165,7 +158,7 @@ def tracking_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _CTE + """SELECT CASE WHEN b.k IS NOT NULL THEN 'malformed' WHEN o.kind NOT IN (1, 2) AND o.v = 8 THEN 'unsupported' ELSE 'supported' END AS input_status,
     CASE WHEN o.kind IN (1, 2) THEN NULL WHEN o.v < 7 THEN ['2.0', '3.0', '4.0', '4.1', '4.2', '4.3', '4.4'][(o.v + 1)::INT] WHEN o.kind <> 0 AND b.k IS NULL AND m.k IS NOT NULL THEN '2.0' END AS version, count(*) AS n
-    FROM o LEFT JOIN broken b ON b.k = o.k LEFT JOIN (SELECT DISTINCT k FROM a WHERE inl) m ON m.k = o.k WHERE NOT (o.kind = 3 AND o.v = 7) GROUP BY 1, 2"""
+    FROM o LEFT JOIN broken b ON b.k = o.k LEFT JOIN (SELECT DISTINCT k FROM a WHERE inl) m ON m.k = o.k GROUP BY 1, 2"""
 )
 def detected_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect.doc_meta(_nodes(spark, sf_dir))
@@ -198,7 +191,7 @@ def fix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CTE + "SELECT rule_id, sum(times)::BIGINT AS n FROM f WHERE rule_id NOT IN ('VAST-2.0-mediafile-https', 'VAST-2.0-json-escaped') GROUP BY rule_id")
 def findings_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = fix.fix(verdicts.prepared(corpus.ad_corpus(spark, sf_dir)))
-    return run_rules(verdicts.elements(fixed), FIRING).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return run_rules(verdicts.elements(fixed)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 @query(_CTE + "SELECT 'right' AS side, 'VAST-4.1-adservingid-present' AS rule_id, count(*) AS n FROM a WHERE inl AND v NOT BETWEEN 3 AND 6 UNION ALL SELECT 'right', 'VAST-4.0-universaladid-present', count(*) FROM a WHERE inl AND v NOT BETWEEN 2 AND 6 UNION ALL SELECT 'right', 'VAST-4.1-mezzanine-recommended', count(*) FROM a WHERE inl AND v NOT BETWEEN 3 AND 6")

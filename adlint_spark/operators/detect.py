@@ -16,8 +16,10 @@ def mask_templates(xml: Column, pattern: str, placeholder: str = PLACEHOLDER_URL
 
 
 def is_json_escaped(xml: Column) -> Column:
-    """An escaped open tag, and no plain one. One pattern, so that the text is named once where expressions nest."""
-    return xml.rlike(r"""(?s)^(?!.*<VAST version=["']).*(<VAST version=\\"|\\n<VAST)""")
+    """An escaped open tag, and no plain one."""
+    plain = xml.contains('<VAST version="') | xml.contains("<VAST version='") | xml.contains('<vast version="') | xml.contains("<vast version='")
+    escaped = xml.contains('<VAST version=\\"') | xml.contains('<vast version=\\"') | xml.contains("\\n<VAST") | xml.contains("\\n<vast")
+    return escaped & ~plain
 
 
 def _unescape_once(xml: Column) -> Column:
@@ -34,9 +36,10 @@ def unescape_json_vast(documents: DataFrame, layers: int = 4) -> DataFrame:
     Each layer is a column of its own: nested in one expression they would multiply.
     """
     rows = documents.withColumns({"was_escaped": F.coalesce(is_json_escaped(F.col("xml")), F.lit(False)), "__layer": F.col("xml")})
-    for _ in range(layers):
-        rows = rows.withColumn("__layer", F.when(is_json_escaped(F.col("__layer")), _unescape_once(F.col("__layer"))).otherwise(F.col("__layer")))
-    return rows.withColumn("xml", F.when(is_json_escaped(F.col("__layer")), F.col("xml")).otherwise(F.col("__layer"))).drop("__layer")
+    for k in range(layers):
+        again = F.col("was_escaped") if k == 0 else F.col("was_escaped") & is_json_escaped(F.col("__layer"))
+        rows = rows.withColumn("__layer", F.when(again, _unescape_once(F.col("__layer"))).otherwise(F.col("__layer")))
+    return rows.withColumn("xml", F.when(F.col("was_escaped") & ~is_json_escaped(F.col("__layer")), F.col("__layer")).otherwise(F.col("xml"))).drop("__layer")
 
 
 def guard_document(xml: Column, max_bytes: int = 4 << 20) -> Column:
@@ -69,7 +72,7 @@ def detect_version(declared: Column, inferred: Column, forced: Column, kind: Col
 
 
 def with_detection(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with document_type, status, version (struct) and v, the effective version's number."""
+    """``nodes`` with document_type, status, version (struct), v, the effective version's number, and whether rules of VAST apply."""
     nodes = nodes.withColumn("document_type", document_type(F.col("root_name")))
     nodes = nodes.withColumns(
         {
@@ -77,12 +80,13 @@ def with_detection(nodes: DataFrame) -> DataFrame:
             "version": detect_version(declared_version(F.col("root_name"), F.col("root_version")), F.col("inferred"), F.col("forced_version"), F.col("document_type")),
         }
     )
-    return nodes.withColumn("v", version_ord(F.col("version.effective")))
+    vast = F.coalesce((F.col("root_name") == "VAST") & F.col("parse_error").isNull(), F.lit(False))
+    return nodes.withColumns({"v": version_ord(F.col("version.effective")), "vast": vast, "visited": vast & ~F.col("vendor_ext")})
 
 
 def doc_meta(nodes: DataFrame) -> DataFrame:
     """A row for each document: its root's."""
-    return nodes.filter("node_id = 0").select("doc_id", "policy_id", "document_type", F.col("status").alias("input_status"), "version", "root_name", "parse_error")
+    return nodes.filter("node_id = 0").select("doc_id", "caller", "policy_id", "document_type", F.col("status").alias("input_status"), "version", "root_name", "parse_error")
 
 
 def first_wrapper_uri(xml: Column) -> Column:
@@ -92,20 +96,22 @@ def first_wrapper_uri(xml: Column) -> Column:
 
 
 def inspect(documents: DataFrame) -> DataFrame:
-    """A row for each document of what its open tags tell: ad type, system, title, duration, counts, wrapper URI."""
-    xml = F.coalesce("xml", F.lit(""))
-    opened = lambda name: F.regexp_count(xml, F.lit(rf"<([A-Za-z0-9_]+:)?{name}(\s[^>]*)?(?<!/)>"))
-    value = lambda name: F.nullif(trimmed(F.regexp_replace(F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1), r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1")), F.lit(""))
-    kinds = F.regexp_extract_all(xml, F.lit(r"<(InLine|Wrapper)[\s>]"), 1)
-    durations = F.regexp_extract_all(xml, F.lit(r"<Duration(?:\s[^>]*)?>\s*([^<\s]+)\s*</Duration>"), 1)
-    return documents.select(
-        "doc_id",
-        F.try_element_at(kinds, F.lit(-1)).alias("ad_type"),
-        value("AdSystem").alias("ad_system"),
-        value("AdTitle").alias("ad_title"),
-        F.try_element_at(durations, F.lit(-1)).alias("duration"),
-        *(opened(n).alias(c) for n, c in (("Impression", "impressions"), ("Tracking", "trackings"), ("Companion", "companions"))),
-        first_wrapper_uri(F.col("xml")).alias("wrapper_uri"),
+    """A row for each document of what its elements tell: ad type, system, title, duration, counts, wrapper URI.
+
+    Of several the last non-empty one counts; tags with a prefix, tags closed at once and comments don't. Of a document
+    that isn't well formed nothing is told.
+    """
+    from adlint_spark.sources.shred import shred
+
+    nodes = shred(documents.withColumn("xml", F.coalesce("xml", F.lit(""))))
+    fine = F.col("opened") & F.col("parse_error").isNull()
+    last = lambda name: F.max_by(F.when(fine & (F.col("name") == name) & (F.col("text") != ""), F.col("text")), F.when(fine & (F.col("name") == name) & (F.col("text") != ""), F.col("node_id")))
+    kind = fine & F.col("name").isin("InLine", "Wrapper")
+    return nodes.groupBy("doc_id").agg(
+        F.max_by(F.when(kind, F.col("name")), F.when(kind, F.col("node_id"))).alias("ad_type"),
+        *(last(n).alias(c) for n, c in (("AdSystem", "ad_system"), ("AdTitle", "ad_title"), ("Duration", "duration"))),
+        *(F.count_if(fine & (F.col("name") == n)).alias(c) for n, c in (("Impression", "impressions"), ("Tracking", "trackings"), ("Companion", "companions"))),
+        last("VASTAdTagURI").alias("wrapper_uri"),
     )
 
 
@@ -128,9 +134,9 @@ def url_inventory(nodes: DataFrame, kind: str = "macros") -> DataFrame:
     rows = nodes.filter(F.col("name").isin(names) & F.col("parse_error").isNull())
     scheme = F.nullif(F.lower(F.regexp_extract("text", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
     host = F.nullif(F.lower(F.regexp_extract("text", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
-    return rows.select("doc_id", "path_sem", F.col("name").alias("kind"), F.col("text").alias("url"), scheme.alias("scheme"), host.alias("host"))
+    return rows.select("doc_id", "spot", F.col("name").alias("kind"), F.col("text").alias("url"), scheme.alias("scheme"), host.alias("host"))
 
 
 def tracking_inventory(nodes: DataFrame) -> DataFrame:
     rows = nodes.filter("name = 'Tracking' and parse_error is null")
-    return rows.select("doc_id", F.col("attr")["event"].alias("event"), F.col("attr")["offset"].alias("offset"), F.col("text").alias("url"), F.try_element_at("ancestors", F.lit(-2)).alias("context"))
+    return rows.select("doc_id", F.col("attr")["event"].alias("event"), F.col("attr")["offset"].alias("offset"), F.col("text").alias("url"), F.try_element_at(F.split("trail", "/"), F.lit(-3)).alias("context"))

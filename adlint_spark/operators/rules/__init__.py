@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A finding, and the severities by their letter.
-FINDING = "struct<rule_id:string,severity:string,message:string,path:string,line:int,col:int>"
+#: The severities by their letter, and the mark that a hit of each begins with.
 LEVELS = {"E": "error", "W": "warning", "I": "info"}
+MARKS = {"E": "\x01", "W": "\x02", "I": "\x03"}
 #: Findings of these rules cost revenue.
 REVENUE = frozenset(
     "VAST-2.0-inline-impression VAST-2.0-wrapper-impression VAST-2.0-wrapper-vastadtaguri VAST-2.0-mediafile-https VAST-2.0-tracking-https "
@@ -26,45 +27,119 @@ def families() -> dict:
     return {**required.FAMILIES, **values.FAMILIES, **content.FAMILIES, **playlist.FAMILIES, **audio.FAMILIES}
 
 
-def family_rules(names: tuple[str, ...] = ()) -> list:
-    return [rule for name, family in families().items() if not names or name in names for rule in family()]
+@cache
+def all_rules() -> tuple:
+    """(family, rule) of all families; a rule's number is its place."""
+    return tuple((name, rule) for name, family in families().items() for rule in family())
 
 
 def rule_catalog(spark: SparkSession, sources: list[str] | None = None) -> DataFrame:
     """(ordinal, rule_id, family, default_severity, description, source, revenue_impact): a row for each rule."""
     seen: dict[str, tuple] = {}
-    for name, family in families().items():
-        for r in family():
-            seen.setdefault(r.rule_id, (len(seen), r.rule_id, name, LEVELS[r.level], r.text, r.source, r.rule_id in REVENUE))
+    for name, r in all_rules():
+        seen.setdefault(r.rule_id, (len(seen), r.rule_id, name, LEVELS[r.default or r.level], r.text, r.source, r.rule_id in REVENUE))
     rows = spark.createDataFrame(list(seen.values()), "ordinal int, rule_id string, family string, default_severity string, description string, source string, revenue_impact boolean")
     return rows.filter(F.col("source").isin(sources)) if sources is not None else rows
 
 
 @cache
-def _all_findings(names: tuple[str, ...]) -> Column:
-    """array of findings of one element row. Rules are gathered by element name, so an element meets those of its name and
-    those for any name."""
-    rules = family_rules(names)
-    none = F.expr(f"cast(array() as array<{FINDING}>)")
+def hits(names: tuple[str, ...] = ()) -> Column:
+    """The rules that an element row breaks, as one text: a line for each with its severity's mark, the rule's number and,
+    for some rules, a colon and what its path ends with; empty for most rows.
+
+    Rules are gathered by element name, so an element meets those of its name and those for any name.
+    """
     by_name: dict[str, list[Column]] = {}
-    general = [none]
-    for r in rules:
-        found = r.findings()
-        for name in r.names:
-            by_name.setdefault(name, []).append(found)
+    by_names: dict[tuple[str, ...], list[Column]] = {}
+    general: list[Column] = []
+    for number, (family, r) in enumerate(all_rules()):
+        if names and family not in names:
+            continue
         if not r.names:
-            general.append(found)
-    named = none
+            general.append(r.hit(number))
+        elif len(r.names) > 2:  # written once for all of them
+            by_names.setdefault(r.names, []).append(r.hit(number))
+        else:
+            for name in r.names:
+                by_name.setdefault(name, []).append(r.hit(number))
+    together = lambda found: F.nullif(F.concat_ws("\n", *found), F.lit("")) if len(found) > 1 else found[0]
+    general += [F.when(F.expr("name in (" + ", ".join(f"'{n}'" for n in some) + ")"), together(found)) for some, found in by_names.items()]
+    named = F.lit(None).cast("string")
     for name, found in by_name.items():
-        named = F.when(F.expr(f"name = '{name}'"), F.concat(*found)).otherwise(named)
-    return F.concat(*general, named)
+        named = F.when(F.expr(f"name = '{name}'"), F.concat_ws("\n", *found)).otherwise(named)
+    # never true, but not deterministic: else the optimizer would write the whole text again wherever it is compared
+    once = F.when(F.rand(0) < 0, F.lit(""))
+    # inside a lambda, so that tasks evaluate it as it is: as generated code every task would write and compile it anew
+    all_ = F.transform(F.array(F.lit(0)), lambda _: F.concat_ws("\n", *general, F.nullif(named, F.lit(""))))[0]
+    return F.concat_ws("\n", once, all_)
+
+
+def hit_counts(hits: Column) -> list[Column]:
+    """errors, warnings, infos of a row's hits."""
+    return [(F.length(hits) - F.length(F.translate(hits, MARKS[k], ""))).cast("long").alias(c) for k, c in (("E", "errors"), ("W", "warnings"), ("I", "infos"))]
+
+
+@cache
+def _rule_table() -> Column:
+    """array of the rules' fixed parts by number; a literal after constant folding."""
+    rows = [{"rule_id": r.rule_id, "severity": LEVELS[r.level], "message": r.text, "spec_ref": r.spec, "mode": r.mode, "suffix": r.suffix, "located": r.located} for _, r in all_rules()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,severity:string,message:string,spec_ref:string,mode:string,suffix:string,located:boolean>>")
+
+
+#: Steps of the schema form that carry their place among all siblings.
+PLACED = "Creative Tracking MediaFile Mezzanine InteractiveCreativeFile Icon Extension CreativeExtension Verification ClosedCaptionFile ClickThrough ClickTracking CustomClick".split()
+
+
+def _path(mode: Column) -> Column:
+    """The path of the element, or of its parent, from its ``spot`` in one of the forms that rules use."""
+    from adlint_spark.sources.shred import INDEXED
+
+    listed, placed = (F.expr("array(" + ", ".join(f"'{x}'" for x in sorted(names)) + ")") for names in (INDEXED, PLACED))
+    steps = F.split("spot", "/")
+    inside = F.col("trail").startswith("VAST/Ad/InLine/") | F.col("trail").startswith("VAST/Ad/Wrapper/")
+    up = mode.isin("up", "schema_up")
+
+    def step(s: Column, i: Column) -> Column:
+        part = F.split(s, " ")
+        name, nth, pos = part[0], part[1], part[2]
+        index = (
+            F.when(i == 0, F.lit(None).cast("string"))
+            .when(name == "Ad", nth)
+            .when(mode == "pos", F.when((i > 2) & inside, pos))
+            .when(mode.isin("schema", "schema_up"), F.when(F.array_contains(placed, name), pos))
+            .when(F.array_contains(listed, name) | ((mode == "last") & (i == F.size(steps) - 1)), nth)
+        )
+        return F.when(index.isNull(), F.concat(F.lit("/"), name)).otherwise(F.concat(F.lit("/"), name, F.lit("["), index, F.lit("]")))
+
+    wanted = F.slice(F.transform(steps, step), F.lit(1), F.greatest(F.size(steps) - up.cast("int"), F.lit(0)))
+    return F.array_join(wanted, "")
 
 
 def run_rules(nodes: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, policy_id, rule_id, severity, message, path, line, col): the findings of all rules over ``nodes`` with detection
-    columns. One projection, then one explode, no shuffle."""
-    found = nodes.select("doc_id", "policy_id", F.explode(_all_findings(tuple(names))).alias("f"))
-    return found.select("doc_id", "policy_id", "f.*")
+    """(doc_id, caller, policy_id, rule_id, severity, message, path, spec_ref, line, col): the findings of all rules over
+    ``nodes`` with detection columns.
+
+    One projection decides, rows without a hit go, then one explode. Paths and messages are made for findings alone. No shuffle.
+    """
+    rows = nodes.withColumn("hits", hits(tuple(names))).filter("hits <> ''")
+    return findings_of(rows)
+
+
+def findings_of(rows: DataFrame, *more: str) -> DataFrame:
+    """The findings of rows that have hits; ``more`` columns are kept."""
+    rows = rows.select(*more, "doc_id", "caller", "policy_id", "base", "spot", "trail", "line", "col", F.explode(F.split("hits", "\n")).alias("hit"))
+    number = F.substring_index(F.substring("hit", 2, 1 << 20), ":", 1).cast("int")
+    end = F.when(F.instr("hit", ":") > 0, F.expr("substring(hit, instr(hit, ':') + 1)"))
+    rows = rows.withColumns({"r": F.element_at(_rule_table(), number + 1), "end": end})
+    moved = F.col("end").startswith("@")  # a child's place, which the finding names instead of the row's
+    tail = F.when(moved, F.expr("substring(end, instr(end, ';') + 1)")).otherwise(F.coalesce("end", F.lit("")))
+    base, mode = F.coalesce("base", F.lit("")), F.col("r.mode")
+    path = F.when(mode == "root", F.concat(base, F.lit("/"))).when(mode == "top", F.concat(base, F.lit("/VAST"))).when(mode == "none", F.col("base")).otherwise(F.concat(base, _path(mode), F.coalesce("r.suffix", F.lit("")), tail))
+
+    def place(c: str, k: int) -> Column:
+        return F.when(F.col("r.located"), F.when(moved, F.regexp_extract("end", r"^@(\d+),(\d+);", k).cast("int")).otherwise(F.col(c))).alias(c)
+
+    return rows.select(*more, "doc_id", "caller", "policy_id", "r.rule_id", "r.severity", "r.message", path.alias("path"), "r.spec_ref", place("line", 1), place("col", 2))
 
 
 def family_union(*findings: DataFrame) -> DataFrame:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from adlint_spark.operators.rules import FINDING, LEVELS
+from adlint_spark.operators.rules import MARKS
 
-
-
-VAST = F.expr("root_name = 'VAST' and parse_error is null")
-#: Elements that the walker reaches: everything but the inside of vendor extensions.
-VISITED = F.expr("root_name = 'VAST' and parse_error is null and not vendor_ext")
+#: Elements of VAST documents that can be read; those that the walker reaches: all but the inside of vendor extensions.
+VAST, VISITED = F.col("vast"), F.col("visited")
 V = F.col("v")
 TEXT = F.col("text")
 INLINE, WRAPPER = "VAST/Ad/InLine", "VAST/Ad/Wrapper"
@@ -21,8 +18,11 @@ INLINE, WRAPPER = "VAST/Ad/InLine", "VAST/Ad/Wrapper"
 
 @dataclass(frozen=True)
 class Rule:
-    """``names``: elements that it looks at (any if empty). ``when`` decides; ``each`` gives the paths of several findings at
-    once instead. ``severity`` overrides the level by a column; ``located`` tells whether line and column are given."""
+    """``names``: elements that it looks at (any if empty). ``when`` decides; ``each`` gives what the paths of several findings
+    end with instead. ``mode`` is the form of the path (sem: numbers among namesakes; pos and schema: places among all siblings of
+    all, or of some, steps; last: sem, the last step numbered whatever it is; up and schema_up: the parent's; top: /VAST; root: /;
+    none: no path), ``suffix`` its fixed end. ``located``
+    tells whether line and column are given. ``default`` is the level in the catalog where ``level`` is that of a variant."""
 
     rule_id: str
     level: str
@@ -30,25 +30,28 @@ class Rule:
     text: str
     names: tuple[str, ...]
     when: Column
-    path: Column | None = None
+    mode: str = "sem"
+    suffix: str = ""
     each: Column | None = None
-    severity: Column | None = None
     located: bool = True
+    spec: str = ""
+    default: str = ""
+
+    def hit(self, number: int) -> Column:
+        """The line, or lines, of the row's hits if the rule is broken, else null."""
+        mark = f"{MARKS[self.level]}{number}"
+        found = F.lit(mark) if self.each is None else F.array_join(F.transform(self.each, lambda s: F.concat(F.lit(f"{mark}:"), s)), "\n")
+        return F.when(self.when, found)
 
-    def findings(self) -> Column:
-        line, col = ("line", "col") if self.located else ("cast(null as int)", "cast(null as int)")
-        quoted = self.text.replace("'", "\\'")
-        if self.severity is None and self.path is None and self.each is None:  # most rules; one expression is quicker to build
-            found = F.expr(f"array(named_struct('rule_id', '{self.rule_id}', 'severity', '{LEVELS[self.level]}', 'message', '{quoted}', 'path', path_sem, 'line', {line}, 'col', {col}))")
-        else:
-            severity = self.severity if self.severity is not None else F.lit(LEVELS[self.level])
-            finding = lambda path: F.struct(F.lit(self.rule_id).alias("rule_id"), severity.alias("severity"), F.lit(self.text).alias("message"), path.alias("path"), F.expr(line).alias("line"), F.expr(col).alias("col"))
-            found = F.array(finding(self.path if self.path is not None else F.col("path_sem"))) if self.each is None else F.transform(self.each, finding)
-        return F.when(F.coalesce(self.when, F.lit(False)), found).otherwise(F.expr(f"cast(array() as array<{FINDING}>)"))
 
+def rule(rule_id: str, level: str, source: str, text: str, names: str, when: Column, spec: str = "", **more) -> Rule:
+    return Rule(rule_id, level, source, text, tuple(names.split()), when, spec=spec, **more)
 
-def rule(rule_id: str, level: str, source: str, text: str, names: str, when: Column, **more) -> Rule:
-    return Rule(rule_id, level, source, text, tuple(names.split()), when, **more)
+
+def by_level(r: Rule, other: str, when: Column) -> list[Rule]:
+    """The rule, and in its place one of level ``other`` where ``when`` holds."""
+    weaker = F.coalesce(when, F.lit(False))
+    return [replace(r, when=r.when & ~weaker), replace(r, level=other, default=r.level, when=r.when & weaker)]
 
 
 def attr(name: str) -> Column:
@@ -69,20 +72,20 @@ def count_of(kid: str) -> Column:
 
 def at(*trails: str) -> Column:
     """The element stands there, as the first of its name where only the first counts."""
-    return VAST & on(*trails) & F.col("first")
+    return F.expr(f"vast and first and trail {_among(trails)}")
 
 
 def on(*trails: str) -> Column:
-    return F.expr("trail in (" + ", ".join(f"'{t}'" for t in trails) + ")")
+    return F.expr(f"trail {_among(trails)}")
 
 
-def inside(name: str) -> Column:
-    return F.expr(f"array_contains(ancestors, '{name}')")
+def _among(texts) -> str:
+    listed = ", ".join(f"'{t}'" for t in texts)
+    return f"= {listed}" if len(texts) == 1 else f"in ({listed})"
 
 
-def below(name: str) -> Column:
-    """The path of a child that is named without index."""
-    return F.concat("path_sem", F.lit(f"/{name}"))
+def inside(name: str) -> Column:
+    return F.col("trail").contains(f"/{name}/")
 
 
 def is_v4() -> Column:
@@ -91,3 +94,15 @@ def is_v4() -> Column:
 
 def any_kid(test) -> Column:
     return F.exists("kids", test)
+
+
+def any_grand(of: str, test) -> Column:
+    """Whether a child of the first child ``of`` fits."""
+    return F.exists("grand", lambda g: (g["of"] == of) & test(g))
+
+
+def kids_at(test, name=None) -> Column:
+    """For ``each``: the place and path end of the children that fit; ``name`` tells the last step from a child and its number."""
+    name = name or (lambda k, i: k["name"])
+    numbered = F.transform("kids", lambda k, i: F.when(test(k), F.concat(F.lit("@"), k["line"], F.lit(","), k["col"], F.lit(";/"), name(k, i))))
+    return F.array_compact(numbered)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.operators.detect import doc_meta, unescape_json_vast, with_detection
-from adlint_spark.operators.rules import _all_findings, run_rules
+from adlint_spark.operators.detect import detect_version, document_type, declared_version, unescape_json_vast, with_detection
+from adlint_spark.functions.values import version_ord
+from adlint_spark.operators.rules import _rule_table, findings_of, hit_counts, hits, run_rules
 from adlint_spark.sources.shred import shred
 
 #: Rules that a policy can't switch off; they then stay as they are.
@@ -23,34 +24,36 @@ def elements(documents: DataFrame) -> DataFrame:
     return with_detection(shred(documents))
 
 
-def escaped_findings(documents: DataFrame) -> DataFrame:
-    """The finding of each document that was JSON-escaped, from ``prepared`` documents."""
-    policy = F.col("policy_id").cast("string") if "policy_id" in documents.columns else F.lit(None).cast("string")
-    none = F.lit(None).cast("int")
-    return documents.filter("was_escaped").select("doc_id", policy.alias("policy_id"), F.lit("VAST-2.0-json-escaped").alias("rule_id"), F.lit("error").alias("severity"), F.lit("the document is JSON-escaped").alias("message"), F.lit(None).cast("string").alias("path"), none.alias("line"), none.alias("col"))
+def policy_levels(overrides: DataFrame) -> DataFrame:
+    """(policy_id, rule_id, level), one for each policy and rule: of several levels the one that comes first by name."""
+    return overrides.groupBy(F.col("policy_id").cast("string").alias("policy_id"), "rule_id").agg(F.min("level").alias("level"))
 
 
 def apply_policy(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     """``findings`` under ``overrides`` (policy_id, rule_id, level): ``off`` drops a finding, another level is its severity.
 
-    Policies are small tables of at most one row for each policy and rule; Spark sends them along where they are.
+    Policies are small tables; Spark sends them along where they are. A policy that names a rule twice has the level that
+    comes first by name.
     """
-    levels = overrides.select(F.col("policy_id").cast("string"), "rule_id", "level").dropDuplicates(["policy_id", "rule_id"])
-    rows = findings.join(levels, ["policy_id", "rule_id"], "left")
+    rows = findings.join(policy_levels(overrides), ["policy_id", "rule_id"], "left")
     off = (F.col("level") == "off") & ~F.col("rule_id").isin(*NOT_SILENCED)
     level = F.when(F.col("level") != "off", F.col("level"))
     return rows.filter(~F.coalesce(off, F.lit(False))).withColumn("severity", F.coalesce(level, "severity")).select(*findings.columns)
 
 
-def check_policy(overrides: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(policy_id, unknown_rules, bad_levels): what is wrong with each policy; strict callers stop if there are rows."""
-    rows = overrides.join(catalog.select("rule_id", F.lit(True).alias("known")), "rule_id", "left")
+def check_policy(overrides: DataFrame, catalog: DataFrame, strict: bool = False) -> DataFrame:
+    """(policy_id, unknown_rules, bad_levels): what is wrong with each policy. ``strict`` makes the first wrong one an error of the job."""
+    rows = overrides.join(F.broadcast(catalog.select("rule_id", F.lit(True).alias("known"))), "rule_id", "left")  # under 300 rules
     bad = ~F.coalesce(F.col("level").isin("error", "warning", "info", "off"), F.lit(False))
     out = rows.groupBy("policy_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("rule_id")))).alias("unknown_rules"),
         F.array_sort(F.collect_set(F.when(bad, F.coalesce("level", F.lit("null"))))).alias("bad_levels"),
     )
-    return out.filter("size(unknown_rules) > 0 or size(bad_levels) > 0")
+    out = out.filter("size(unknown_rules) > 0 or size(bad_levels) > 0")
+    if not strict:
+        return out
+    said = F.concat(F.lit("policy "), F.coalesce("policy_id", F.lit("null")), F.lit(": unknown rules ["), F.array_join("unknown_rules", ", "), F.lit("], levels ["), F.array_join("bad_levels", ", "), F.lit("]"))
+    return out.withColumn("unknown_rules", F.when(F.lit(True), F.raise_error(said).cast("array<string>")))
 
 
 def counts(severity: Column) -> list[Column]:
@@ -65,26 +68,34 @@ def summarize(findings: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def validate(documents: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, findings) of ``documents`` (doc_id, xml, further context columns)."""
-    ready = prepared(documents)
-    nodes = elements(ready)
-    findings = run_rules(nodes).unionByName(escaped_findings(ready))
-    if overrides is not None:
-        findings = apply_policy(findings, overrides)
-    return summarize(findings, doc_meta(nodes)), findings
-
-
-def verdicts_of(documents: DataFrame) -> DataFrame:
-    """The verdicts of ``documents`` in one pass: findings are counted where they arise, one row for each element is summed by document."""
-    ready = prepared(documents)
-    nodes = elements(ready.withColumn("policy_id", F.col("was_escaped").cast("string")))  # carried through the parse
-    found = nodes.withColumn("f", _all_findings(()))
-    count = lambda level: F.size(F.filter("f", lambda x: x["severity"] == level))
+    """(verdicts, findings) of ``documents`` (doc_id, xml, further context columns). Each of the two parses the documents once."""
+    findings = run_rules(elements(prepared(documents)))
+    return verdicts_of(documents, overrides), findings if overrides is None else apply_policy(findings, overrides)
+
+
+def verdicts_of(documents: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(doc_id, caller, document_type, input_status, version, errors, warnings, infos, valid): a row for each document, in one pass.
+
+    Findings are counted where they arise, and only roots and elements with findings are summed by document; with a policy
+    they are looked up one by one before that.
+    """
+    nodes = elements(prepared(documents)).withColumn("hits", hits())
     top = F.col("node_id") == 0
-    escaped = F.when(top & (F.col("policy_id") == "true"), 1).otherwise(0)
-    sums = [F.sum(count(s) + (escaped if s == "error" else 0)).alias(c) for s, c in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))]
-    rows = found.groupBy("doc_id").agg(F.max(F.when(top, F.struct("document_type", F.col("status").alias("input_status"), F.col("version.effective").alias("effective_version")))).alias("m"), *sums)
-    return rows.select("doc_id", "m.*", "errors", "warnings", "infos", (F.col("errors") == 0).alias("valid"))
+    meta = F.when(top, F.struct("caller", "document_type", F.col("status").alias("input_status"), "version"))
+    rows = nodes.filter(top | (F.col("hits") != "")).select("doc_id", "policy_id", "hits", meta.alias("meta"))
+    if overrides is None:
+        rows = rows.select("doc_id", "meta", *hit_counts(F.col("hits")))
+    else:
+        rows = rows.select("doc_id", "policy_id", "meta", F.posexplode_outer(F.split(F.nullif("hits", F.lit("")), "\n")).alias("nth", "hit"))
+        found = F.element_at(_rule_table(), F.substring_index(F.substring("hit", 2, 1 << 20), ":", 1).cast("int") + 1)
+        rows = rows.withColumns({"rule_id": found["rule_id"], "severity": found["severity"], "meta": F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("meta"))})
+        rows = rows.join(policy_levels(overrides), ["policy_id", "rule_id"], "left")
+        off = (F.col("level") == "off") & ~F.col("rule_id").isin(*NOT_SILENCED)
+        severity = F.when(~F.coalesce(off, F.lit(False)), F.coalesce(F.when(F.col("level") != "off", F.col("level")), "severity"))
+        rows = rows.select("doc_id", "meta", *((severity == s).cast("long").alias(c) for s, c in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    rows = rows.groupBy("doc_id").agg(F.first("meta", ignorenulls=True).alias("meta"), total("errors"), total("warnings"), total("infos"))
+    return rows.select("doc_id", "meta.*", "errors", "warnings", "infos", (F.col("errors") == 0).alias("valid"))
 
 
 def gate(verdicts: DataFrame, no_fail: bool = False, fail_on_warning: bool = False) -> DataFrame:
@@ -114,7 +125,7 @@ def stamp_provenance(verdicts: DataFrame, catalog_version: str, digest: str, eng
     return verdicts.withColumns({"catalog_version": F.lit(catalog_version), "catalog_digest": F.lit(digest), "engine_version": F.lit(engine_version)})
 
 
-FINDING_KEY = ["doc_id", "rule_id", "severity", "path", "line", "col"]
+FINDING_KEY = ["doc_id", "rule_id", "severity", "path", "spec_ref", "line", "col"]
 
 
 def diff_findings(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -124,8 +135,19 @@ def diff_findings(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def what_if_version(documents: DataFrame, target: str) -> DataFrame:
-    """What changes if all documents were of version ``target``: the differences of their findings."""
-    return diff_findings(validate(documents)[1], validate(documents.withColumn("forced_version", F.lit(target)))[1])
+    """What changes if all documents were of version ``target``: the differences of their findings, in one pass.
+
+    The elements stay as they are, so the rules run twice over each row, and only hits of one side go on.
+    """
+    nodes = elements(prepared(documents)).withColumn("__own", hits())
+    forced = detect_version(declared_version(F.col("root_name"), F.col("root_version")), F.col("inferred"), F.lit(target), document_type(F.col("root_name")))
+    nodes = nodes.withColumn("version", forced)
+    nodes = nodes.withColumn("v", version_ord(F.col("version.effective"))).withColumn("__then", hits())
+    rows = nodes.filter("__own <> __then").withColumns({"__own": F.split("__own", "\n"), "__then": F.split("__then", "\n")})
+    only = lambda a, b: F.array_join(F.filter(a, lambda x: (x != "") & ~F.array_contains(b, x)), "\n")
+    sides = F.array(F.struct(F.lit("left").alias("side"), only("__own", F.col("__then")).alias("hits")), F.struct(F.lit("right").alias("side"), only("__then", F.col("__own")).alias("hits")))
+    rows = rows.select("doc_id", "caller", "policy_id", "base", "spot", "trail", "line", "col", F.inline(sides)).filter("hits <> ''")
+    return findings_of(rows, "side").select("side", *FINDING_KEY)
 
 
 def catalog_vs_docs(catalog: DataFrame, described: DataFrame) -> DataFrame:

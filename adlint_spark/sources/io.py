@@ -38,7 +38,7 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def issue() -> Column:
-    return F.struct(F.col("rule_id").alias("id"), "severity", "message", "path", "line", "col")
+    return F.struct(F.col("rule_id").alias("id"), "severity", "message", "path", "spec_ref", "line", "col")
 
 
 def with_issues(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def with_issues(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
 def result_document(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
     """(doc_id, json): one JSON object for each document."""
     rows = with_issues(verdicts, findings)
-    empty = F.array().cast("array<struct<id:string,severity:string,message:string,path:string,line:int,col:int>>")
+    empty = F.array().cast("array<struct<id:string,severity:string,message:string,path:string,spec_ref:string,line:int,col:int>>")
     body = F.struct("doc_id", "document_type", "input_status", F.col("version.effective").alias("version"), F.struct("errors", "warnings", "infos", "valid").alias("summary"), F.coalesce("issues", empty).alias("issues"))
     return rows.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
@@ -70,7 +70,7 @@ def write_fixed(fixed: DataFrame, path: str) -> None:
 def validation_events(verdicts: DataFrame, findings: DataFrame, documents: DataFrame) -> DataFrame:
     """Verdicts in the shape of events: upper-case severities, provenance, caller. Needs stamped verdicts and documents' received_at."""
     rows = with_issues(verdicts, findings).join(documents.select("doc_id", "caller", F.unix_millis("received_at").alias("occurred_at_ms")), "doc_id", "left")
-    listed = F.transform("issues", lambda i: F.struct(i["id"].alias("rule_id"), F.upper(i["severity"]).alias("severity"), i["message"].alias("message"), i["path"].alias("path"), F.lit(None).cast("string").alias("spec_ref")))
+    listed = F.transform("issues", lambda i: F.struct(i["id"].alias("rule_id"), F.upper(i["severity"]).alias("severity"), i["message"].alias("message"), i["path"].alias("path"), i["spec_ref"].alias("spec_ref")))
     empty = F.array().cast("array<struct<rule_id:string,severity:string,message:string,path:string,spec_ref:string>>")
     return rows.select(
         F.col("doc_id").alias("event_id"), "occurred_at_ms", "document_type", F.col("version.effective").alias("effective_version"), "valid", *(F.col(c).cast("int").alias(c) for c in ("errors", "warnings", "infos")),

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 MAX_BYTES, MAX_DEPTH, MAX_ELEMENTS = 4 << 20, 128, 100_000
-#: Steps of semantic paths that carry an index, and of paths on which any sibling counts, not just the first.
-INDEXED = frozenset("Ad Creative MediaFile Mezzanine InteractiveCreativeFile Icon Tracking Verification Companion NonLinear Extension CreativeExtension".split())
+#: Steps of paths of which any sibling counts, not just the first.
+INDEXED = frozenset("Ad AdBreak Creative MediaFile Mezzanine InteractiveCreativeFile Icon Tracking Verification Companion NonLinear Extension CreativeExtension".split())
 #: Elements outside extensions that tell the least version.
 FLOORS = (
     ("4.1", frozenset(["AdServingId"])),
@@ -22,91 +26,115 @@ FLOORS = (
 )
 STANDARD_EXTENSIONS = frozenset(["ctv_ad_portfolio", "tl_qrcode"])
 CTV_EXTENSIONS = frozenset(["UniversalAdId", "InteractiveCreativeFile", "Mezzanine", "Icon", "AdVerifications"])
+#: Children whose texts and attributes, elements whose parent's attributes, and elements whose grandchildren rules ask for.
+TOLD_KIDS = frozenset("Ad Impression MediaFile InteractiveCreativeFile Tracking JavaScriptResource ExecutableResource VerificationParameters HTMLResource Creative".split())
+ASKING_PARENT = frozenset("JavaScriptResource ExecutableResource IFrameResource Verification AdServingId AdSource".split())
+_EXTENSIONS = frozenset(["Extension", "CreativeExtension"])
+ASKING_GRAND = frozenset("Linear NonLinear AdSource".split())
 _BAD_CHARS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+_CDATA = re.compile(rb"<!\[CDATA\[.*?\]\]>", re.S)
 
 _ATTRS = pa.map_(pa.string(), pa.string())
-_KID = pa.struct([("name", pa.string()), ("text", pa.string()), ("has_cdata", pa.bool_()), ("attr", _ATTRS)])
+_KID = pa.struct([("name", pa.string()), ("text", pa.string()), ("has_cdata", pa.bool_()), ("line", pa.int32()), ("col", pa.int32()), ("attr", _ATTRS)])
+_GRAND = pa.struct([("of", pa.string()), ("name", pa.string()), ("attr", _ATTRS)])
 #: Document columns that every element row repeats.
-CONTEXT = ("doc_id", "forced_version", "wrapper_depth", "max_wrapper_depth", "policy_id")
+CONTEXT = ("doc_id", "caller", "policy_id", "was_escaped", "forced_version", "wrapper_depth", "max_wrapper_depth")
+_CONTEXT_TYPES = {"was_escaped": pa.bool_(), "wrapper_depth": pa.int32(), "max_wrapper_depth": pa.int32()}
 NODE_SCHEMA = pa.schema(
     [
-        *((c, pa.int32() if "depth" in c else pa.string()) for c in CONTEXT),
-        *((c, pa.string()) for c in ("parse_error", "root_name", "root_version", "inferred")),
+        *((c, _CONTEXT_TYPES.get(c, pa.string())) for c in CONTEXT),
+        *((c, pa.string()) for c in ("parse_error", "root_name", "root_version", "inferred", "base")),
         *((c, pa.int32()) for c in ("node_id", "parent_id", "depth")),
-        ("name", pa.string()), ("pos", pa.int32()), ("name_idx", pa.int32()),
-        ("attr", _ATTRS), ("bare_attrs", pa.list_(pa.string())), ("text", pa.string()), ("has_cdata", pa.bool_()),
-        ("kids", pa.list_(_KID)), ("ancestors", pa.list_(pa.string())), ("trail", pa.string()), ("first", pa.bool_()),
-        ("parent_attr", _ATTRS), ("path_sem", pa.string()), ("path_pos", pa.string()), ("path_schema", pa.string()),
-        ("line", pa.int32()), ("col", pa.int32()), ("vendor_ext", pa.bool_()),
+        ("name", pa.string()), ("pos", pa.int32()), ("name_idx", pa.int32()), ("text", pa.string()), ("has_cdata", pa.bool_()), ("opened", pa.bool_()),
+        ("trail", pa.string()), ("spot", pa.string()), ("first", pa.bool_()), ("main", pa.bool_()), ("vendor_ext", pa.bool_()),
+        ("line", pa.int32()), ("col", pa.int32()), ("bare_attrs", pa.list_(pa.string())),
+        ("attr", _ATTRS), ("parent_attr", _ATTRS), ("kids", pa.list_(_KID)), ("grand", pa.list_(_GRAND)),
     ]
 )
 NODE_TYPES = from_arrow_schema(NODE_SCHEMA)
 
 
-class _Node:
-    __slots__ = ("name", "attrs", "bare", "text", "cdata", "kids", "parent", "at")
+class _Reject(Exception):
+    pass
 
-    def __init__(self, name, parent, at):
-        self.name, self.parent, self.at = name, parent, at
-        self.attrs, self.bare, self.text, self.cdata, self.kids = {}, [], "", False, []
 
+class Tree:
+    """Elements in document order, as columns; attributes as flat lists of names and values."""
 
-class _Reject(Exception):
-    pass
+    def __init__(self):
+        self.names, self.parents, self.attrs, self.texts, self.at, self.depth = [], [], [], [], [], []
+        self.cdata: set[int] = set()
+        self.not_opened: set[int] = set()
+        self.error: str | None = None
+
+    def kids(self, i: int) -> list[int]:
+        return [k for k in range(i + 1, len(self.parents)) if self.parents[k] == i]
 
 
-def parse(xml: str) -> tuple[_Node | None, str | None]:
-    """(root, error) of one document. On an error within the document the tree so far is kept."""
-    data = xml.encode("utf-8", "replace")
+def parse(xml: str) -> tuple[Tree, bytes]:
+    """The elements of one document and its bytes. On an error within the document the tree so far is kept."""
+    tree, data = Tree(), xml.encode("utf-8", "replace")
     if len(data) > MAX_BYTES:
-        return None, "document too large"
+        tree.error = "document too large"
+        return tree, data
     if _BAD_CHARS.search(xml):
-        return None, "invalid character"
+        tree.error = "invalid character"
+        return tree, data
     parser = expat.ParserCreate("UTF-8")
     parser.ordered_attributes = True
-    root: list[_Node] = []
-    stack: list[_Node] = []
+    names, parents, attrs, texts, cdata, at, depth, not_opened = tree.names, tree.parents, tree.attrs, tree.texts, tree.cdata, tree.at, tree.depth, tree.not_opened
+    stack, inside = [-1], [False]
+    # text around an entity outside CDATA counts as pieces of their own, trimmed one by one
+    entities = b"&" in data and b"&" in _CDATA.sub(b"", data)
     held: list[str] = []
-    state = {"cdata": False, "n": 0}
-    entities = b"&" in data
+
+    def add(chars: str) -> None:
+        chars = chars.strip()
+        if chars:
+            top = stack[-1]
+            texts[top] += chars
+            if inside[0]:
+                cdata.add(top)
 
     def flush() -> None:
         if held:
-            text = "".join(held).strip()
+            add("".join(held))
             held.clear()
-            if text and stack:
-                stack[-1].text += text
-                stack[-1].cdata |= state["cdata"]
 
     def start(name: str, attributes: list[str]) -> None:
-        flush()
-        state["n"] += 1
-        if state["n"] > MAX_ELEMENTS or len(stack) >= MAX_DEPTH:
+        if entities:
+            flush()
+        i = len(names)
+        if i >= MAX_ELEMENTS or len(stack) > MAX_DEPTH:
             raise _Reject("too many elements or levels")
-        node = _Node(name.rpartition(":")[2], stack[-1] if stack else None, parser.CurrentByteIndex)
-        for k in range(0, len(attributes), 2):
-            local = attributes[k].rpartition(":")[2]
-            node.attrs.setdefault(local, attributes[k + 1])
-            if ":" not in attributes[k] and local != "xmlns":
-                node.bare.append(local)
-        (stack[-1].kids if stack else root).append(node)
-        stack.append(node)
+        if ":" in name:
+            not_opened.add(i)
+            name = name.rpartition(":")[2]
+        names.append(name)
+        parents.append(stack[-1])
+        attrs.append(attributes)
+        texts.append("")
+        at.append(parser.CurrentByteIndex)
+        depth.append(len(stack) - 1)
+        stack.append(i)
 
     def end(_: str) -> None:
-        flush()
-        stack.pop()
+        if entities:
+            flush()
+        i = stack.pop()
+        if parser.CurrentByteIndex == at[i]:
+            not_opened.add(i)
 
     def text(chars: str) -> None:
-        if entities and not state["cdata"] and data[parser.CurrentByteIndex] == 38:
-            flush()
-            held.append(chars)
+        if not inside[0] and data[parser.CurrentByteIndex] == 38:
             flush()
+            add(chars)
         else:
             held.append(chars)
 
     def border(opens: bool) -> None:
         flush()
-        state["cdata"] = opens
+        inside[0] = opens
 
     def reject(*_) -> None:
         raise _Reject("document type declaration")
@@ -115,114 +143,292 @@ def parse(xml: str) -> tuple[_Node | None, str | None]:
         if version != "1.0":
             raise _Reject("XML version")
 
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    if not entities:
+        parser.buffer_text, parser.buffer_size = True, max(len(data), 1)
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text if entities else add
     parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = lambda: border(True), lambda: border(False)
     parser.CommentHandler = parser.ProcessingInstructionHandler = lambda *_: flush()
     parser.StartDoctypeDeclHandler, parser.XmlDeclHandler = reject, declaration
     try:
         parser.Parse(data, True)
     except _Reject as e:
-        return (root[0] if root else None), str(e)
+        tree.error = str(e)
     except expat.ExpatError as e:
-        return (root[0] if root else None), expat.errors.messages.get(e.code, "not well formed")
-    return root[0], None
+        tree.error = expat.errors.messages.get(e.code, "not well formed")
+    if not names:
+        tree.error = tree.error or "no element"
+    return tree, data
+
 
+def _value(attributes: list[str], name: str) -> str | None:
+    """The first attribute of that local name."""
+    for k in range(0, len(attributes), 2):
+        if attributes[k] == name or attributes[k].rpartition(":")[2] == name:
+            return attributes[k + 1]
+    return None
 
-def _extension(node: _Node) -> str:
+
+def _extension(tree: Tree, i: int) -> str:
     """'' or what kind of extension the element is."""
-    if node.name not in ("Extension", "CreativeExtension"):
+    if tree.names[i] not in ("Extension", "CreativeExtension"):
         return ""
-    kind = node.attrs.get("type", "")
-    return "standard" if kind.strip().lower() in STANDARD_EXTENSIONS else "ctv" if kind in CTV_EXTENSIONS and "type" in node.bare else "vendor"
-
-
-def walk(root: _Node, data: bytes) -> Iterator[tuple]:
-    """(node, row values after the document's) in preorder."""
-    line_starts = [0]
-    at = data.find(b"\n")
-    while at >= 0:
-        line_starts.append(at + 1)
-        at = data.find(b"\n", at + 1)
-    line, n = 1, 0
-    todo = [(root, -1, 0, 0, (), f"/{root.name}", f"/{root.name}", f"/{root.name}", True, False)]
-    while todo:
-        node, parent, pos, nth, ancestors, sem, positional, schema, first, vendor = todo.pop()
-        own = n
-        n += 1
-        while line < len(line_starts) and line_starts[line] <= node.at:
-            line += 1
-        yield (
-            own, parent, len(ancestors), node.name, pos, nth, list(node.attrs.items()), node.bare, node.text, node.cdata,
-            [{"name": k.name, "text": k.text, "has_cdata": k.cdata, "attr": list(k.attrs.items())} for k in node.kids],
-            list(ancestors), "/".join((*ancestors, node.name)), first, list(node.parent.attrs.items()) if node.parent else [],
-            sem, positional, schema, line, node.at - line_starts[line - 1] + 1, vendor,
-        )
-        seen: dict[str, int] = {}
-        below = vendor or _extension(node) == "vendor"
-        inside = "InLine" in ancestors or "Wrapper" in ancestors or node.name in ("InLine", "Wrapper")
-        out = []
-        for k, kid in enumerate(node.kids):
-            nth = seen.get(kid.name, 0)
-            seen[kid.name] = nth + 1
-            index = kid.name in INDEXED
-            by_pos = f"[{k}]" if inside else f"[{nth}]" if kid.name == "Ad" else ""
-            by_schema = f"[{nth}]" if kid.name == "Ad" else f"[{k}]" if index and kid.name not in ("Companion", "NonLinear") else ""
-            out.append((kid, own, k, nth, (*ancestors, node.name), f"{sem}/{kid.name}" + (f"[{nth}]" if index else ""), f"{positional}/{kid.name}{by_pos}", f"{schema}/{kid.name}{by_schema}", first and (index or nth == 0), below))
-        todo.extend(reversed(out))
-
-
-def inferred_version(root: _Node) -> str | None:
-    """The least version that the elements ask for."""
-    names, media, todo = set(), False, [root]
-    while todo:
-        node = todo.pop()
-        names.add(node.name)
-        todo += node.kids if _extension(node) not in ("standard", "ctv") else []
-    todo = [root]
-    while todo and not media:
-        node = todo.pop()
-        media = node.name == "MediaFile"
-        todo += node.kids
-    return next((v for v, floor in FLOORS if names & floor), "2.0" if media else None)
+    kind = _value(tree.attrs[i], "type") or ""
+    return "standard" if kind.strip().lower() in STANDARD_EXTENSIONS else "ctv" if kind in CTV_EXTENSIONS and "type" in tree.attrs[i][::2] else "vendor"
+
+
+def inferred_version(tree: Tree, begin: int, end: int) -> str | None:
+    """The least version that the elements of a subtree ask for, those in standard extensions left out."""
+    names = set(tree.names if end - begin == len(tree.names) else tree.names[begin:end])
+    told = names
+    if "Extension" in names or "CreativeExtension" in names:
+        out = [False] * (end - begin)
+        for i in range(begin, end):
+            parent = tree.parents[i] - begin
+            out[i - begin] = i > begin and (out[parent] or _extension(tree, tree.parents[i]) in ("standard", "ctv"))
+        told = {n for n, x in zip(tree.names[begin:end], out, strict=True) if not x}
+    return next((v for v, floor in FLOORS if told & floor), "2.0" if "MediaFile" in names else None)
+
+
+def _around(tree: Tree, i: int) -> list[str]:
+    """The parent's attributes, and what rules ask of an element's siblings, under names that no attribute has."""
+    name, parent, told = tree.names[i], tree.parents[i], []
+    if parent < 0:
+        return told
+    kids = tree.kids(parent)
+    if name == "Verification":
+        told = ["#before", "\n".join((_value(tree.attrs[k], "vendor") or "").strip().lower() for k in kids if k < i and tree.names[k] == name)]
+    elif name in ("JavaScriptResource", "ExecutableResource"):
+        told = ["#apis", "\n".join((_value(tree.attrs[k], "apiFramework") or "").strip().lower() for k in kids if tree.names[k] in ("JavaScriptResource", "ExecutableResource"))]
+    elif name == "AdServingId":
+        of = lambda k, want: next((x for x in tree.kids(k) if tree.names[x] == want), None) if k is not None else None
+        creatives = of(parent, "Creatives")
+        told = ["#creatives", str(sum(of(of(k, "Linear"), "MediaFiles") is not None for k in (tree.kids(creatives) if creatives is not None else []) if tree.names[k] == "Creative"))]
+    elif name == "MediaFile":
+        told = ["#with", "\n".join({tree.names[k] for k in kids})]
+    elif name == "AdSource":
+        inner = next((k for k in range(i + 1, len(tree.names)) if tree.names[k] == "VAST" and tree.parents[tree.parents[k]] == i), None)
+        if inner is not None and "CompanionAds" in tree.names[inner : _end(tree, inner)]:
+            told = ["#companions", "1"]
+    own: dict[str, str] = {}
+    for k in range(0, len(tree.attrs[parent]), 2):
+        own.setdefault(tree.attrs[parent][k].rpartition(":")[2], tree.attrs[parent][k + 1])
+    return [*(x for item in own.items() for x in item), *told]
+
+
+def _end(tree: Tree, i: int) -> int:
+    """Where the subtree of an element ends."""
+    return next((j for j in range(i + 1, len(tree.depth)) if tree.depth[j] <= tree.depth[i]), len(tree.depth))
+
+
+def _embedded(tree: Tree) -> list[tuple[int, str]]:
+    """The VAST elements of a playlist that count as documents, and the paths that they stand below."""
+    out, breaks, seen = [], {}, set()
+    for i, (name, parent) in enumerate(zip(tree.names, tree.parents, strict=True)):
+        if name == "AdBreak" and parent == 0:
+            breaks[i] = len(breaks)
+        if name in ("AdSource", "VAST") and parent >= 0:
+            again = (parent, name) in seen
+            seen.add((parent, name))
+            if again:
+                continue
+            seen.add(i)
+            if name == "VAST" and tree.names[parent] == "VASTAdData":
+                source = tree.parents[parent]
+                if source >= 0 and tree.names[source] == "AdSource" and source in seen and tree.parents[source] in breaks:
+                    out.append((i, f"/VMAP/AdBreak[{breaks[tree.parents[source]]}]/AdSource/VASTAdData"))
+    return out
+
+
+class _Rows:
+    """Elements of some documents while they are gathered, as flat columns; what follows from their order is worked out at once."""
+
+    def __init__(self):
+        self.names, self.parents, self.links, self.depth, self.texts, self.lines, self.cols, self.attrs = [], [], [], [], [], [], [], []
+        self.cdata, self.not_opened, self.vendors = [], [], []
+        self.bare: dict[int, list[str]] = {}
+        self.around: dict[int, list[str]] = {}
+        self.starts: list[int] = []
+        #: Runs of elements with equal document values.
+        self.runs: list[int] = []
+        self.told: list[tuple] = []
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def add(self, own: tuple, tree: Tree, data: bytes) -> None:
+        """One document whose context values are ``own``; only its root if it can't be parsed."""
+        base, names, attrs = len(self.names), tree.names, tree.attrs
+        self.starts.append(base)
+        if tree.error or not names:
+            self.names.append(names[0] if names else "__empty__")
+            self.parents.append(-1)
+            self.links.append(-1)
+            self.depth.append(0)
+            self.texts.append("")
+            self.lines.append(1 + data[: tree.at[0]].count(b"\n") if names else 1)
+            self.cols.append(tree.at[0] - data[: tree.at[0]].rfind(b"\n") if names else 1)
+            self.attrs.append(attrs[0] if names else [])
+            self.runs.append(base)
+            self.told.append((*own, tree.error, self.names[-1], _value(attrs[0], "version") if names else None, inferred_version(tree, 0, len(names)) if names else None, None))
+            return
+        n = len(names)
+        self.names += names
+        parents = [p + base if p >= 0 else -1 for p in tree.parents]
+        self.parents += parents
+        self.texts += tree.texts
+        self.attrs += attrs
+        if tree.cdata:
+            self.cdata += [i + base for i in tree.cdata]
+        if tree.not_opened:
+            self.not_opened += [i + base for i in tree.not_opened]
+        if b"\n" in data:
+            starts = [0, *accumulate(len(x) + 1 for x in data.split(b"\n"))]
+            lines = [bisect_right(starts, x) for x in tree.at]
+            self.lines += lines
+            self.cols += [x - starts[line - 1] + 1 for x, line in zip(tree.at, lines, strict=True)]
+        else:
+            self.lines += [1] * n
+            self.cols += [x + 1 for x in tree.at]
+        kinds = set(names)
+        if not kinds.isdisjoint(_EXTENSIONS):
+            self.vendors += [i + base for i in range(n) if _extension(tree, i) == "vendor"]
+        apis = any(["apiFramework" in a for a in attrs if a])
+        if apis or not kinds.isdisjoint(ASKING_PARENT):
+            for i, name in enumerate(names):
+                if name in ASKING_PARENT and (name != "AdServingId" or not tree.texts[i]) or (name == "MediaFile" and "apiFramework" in attrs[i]):
+                    self.around[i + base] = _around(tree, i)
+        head = (*own, None, names[0], _value(attrs[0], "version"), inferred_version(tree, 0, n), None)
+        self.runs.append(base)
+        self.told.append(head)
+        depth = tree.depth
+        if names[0] == "VMAP" and "VAST" in kinds:
+            depth = list(depth)
+            for i, path in _embedded(tree):
+                end = _end(tree, i)
+                parents[i] = -1
+                depth[i:end] = [d - tree.depth[i] for d in depth[i:end]]
+                self.runs += [base + i, base + end] if end < n else [base + i]
+                self.told += [(*own, None, "VAST", _value(attrs[i], "version"), inferred_version(tree, i, end), path)] + ([head] if end < n else [])
+        self.links += parents
+        self.depth += depth
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.names)
+        name = pa.array(self.names, pa.string())
+        coded = name.dictionary_encode()
+        kinds, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        member = lambda names: np.array([k in names for k in kinds])[code]
+        parent, link, depth = (np.array(x, np.int64) for x in (self.parents, self.links, self.depth))
+        by_parent = np.argsort(parent, kind="stable")
+        pos, nth = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for order, keys, out in ((by_parent, (parent,), pos), (np.lexsort((code, parent)), (parent, code), nth)):
+            new = np.ones(n, bool)
+            new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+            out[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        root = parent < 0
+        pos[root], nth[root] = 0, 0
+        indexed, own_vendor = member(INDEXED), np.zeros(n, bool)
+        own_vendor[self.vendors] = True
+        first, main, vendor = np.ones(n, bool), np.ones(n, bool), np.zeros(n, bool)
+        place, where, trails, spots, total = np.zeros(n, np.int64), np.zeros(n, np.int64), [], [], 0
+        step = pc.binary_join_element_wise(name, pa.array(nth).cast(pa.string()), pa.array(pos).cast(pa.string()), " ")
+        for d in range(int(depth.max()) + 1):
+            rows = np.flatnonzero(depth == d)
+            if not d:
+                trail, spot = name.take(pa.array(rows)), pc.binary_join_element_wise(name.take(pa.array(rows)), "0 0", " ")
+            else:
+                above = link[rows]
+                first[rows] = first[above] & ((nth[rows] == 0) | indexed[rows])
+                main[rows] = main[above] & ((nth[rows] == 0) if d == 2 else True)
+                vendor[rows] = vendor[above] | own_vendor[above]
+                up = pa.array(place[above])
+                trail, spot = pc.binary_join_element_wise(trail.take(up), name.take(pa.array(rows)), "/"), pc.binary_join_element_wise(spot.take(up), step.take(pa.array(rows)), "/")
+            place[rows] = np.arange(len(rows))
+            trails.append(trail)
+            spots.append(spot)
+            where[rows] = total + place[rows]  # when the levels stand one after the other
+            total += len(rows)
+        order = pa.array(where)
+        trail, spot = pa.concat_arrays(trails).take(order), pa.concat_arrays(spots).take(order)
+        cdata, opened = np.zeros(n, bool), np.ones(n, bool)
+        cdata[self.cdata], opened[self.not_opened] = True, False
+        attr = self._maps({i: a for i, a in enumerate(self.attrs) if a}, n)
+        lines, cols = pa.array(self.lines, pa.int32()), pa.array(self.cols, pa.int32())
+        texts = pa.array(self.texts, pa.string())
+
+        kid = by_parent[parent[by_parent] >= 0]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(parent[kid], minlength=n))]).astype(np.int32)
+        at, told = pa.array(kid), pa.array(kid, mask=~member(TOLD_KIDS)[kid])
+        kids = pa.StructArray.from_arrays([name.take(at), texts.take(told), pa.array(cdata[kid]), lines.take(at), cols.take(at), attr.take(told)], fields=list(_KID))
+        holder = np.where(root, 0, parent)
+        grand = (~root) & (parent[holder] >= 0) & member({"MediaFiles", "TrackingEvents", "VASTAdData"})[holder] & (nth[holder] == 0)
+        top = np.where(grand, parent[holder], 0)
+        grand &= member(ASKING_GRAND)[top]
+        rows = np.flatnonzero(grand)
+        rows = rows[np.argsort(top[rows], kind="stable")]
+        grand_ends = np.concatenate([[0], np.cumsum(np.bincount(top[rows], minlength=n))]).astype(np.int32)
+        grands = pa.StructArray.from_arrays([name.take(pa.array(parent[rows])), name.take(pa.array(rows)), attr.take(pa.array(rows))], fields=list(_GRAND))
+
+        document = pa.array(np.repeat(np.arange(len(self.runs)), np.diff([*self.runs, n])))
+        begin = np.repeat(self.starts, np.diff([*self.starts, n]))
+        columns = {c: pa.array(x, NODE_SCHEMA.field(c).type).take(document) for c, x in zip((*CONTEXT, "parse_error", "root_name", "root_version", "inferred", "base"), zip(*self.told, strict=True), strict=True)}
+        columns |= {
+            "node_id": pa.array(np.arange(n) - begin, pa.int32()), "parent_id": pa.array(np.where(root, -1, parent - begin), pa.int32()), "depth": pa.array(depth, pa.int32()),
+            "name": name, "pos": pa.array(pos, pa.int32()), "name_idx": pa.array(nth, pa.int32()), "text": texts, "has_cdata": pa.array(cdata), "opened": pa.array(opened),
+            "trail": trail, "spot": spot, "first": pa.array(first), "main": pa.array(main), "vendor_ext": pa.array(vendor), "line": lines, "col": cols,
+            "bare_attrs": pa.array([self.bare.get(i) for i in range(n)] if self.bare else [None] * n, pa.list_(pa.string())), "attr": attr, "parent_attr": self._maps(self.around, n),
+            "kids": pa.ListArray.from_arrays(pa.array(ends), kids), "grand": pa.ListArray.from_arrays(pa.array(grand_ends), grands),
+        }
+        return pa.RecordBatch.from_arrays([columns[f.name] for f in NODE_SCHEMA], schema=NODE_SCHEMA)
+
+    def _maps(self, some: dict[int, list[str]], n: int) -> pa.MapArray:
+        """Maps of names and values at some rows, of local names; what has no prefix is told apart where others have one."""
+        counts, keys, values = np.zeros(n, np.int64), [], []
+        for i, a in some.items():
+            names = a[::2]
+            if "xmlns" in names or any([":" in x for x in names]):
+                own: dict[str, str] = {}
+                for x, y in zip(names, a[1::2], strict=True):
+                    own.setdefault(x.rpartition(":")[2], y)
+                if some is not self.around:
+                    self.bare[i] = [x for x in names if ":" not in x and x != "xmlns"]
+                keys += own
+                values += own.values()
+                counts[i] = len(own)
+            else:
+                keys += names
+                values += a[1::2]
+                counts[i] = len(names)
+        return pa.MapArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
 
 
 def shred(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """The nodes table: a row for each element of each document, in document order within it.
 
     ``documents`` has doc_id and ``xml``; further columns of CONTEXT are carried where present. A document that isn't well formed,
-    or is null, has one row, its root's (or ``__empty__``), with ``parse_error``. ``attr`` has local names, ``bare_attrs`` those without
-    prefix. ``kids`` repeats what rules ask of an element's children, so that they need no join.
-    ``trail`` is the names from the root; ``first`` tells that no step but the indexed ones is a second of its name.
-    Documents are read one at a time, so memory is bounded by the largest (4 MiB).
+    or is null, has one row, its root's (or ``__empty__``), with ``parse_error``. ``attr`` has local names; ``bare_attrs`` those
+    without prefix, null where all are. ``kids`` repeats what rules ask of an element's children, so that they need no join,
+    ``grand`` of the children of some of those. ``trail`` is the names from the root, ``opened`` tells a tag without prefix that isn't closed at once; ``spot`` adds each step's number among
+    its namesakes and among all siblings; ``first`` tells that no step but the indexed ones is a second of its name, ``main`` that the
+    third isn't. VAST inside a playlist's VASTAdData counts as a document below ``base``, with a root, version and trails of
+    its own. Documents are read one at a time, so memory is bounded by the largest (4 MiB).
     """
     types = dict(documents.dtypes)
-    defaults = {"wrapper_depth": F.lit(0), "max_wrapper_depth": F.lit(5)}
-    context = [(F.col(c) if c in types else F.lit(None)).cast("int" if "depth" in c else "string").alias(c) for c in CONTEXT]
+    defaults = {"was_escaped": F.lit(False), "wrapper_depth": F.lit(0), "max_wrapper_depth": F.lit(5)}
+    kind = lambda c: "boolean" if c == "was_escaped" else "int" if "depth" in c else "string"
+    context = [(F.col(c) if c in types else F.lit(None)).cast(kind(c)).alias(c) for c in CONTEXT]
     rows = documents.select(*context, F.col(xml).alias("xml")).withColumns({c: F.coalesce(c, v) for c, v in defaults.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def batch_of() -> pa.RecordBatch:
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, NODE_SCHEMA, strict=True)], schema=NODE_SCHEMA)
-
+        out = _Rows()
         for batch in batches:
-            context = list(zip(*(batch.column(c).to_pylist() for c in CONTEXT), strict=True))
+            context = zip(*(batch.column(c).to_pylist() for c in CONTEXT), strict=True)
             for own, text in zip(context, batch.column("xml"), strict=True):
-                text = text.as_py() or ""
-                root, error = parse(text)
-                empty = root is None
-                root = _Node("__empty__", None, 0) if empty else root
-                head = (*own, error if not empty else error or "no element", root.name, root.attrs.get("version"), inferred_version(root))
-                for row in walk(root, text.encode("utf-8", "replace")):
-                    out.append((*head, *row))
-                    if error:
-                        break
-                    if len(out) >= 4096:
-                        yield batch_of()
-                        out.clear()
-        if out:
-            yield batch_of()
+                out.add(own, *parse(text.as_py() or ""))
+                if len(out) >= 16384:
+                    yield out.batch()
+                    out = _Rows()
+        if len(out):
+            yield out.batch()
 
     return rows.mapInArrow(run, NODE_TYPES)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlint_spark.functions.values import normalize_caller
-from adlint_spark.operators.rules import _all_findings
-from adlint_spark.operators.verdicts import elements, escaped_findings, prepared
+from adlint_spark.operators.rules import run_rules
+from adlint_spark.operators.verdicts import elements, prepared
 
 
 def validate_stream(documents: DataFrame) -> DataFrame:
@@ -15,9 +15,7 @@ def validate_stream(documents: DataFrame) -> DataFrame:
 
     A document that can't be read gives its parse error and the stream goes on.
     """
-    ready = prepared(documents)
-    found = elements(ready).select("doc_id", F.explode(_all_findings(())).alias("f")).select("doc_id", "f.*")
-    return found.unionByName(escaped_findings(ready).select(found.columns))
+    return run_rules(elements(prepared(documents)))
 
 
 def event_time(events: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -39,7 +39,7 @@ CASES = {
     "null": (None, ["VAST-2.0-parse-error"]),
     "escaped": (CLEAN.replace('"', '\\"'), ["VAST-2.0-json-escaped"]),
     "root": ("<Foo/>", ["VAST-2.0-root-element"]),
-    "playlist": ('<VMAP version="1.0"><AdBreak timeOffset="x"/></VMAP>', ["VMAP-1.0-adbreak-breaktype", "VMAP-1.0-adbreak-timeoffset-format"]),
+    "playlist": ('<VMAP version="1.0" xmlns="http://www.iab.net/videosuite/vmap"><AdBreak timeOffset="x"/></VMAP>', ["VMAP-1.0-adbreak-breaktype", "VMAP-1.0-adbreak-timeoffset-format"]),
     "audio": ('<DAAST version="1.0"/>', ["DAAST-1.0-root-has-ad-or-error"]),
     "tag twice": ('<VAST version="3.0"><Ad><Wrapper><AdSystem version="1">a</AdSystem><Impression><![CDATA[https://a.com]]></Impression><VASTAdTagURI/></Wrapper></Ad></VAST>', ["VAST-2.0-url-empty", "VAST-2.0-url-empty"]),
 }
@@ -76,15 +76,6 @@ def test_catalog(spark):
     assert len({r.rule_id for r in rows}) == len(rows) >= 200 and {r.rule_id for r in rows if r.revenue_impact} == set(REVENUE) and len(REVENUE) == 15
 
 
-def test_stream_finds_what_the_batch_finds(spark, documents, validated, tmp_path):
-    documents.write.parquet(str(tmp_path / "in"))
-    stream = io.stream_documents(spark, str(tmp_path / "in"), documents.schema)
-    query = streaming.validate_stream(stream).writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = sorted((r.doc_id, r.rule_id) for r in spark.table("found").collect())
-    assert got == sorted((r.doc_id, r.rule_id) for r in validated[1] if r.rule_id != "VAST-2.0-json-escaped")
-
-
 def test_stream_finds_escaped_documents_too(spark, documents, validated, tmp_path):
     documents.write.parquet(str(tmp_path / "in"))
     stream = io.stream_documents(spark, str(tmp_path / "in"), documents.schema)
