@@ -11,6 +11,7 @@ from adlint_spark.functions import values
 from adlint_spark.operators import chains, detect, fix, tallies, verdicts
 from adlint_spark.operators.rules import REVENUE, rule_catalog, run_rules
 from adlint_spark.sources import corpus
+from adlint_spark.sources.io import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,12 +65,17 @@ verdict AS (SELECT o.k, o.kind, o.v, coalesce(sum(times) FILTER (severity = 'err
 _REVENUE = "(" + ", ".join(f"'{r}'" for r in sorted(REVENUE)) + ")"
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived documents, written out, so that what validates them starts from a table as on stored documents."""
+    return cut_lineage(corpus.ad_corpus(spark, sf_dir))
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.elements(verdicts.prepared(corpus.ad_corpus(spark, sf_dir)))
+    return verdicts.elements(verdicts.prepared(_corpus(spark, sf_dir)))
 
 
 def _well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready = verdicts.prepared(corpus.ad_corpus(spark, sf_dir))
+    ready = verdicts.prepared(_corpus(spark, sf_dir))
     return fix.well_formed(ready, verdicts.elements(ready))
 
 
@@ -78,7 +84,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tallies.with_caller(verdicts.verdicts_of(corpus.ad_corpus(spark, sf_dir)))
+    return tallies.with_caller(verdicts.verdicts_of(_corpus(spark, sf_dir)))
 
 
 @query(_CTE + "SELECT caller, count(*) AS total, count(*) FILTER (errors > 0) AS invalid, count(*) FILTER (errors > 0) / greatest(count(*)::DOUBLE, 1e-9) AS rate FROM verdict JOIN caller USING (k) GROUP BY caller")
@@ -88,7 +94,7 @@ def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CTE + "SELECT k::VARCHAR AS doc_id, CASE kind WHEN 1 THEN 'VMAP' WHEN 2 THEN 'DAAST' ELSE 'VAST' END AS document_type, errors, warnings, infos, errors = 0 AS valid FROM verdict")
 def document_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.verdicts_of(corpus.ad_corpus(spark, sf_dir)).select("doc_id", "document_type", "errors", "warnings", "infos", "valid")
+    return verdicts.verdicts_of(_corpus(spark, sf_dir)).select("doc_id", "document_type", "errors", "warnings", "infos", "valid")
 
 
 @query(_CTE + "SELECT rule_id, severity, sum(times)::BIGINT AS n FROM f GROUP BY rule_id, severity")
@@ -103,7 +109,7 @@ def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CTE + "SELECT count(*) AS total_inputs, count(*) FILTER (errors = 0) AS total_valid, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings, sum(infos)::BIGINT AS infos FROM verdict")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tallies.corpus_summary(verdicts.verdicts_of(corpus.ad_corpus(spark, sf_dir)))
+    return tallies.corpus_summary(verdicts.verdicts_of(_corpus(spark, sf_dir)))
 
 
 @query(_CTE + f"SELECT caller, rule_id, rule_id IN {_REVENUE} AS revenue_impact, sum(times)::BIGINT AS count FROM f JOIN caller USING (k) GROUP BY caller, rule_id")
@@ -190,13 +196,13 @@ def fix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CTE + "SELECT rule_id, sum(times)::BIGINT AS n FROM f WHERE rule_id NOT IN ('VAST-2.0-mediafile-https', 'VAST-2.0-json-escaped') GROUP BY rule_id")
 def findings_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = fix.fix(verdicts.prepared(corpus.ad_corpus(spark, sf_dir)))
+    fixed = fix.fix(verdicts.prepared(_corpus(spark, sf_dir))).drop("was_escaped")
     return run_rules(verdicts.elements(fixed)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 @query(_CTE + "SELECT 'right' AS side, 'VAST-4.1-adservingid-present' AS rule_id, count(*) AS n FROM a WHERE inl AND v NOT BETWEEN 3 AND 6 UNION ALL SELECT 'right', 'VAST-4.0-universaladid-present', count(*) FROM a WHERE inl AND v NOT BETWEEN 2 AND 6 UNION ALL SELECT 'right', 'VAST-4.1-mezzanine-recommended', count(*) FROM a WHERE inl AND v NOT BETWEEN 3 AND 6")
 def what_if_4_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = verdicts.what_if_version(corpus.ad_corpus(spark, sf_dir), "4.1")
+    changed = verdicts.what_if_version(_corpus(spark, sf_dir), "4.1")
     return changed.groupBy("side", "rule_id").agg(F.count("*").alias("n"))
 
 

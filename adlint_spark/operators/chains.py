@@ -2,36 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlint_spark.operators.detect import first_wrapper_uri
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's folder, a temporary one only where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from adlint_spark.sources.io import cut_lineage
 
 
 def resolve_chains(roots: DataFrame, responses: DataFrame, max_depth: int = 5) -> DataFrame:
     """(root_id, depth, url, label, xml): every hop of the chain from each of ``roots`` (root_id, url).
 
     The next hop is the response's first ad tag, as long as it is at most ``max_depth`` away. A url without response is a
-    hop without xml, and ends its chain. The rounds join a table of two columns; the texts are joined once, at the end.
+    hop without xml, and ends its chain. Of several responses of one url the one whose text comes first counts. The rounds join a table of two columns; the texts are joined once, at the end.
     """
-    links = _cut(responses.select("url", first_wrapper_uri(F.col("xml")).alias("next")).dropDuplicates(["url"]))
+    chosen = responses.groupBy("url").agg(F.min("xml").alias("xml"))
+    links = cut_lineage(chosen.select("url", first_wrapper_uri(F.col("xml")).alias("next")))
     front = roots.select("root_id", F.lit(0).alias("depth"), "url")
     hops = front
     for depth in range(1, max_depth + 1):
-        front = _cut(front.join(links, "url").filter("next is not null").select("root_id", F.lit(depth).alias("depth"), F.col("next").alias("url")))
+        front = cut_lineage(front.join(links, "url").filter("next is not null").select("root_id", F.lit(depth).alias("depth"), F.col("next").alias("url")))
         hops = hops.unionByName(front)
     label = F.when(F.col("depth") == 0, F.col("url")).otherwise(F.concat("url", F.lit(" [wrapper depth "), F.col("depth").cast("string"), F.lit("]")))
-    return hops.join(responses.dropDuplicates(["url"]).select("url", "xml"), "url", "left").select("root_id", "depth", "url", label.alias("label"), "xml")
+    return hops.join(chosen, "url", "left").select("root_id", "depth", "url", label.alias("label"), "xml")
 
 
 def hop_documents(hops: DataFrame, max_depth: int = 5) -> DataFrame:

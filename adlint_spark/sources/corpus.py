@@ -72,8 +72,8 @@ def ad_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("k % 50")
     xml = F.when(kind == 0, F.concat(F.lit("<VAST"), declared, F.lit("><Ad>"))).when(kind == 1, playlist).when(kind == 2, audio).when(kind == 3, escaped).otherwise(vast)
     caller = F.expr("case when o_custkey % 97 = 0 then null when o_custkey % 101 = 0 then 'bad caller!' else concat('dsp-', o_custkey % 40) end")
-    # so many tasks whatever the tables' bytes: what follows is bound by parsing
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    # a task for each core, or for 20,000 documents: what follows is bound by parsing, not by the tables' bytes
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "orders").count() // 20_000), "k")
     return rows.select(F.col("k").cast("string").alias("doc_id"), caller.alias("caller"), F.expr("cast(o_custkey % 5 as string)").alias("policy_id"), xml.alias("xml"))
 
 
