@@ -51,8 +51,12 @@ def token_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if len(parts) == 1:
         return parts[0]
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
+    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    parts.clear()
+    turn = np.argsort(keys)
+    keys, n = keys[turn], n[turn]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
 
 
 def counts(docs: DataFrame, order: int) -> DataFrame:
@@ -326,7 +330,7 @@ def rare_scores(asked: DataFrame, cells: DataFrame, sent, rare_from: int) -> Dat
     return map_batches(both.repartition(end).sortWithinPartitions(end), run, "row long, score double")
 
 
-def lm_scores(docs: DataFrame, may_learn, order: int = 5, max_cells: int = 1 << 20, max_head: int = 1 << 19) -> DataFrame:
+def lm_scores(docs: DataFrame, may_learn, order: int = 5, max_cells: int = 1 << 21, max_head: int = 1 << 19) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     ``score`` is the log10 probability of the text's bytes and its end under a PPM model (escape method D, update and symbol
