@@ -230,10 +230,66 @@ def capped_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tallies.cap_callers(rows, "occurred_at_ms", 8).groupBy("caller").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS requested, count(*) AS published, count(*) FILTER (event_id % 25 <> 0) AS received, count(*) FILTER (event_id % 25 = 0) AS lost FROM events")
+@query("SELECT count(*) AS requested, count(*) FILTER (event_id % 13 <> 0) AS published, count(*) FILTER (event_id % 25 <> 0) AS received, count(*) FILTER (event_id % 13 <> 0 AND event_id % 25 = 0) AS lost FROM events")
 def delivery_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = corpus.verdict_events(spark, sf_dir)
-    return tallies.gap_check(events, events, events.filter("event_id % 25 <> 0"))
+    """Requests, those of them that were not refused and so published, and what a receiver that misses every 25th event has."""
+    requests = corpus.table(spark, sf_dir, "events").select("event_id")
+    published = corpus.verdict_events(spark, sf_dir).filter("cast(event_id as long) % 13 <> 0")
+    return tallies.gap_check(requests.select(F.col("event_id").cast("string")), published, corpus.verdict_events(spark, sf_dir).filter("cast(event_id as long) % 25 <> 0"))
+
+
+def _distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.verdict_events(spark, sf_dir).withColumn("ts", F.timestamp_millis("occurred_at_ms")).dropDuplicates(["event_id"])
+
+
+@query("SELECT 'p-' || (user_id % 20) AS caller, event_type <> 'error' AS valid, count(*) AS count FROM events GROUP BY 1, 2")
+def verdict_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tallies.verdict_tally(tallies.with_caller(_distinct_events(spark, sf_dir)))
+
+
+@query("SELECT ['VAST-2.0-inline-impression', 'VAST-2.0-url-cdata', 'VAST-2.0-duration-format', 'VAST-2.0-tracking-https'][(event_id % 4 + 1)::INT] AS rule_id, 'p-' || (user_id % 20) AS caller, count(*) AS count FROM events GROUP BY 1, 2")
+def findings_by_rule_and_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tallies.with_caller(_distinct_events(spark, sf_dir)).select("caller", F.explode("findings").alias("f")).select("caller", "f.*")
+    return tallies.findings_by_dimension(rows, ["rule_id", "caller"])
+
+
+@query(f"WITH r AS (SELECT ['VAST-2.0-inline-impression', 'VAST-2.0-url-cdata', 'VAST-2.0-duration-format', 'VAST-2.0-tracking-https'][(event_id % 4 + 1)::INT] AS rule_id FROM events) SELECT rule_id, count(*) AS n FROM r WHERE rule_id IN {_REVENUE} GROUP BY 1")
+def filtered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _distinct_events(spark, sf_dir).select(F.explode("findings").alias("f")).select("f.rule_id", "f.severity")
+    rows = verdicts.filter_findings(verdicts.enrich(rows, rule_catalog(spark)), severities=["error"], revenue_only=True)
+    return rows.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS start_ms, 'p-' || (user_id % 20) AS caller, event_type <> 'error' AS valid, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def windowed_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adlint_spark import streaming
+
+    return streaming.windowed_verdicts(_distinct_events(spark, sf_dir)).select(F.unix_millis("window.start").alias("start_ms"), "caller", "valid", "n")
+
+
+@query("SELECT epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS start_ms, 'p-' || (user_id % 20) AS caller, count(*) AS n FROM events WHERE event_id % 4 IN (0, 3) GROUP BY 1, 2")
+def windowed_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adlint_spark import streaming
+
+    return streaming.windowed_revenue(_distinct_events(spark, sf_dir), sorted(REVENUE)).select(F.unix_millis("window.start").alias("start_ms"), "caller", "n")
+
+
+@query(_CTE + "SELECT k::VARCHAR AS doc_id, count(*) AS media, 0::BIGINT AS tracking, 0::BIGINT AS simid FROM a WHERE inl AND s % 3 = 0 GROUP BY k")
+def insecure_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fix.https_hits(_nodes(spark, sf_dir))
+
+
+@query(_CTE + "SELECT k::VARCHAR AS doc_id, count(*) AS n FROM imp WHERE p % 17 = 0 GROUP BY k")
+def repeated_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tallies.duplicate_siblings(_nodes(spark, sf_dir), "Impression", F.col("text")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    _CTE + """SELECT o.k::VARCHAR AS doc_id, coalesce(i.n, 0)::BIGINT AS impressions, coalesce(t.n, 0)::BIGINT AS trackings, CASE WHEN t.k IS NOT NULL OR w.k IS NOT NULL THEN 'acme' END AS ad_system
+    FROM o LEFT JOIN (SELECT k, sum(times) AS n FROM imp GROUP BY k) i ON i.k = o.k LEFT JOIN (SELECT k, count(*) AS n FROM a WHERE inl GROUP BY k) t ON t.k = o.k LEFT JOIN (SELECT DISTINCT k FROM a WHERE NOT inl) w ON w.k = o.k"""
+)
+def inspected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.inspect(verdicts.prepared(_corpus(spark, sf_dir))).select("doc_id", "impressions", "trackings", "ad_system")
 
 
 @query("SELECT epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS start_ms, 'p-' || (user_id % 20) AS caller, count(*) AS total, count(*) FILTER (event_type = 'error') AS invalid, count(*) FILTER (event_type = 'error') / count(*)::DOUBLE AS rate FROM events GROUP BY 1, 2")
@@ -268,12 +324,16 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "pages").select("page_id", values.is_uri_like(url).alias("uri_like"), values.has_illegal_uri_char(url).alias("illegal"))
 
 
-@query("SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS hhmmss, o_orderkey % 7 <= 1 AS time_or_percent, o_orderkey % 7 = 2 AS whole, o_orderkey % 7 IN (2, 3) AS truth FROM orders")
+@query("SELECT event_id AS k, event_id % 4 = 0 AS hhmmss, event_id % 4 = 0 OR event_id % 4 = 1 AND floor(value) BETWEEN 0 AND 100 AS time_or_percent, event_id % 4 = 2 AS whole, event_id % 4 = 2 AND floor(value) IN (0, 1) AS truth FROM events")
 def value_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.element_at(F.array(*map(F.lit, ("00:00:15.000", "99.5%", "1", " TRUE ", "1:00:00", "101%", "x"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
-    rows = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), x.alias("x"))
+    """The events' values written as times, percentages, whole numbers and plain words."""
+    rows = corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.floor("value").alias("n"))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    n, kind = F.col("n"), F.col("k") % 4
+    time = F.concat(two(F.floor(n / 3600) % 100), F.lit(":"), two(F.floor(n / 60) % 60), F.lit(":"), two(n % 60))
+    text = F.when(kind == 0, time).when(kind == 1, F.concat(n.cast("string"), F.lit("%"))).when(kind == 2, n.cast("string")).otherwise(F.concat(F.lit("about "), n.cast("string")))
     c = F.col("x")
-    return rows.select("k", values.is_hhmmss(c).alias("hhmmss"), values.is_time_or_percent(c).alias("time_or_percent"), values.is_xs_integer(c).alias("whole"), values.is_xs_boolean(c).alias("truth"))
+    return rows.withColumn("x", text).select("k", values.is_hhmmss(c).alias("hhmmss"), values.is_time_or_percent(c).alias("time_or_percent"), values.is_xs_integer(c).alias("whole"), values.is_xs_boolean(c).alias("truth"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
