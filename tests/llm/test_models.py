@@ -257,3 +257,94 @@ def test_unigram_scores_find_the_best_segmentation():
     ids, offs = encode_texts(vocabulary, pa.array(words))[0]
     for k, w in enumerate(words):
         assert sum(pieces[names[i]] for i in ids[offs[k] : offs[k + 1]]) == pytest.approx(best("▁" + w)[0])
+
+
+# ---------------------------------------------------------------- plain versions of the classifiers
+
+
+def test_languages_equal_plain_output_codes(docs_of):
+    from adlint_spark.llm.grams import byte_grams
+
+    rng = random.Random(3)
+    words = {"aa": ["the", "of", "and", "to"], "bb": ["der", "die", "und", "zu"], "cc": ["le", "la", "et", "aux"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 9))), lang, None) for k, lang in enumerate(list(words) * 12)]
+    rows += rows[:2] + [(90, None, "aa", None), (91, "", None, None), (92, "und la", None, None)]
+    got = [r.asDict() for r in langid.languages(docs_of(rows).selectExpr("*", "1 as score", "2 as lang_pred"), lambda c: held_in(c, 3, 1)).collect()]
+    grams = lambda t, k: [(t.encode().lower() + b"\0\0\0")[i : i + k] for i in range(len(t.encode()))]
+    bucket = lambda g: int(byte_grams(np.frombuffer(g, np.uint8), np.array([0, len(g)]), (len(g),), langid.BITS, True)[0][0])
+    learn = [(t, lang) for i, t, lang, _ in rows if t is not None and lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    names = sorted({lang for _, lang in learn})
+    share = {}
+    for lang in names:
+        for k in langid.ORDERS:
+            c = collections.Counter(bucket(g) for t, x in learn if x == lang for g in grams(t, k))
+            total = sum(c.values()) + 0.5 * 2**langid.BITS
+            share[lang, k] = lambda b, c=c, total=total: (c[b] + 0.5) / total
+    codes = langid.codewords(len(names))
+
+    def predict(text):
+        margins = []
+        for bit in range(codes.shape[1]):
+            up, down = ([n for n, c in zip(names, codes[:, bit]) if c == s] for s in (1, -1))
+            margin = 0.0
+            for k in langid.ORDERS:
+                gs = [bucket(g) for g in grams(text, k)]
+                odds = [math.log(sum(share[n, k](b) for n in up) / len(up)) - math.log(sum(share[n, k](b) for n in down) / len(down)) for b in gs]
+                margin += sum(odds) / len(gs) / len(langid.ORDERS)
+            margins.append(margin)
+        loss = [sum(math.log1p(math.exp(-4.0 * m * c)) for m, c in zip(margins, word)) for word in codes]
+        best = min(range(len(names)), key=lambda i: loss[i])
+        return names[best], 1 / sum(math.exp(min(loss) - x) for x in loss)
+
+    assert len(got) == len(rows)
+    for r in got:
+        text = next(t for i, t, _, _ in rows if i == r["doc_id"])
+        if text:
+            lang, score = predict(text)
+            assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, rel=1e-4)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+
+
+def test_quality_equals_plain_naive_bayes_support_vectors(spark, docs_of):
+    from adlint_spark.llm.grams import distinct_features
+
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["fine", "good", "text", "Sun"] if k % 2 else ["BAD!!", "xx", "$$$", "text"]) for _ in range(rng.randrange(1, 12)))) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs_of(rows), labels, lambda c: held_in(c, 5, 0)).collect()}
+    feats = lambda t: distinct_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), quality.BITS)[0].tolist()
+    own = {i: feats(t) for i, t in rows}
+    mixed = sorted((i * 0x9E3779B1 % 1_000_003, i) for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 0)
+    ids = [i for _, i in mixed]
+    y = [1.0 if i % 2 else -1.0 for i in ids]
+    learn = [n for n in range(len(ids)) if n % 5 != 4]
+    seen = {s: collections.Counter(f for n in learn if y[n] == s for f in own[ids[n]]) for s in (1.0, -1.0)}
+    total = {s: sum(seen[s].values()) + 2**quality.BITS for s in seen}
+    ratio = lambda f: math.log((seen[1.0][f] + 1) / total[1.0]) - math.log((seen[-1.0][f] + 1) / total[-1.0])
+    vector = {i: {f: ratio(f) for f in own[i]} for i in own}
+    vector = {i: {f: x / max(math.sqrt(sum(v * v for v in d.values())), 1e-6) for f, x in d.items()} for i, d in vector.items()}
+    cost = {s: len(ids) / (2 * y.count(s)) for s in (1.0, -1.0)}
+    w, alpha, order = collections.Counter(), [0.0] * len(learn), np.random.default_rng(7)
+    for _ in range(15):
+        moved = 0.0
+        for a in order.permutation(np.arange(len(learn))):
+            d, s = vector[ids[learn[a]]], y[learn[a]]
+            new = min(max(alpha[a] - (s * sum(w[f] * x for f, x in d.items()) - 1) / sum(x * x for x in d.values()), 0.0), cost[s])
+            for f, x in d.items():
+                w[f] += (new - alpha[a]) * s * x
+            moved, alpha[a] = max(moved, abs(new - alpha[a])), new
+        if moved < 1e-3:
+            break
+    margin = {i: sum(w[f] * x for f, x in d.items()) for i, d in vector.items()}
+    check = [n for n in range(len(ids)) if n % 5 == 4]
+    slope, intercept = quality.logistic(np.array([margin[ids[n]] for n in check]), np.array([y[n] for n in check]))
+    for i in own:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(slope * margin[i] + intercept))), abs=0.01)  # both stop near the optimum
+
+
+def test_score_column_is_replaced_and_repeated_documents_count_once(spark, docs_of):
+    docs = docs_of([(k, "good text" if k % 2 else "BAD!!") for k in range(40)] * 3).selectExpr("*", "0.5D as score")
+    model = quality.train(docs, spark.range(40).selectExpr("id as doc_id", "cast(id % 2 as int) as quality"), "quality")
+    rows = quality.with_score(docs, model).collect()
+    assert len(rows) == 120 and rows[1].score > rows[0].score and rows[0].score != 0.5

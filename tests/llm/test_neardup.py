@@ -96,3 +96,17 @@ def test_sets_of_long_and_short_texts():
     texts = ["a b c d e f", "a b c", "", None, "B C D E F"]
     out = [h[o[i] : o[i + 1]] for h, o in shingle_sets(pa.array(texts), 5) for i in range(len(o) - 1)]
     assert [len(s) for s in out] == [2, 1, 0, 0, 1] and out[4][0] in out[0]
+
+
+def test_repeated_doc_ids_with_several_texts(docs_of):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs_of([(5, a), (5, b), (6, a), (7, b), (8, a + " x y z q w e r t"), (None, a)])).collect() if r.doc_id is not None)
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+def test_hot_keys_join_like_others(spark):
+    from adlint_spark.llm.common import hot_join
+
+    left = spark.createDataFrame([(1, n) for n in range(500)] + [(k, 0) for k in range(2, 40)], "k int, n int")
+    right = left.groupBy("k").count().withColumnRenamed("count", "w").withColumn("v", left.k * 10)
+    assert sorted(map(tuple, hot_join(left, right, ["k"], "w").select("k", "n", "v").collect())) == sorted((r.k, r.n, r.k * 10) for r in left.collect())
