@@ -152,3 +152,67 @@ def test_detection(spark):
     got = detect.inspect(spark.createDataFrame([("a", CLEAN)], "doc_id string, xml string")).collect()[0]
     assert (got.ad_type, got.ad_system, got.duration, got.impressions, got.trackings) == ("InLine", "acme", "00:00:30", 1, 1)
     assert tallies.gap_check(*[spark.range(k).withColumnRenamed("id", "event_id") for k in (5, 4, 3)]).collect()[0].lost == 1
+
+
+NAMESPACE = "http://www.iab.net/videosuite/vmap"
+#: name -> (document, findings that it must have among others: rule, path, line and column or None)
+PLACES = {
+    "playlist": (
+        f'<VMAP version="1.0" xmlns:v="{NAMESPACE}"><AdBreak timeOffset="start" breakType="display" repeatAfter="00:00:10"><AdSource><VASTAdData><VAST version="2.0"><Ad><InLine/></Ad></VAST></VASTAdData></AdSource><AdSource/></AdBreak></VMAP>',
+        [
+            ("VMAP-1.0-repeatafter-conflict", "/VMAP/AdBreak[0][@repeatAfter]", None),
+            ("VMAP-1.0-display-break-no-companions", "/VMAP/AdBreak[0]/AdSource/VASTAdData", None),
+            ("VMAP-1.0-embedded-vast-version", "/VMAP/AdBreak[0]/AdSource/VASTAdData/VAST[@version]", None),
+            ("VMAP-1.0-adbreak-multiple-adsource", "/VMAP/AdBreak[0]/AdSource[1]", None),
+            ("VAST-2.0-inline-impression", "/VMAP/AdBreak[0]/AdSource/VASTAdData/VAST/Ad[0]/InLine", None),
+        ],
+    ),
+    "vendors": (
+        CLEAN.replace("<Creatives>", '<AdVerifications><Verification vendor="a.com-omid"/><Verification vendor=" A.com-omid"/></AdVerifications><Creatives>'),
+        [("VAST-4.1-verification-duplicate-vendor", "/VAST/Ad[0]/InLine/AdVerifications/Verification[1]", None)],
+    ),
+    "vpaid": (
+        CLEAN.replace("<MediaFile ", '<InteractiveCreativeFile apiFramework="simid" type="text/html">https://a.com</InteractiveCreativeFile><MediaFile apiFramework="VPAID" delivery="progressive"/><MediaFile apiFramework="vpaid" '),
+        [
+            ("VAST-4.1-vpaid-in-interactive-context", "/VAST/Ad[0]/InLine/Creatives/Creative[0]/Linear/MediaFiles/MediaFile[0]", None),
+            ("VAST-4.1-vpaid-in-interactive-context", "/VAST/Ad[0]/InLine/Creatives/Creative[0]/Linear/MediaFiles/MediaFile[1]", None),
+            ("SIMID-1.0-simid-apiframework-case", "/VAST/Ad[0]/InLine/Creatives/Creative[0]/Linear/MediaFiles/InteractiveCreativeFile[0]", None),
+            ("SIMID-1.0-simid-interactive-start", "/VAST/Ad[0]/InLine/Creatives/Creative[0]/Linear/TrackingEvents", None),
+        ],
+    ),
+    "events": (
+        CLEAN.replace('event="start"', 'event="x"').replace("</TrackingEvents>", '<Tracking event="skip"><![CDATA[https://a.com/t]]></Tracking></TrackingEvents>'),
+        [
+            ("VAST-4.1-tracking-event-value", '/VAST/Ad[0]/InLine/Creatives/Creative[0]/Linear/TrackingEvents/Tracking[0][@event="x"]', None),
+            ("VAST-3.0-skip-event-no-skipoffset", "/VAST/Ad[0]/InLine/Creatives/Creative[0]/Linear/TrackingEvents", None),
+        ],
+    ),
+    "child": ('<VAST version="2.0">\n<Ad>\n <InLine><AdTitle>t</AdTitle>\n  <Odd/></InLine></Ad></VAST>', [("VAST-2.0-inline-unknown-child", "/VAST/Ad[0]/InLine/Odd", (4, 3))]),
+    "empty id": (CLEAN.replace("<AdServingId>s", "<AdServingId>"), [("VAST-4.1-ad-serving-id-empty", "/VAST/Ad[0]/InLine/AdServingId", None)]),
+    "audio": ('<DAAST version="1.1"><Error/><Error/></DAAST>', [("DAAST-1.0-error-url-empty", "/DAAST/Error[1]", None)]),
+    "lower case": ('\\n<vast version=\\"2.0\\"></vast>', [("VAST-2.0-json-escaped", None, None), ("VAST-2.0-root-element", "/", (2, 1))]),
+}
+
+
+def test_findings_name_their_places(spark):
+    rows = spark.createDataFrame([(k, x) for k, (x, _) in PLACES.items()], "doc_id string, xml string")
+    found = verdicts.validate(rows)[1].collect()
+    for name, (_, want) in PLACES.items():
+        own = [r for r in found if r.doc_id == name]
+        for rule, path, place in want:
+            hits = [r for r in own if r.rule_id == rule and r.path == path and (place is None or (r.line, r.col) == place)]
+            assert len(hits) == 1, (name, rule, path, [(r.rule_id, r.path, r.line, r.col) for r in own])
+    assert all(r.spec_ref for r in found)
+
+
+def test_policies_decide_verdicts(spark):
+    rows = spark.createDataFrame([("a", "p", CLEAN.replace("00:00:30", "30s")), ("b", None, CLEAN.replace("00:00:30", "30s"))], "doc_id string, policy_id string, xml string")
+    policy = spark.createDataFrame([("p", "VAST-2.0-duration-format", "warning"), ("p", "VAST-2.0-duration-format", "zzz")], "policy_id string, rule_id string, level string")
+    got = {r.doc_id: (r.errors, r.warnings, r.valid) for r in verdicts.verdicts_of(rows, policy).collect()}
+    assert got == {"a": (0, 1, True), "b": (1, 0, False)}
+
+
+def test_inspection_takes_the_last_value(spark):
+    xml = '<VAST version="2.0"><Ad><InLine><AdSystem>one</AdSystem><AdSystem>two</AdSystem><!-- <Impression>x</Impression> --><x:Impression xmlns:x="u">i</x:Impression><Creatives><Creative><Linear><Duration><![CDATA[00:00:10]]></Duration></Linear></Creative></Creatives></InLine></Ad></VAST>'
+    got = detect.inspect(spark.createDataFrame([("a", xml)], "doc_id string, xml string")).collect()[0]
+    assert (got.ad_system, got.impressions, got.duration) == ("two", 0, "00:00:10")
