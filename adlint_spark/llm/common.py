@@ -61,6 +61,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, a row for each key with ``weight``, the number of left rows that have it.
+
+    Keys with more than their even share of the rows of a shuffle partition are fewer than there are partitions. They
+    are broadcast, so that no task gets all rows of one; the others are joined as usual. ``how`` is inner or left.
+    Both sides are read twice: they should be tables or checkpoints.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col(weight) > max(total // parts, 1)
+    hot = F.broadcast(right.filter(is_hot).drop(weight))
+    cold = left.join(F.broadcast(right.filter(is_hot).select(keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(cold.join(right.filter(~is_hot).drop(weight), keys, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

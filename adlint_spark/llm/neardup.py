@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import cut_lineage, map_batches
+from adlint_spark.llm.common import cut_lineage, hot_join, map_batches
 from adlint_spark.llm.neardup_kernel import linked_stars, min_max_bands, shingle_sets
 
 #: A group that compares shingle sets holds two blocks of at most about this many shingles (8 bytes each).
@@ -69,7 +69,8 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.sum("n_shingles").alias("weight"))
     buckets = buckets.filter("members > 1").groupBy("members", "least", "who").agg(F.min("bucket").alias("bucket"), F.max("weight").alias("weight"))
     blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES)
-    rows = rows.select("bucket", "rep").join(buckets.select("bucket", blocks.alias("blocks")), "bucket")
+    buckets = cut_lineage(buckets.select("bucket", "members", blocks.alias("blocks")))
+    rows = hot_join(rows.select("bucket", "rep"), buckets, ["bucket"], "members")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks"))
     # the row's block meets every other one once; block pairs are (smaller, larger), a single block is (0, 0)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -119,20 +120,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, permutat
 
     Texts that are null, empty or blank have n_shingles 0 and are linked with nothing. A null doc_id can't be
     named by a link: its row has a null component_id and is kept. Rows that repeat a doc_id with one text have one
-    result; with several texts each row has the component of its own set. No rows give no rows. Other columns are ignored.
+    result; with several texts each row has the component of its own set, and sets whose least doc_id is the same one
+    count as linked. No rows give no rows. Other columns are ignored.
     """
     base = cut_lineage(signatures(docs.select("doc_id", "text"), width, permutations, rows))
     some = base.filter("n_shingles > 0 and doc_id is not null")
-    reps = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    reps = cut_lineage(some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     groups = cut_lineage(candidate_groups(reps))
     links = confirmed_links(docs, groups, width, percent)
     return finish(base, reps.drop("bands"), components(links))
 
 
 def finish(base: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Every row with its set's representative and that one's component."""
+    """Every row with its set's representative and that one's component. Sets meet their components first, then rows their sets."""
     keys = ["n_shingles", "set_a", "set_b"]
-    rows = base.drop("bands").join(reps, keys, "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    sets = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    sets = cut_lineage(sets.select(*keys, "copies", F.coalesce("component", "rep").alias("component")))
+    # rows without words or without doc_id have no set
+    rows = hot_join(base.filter("n_shingles > 0 and doc_id is not null").select("doc_id", *keys), sets, keys, "copies")
+    rest = base.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    rows = rows.select("doc_id", "n_shingles", "component").unionByName(rest)
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
