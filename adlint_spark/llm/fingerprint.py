@@ -82,26 +82,36 @@ def with_fingerprint(df: DataFrame, text: str, out: str, bins: int = 128, bits:
     return df.withColumn(out, densified(F.col("__minima"), F.col("__full"), bits)).drop("__words", "__ordered", "__minima", "__full")
 
 
-def with_next(df: DataFrame, order: str, columns: list[str], parts: int = 256) -> DataFrame:
-    """``df`` (a row for each ``order``) with ``next_<column>``: the columns of the next row by ``order``, of the first row after the last.
+#: Ranges of rows that look one row ahead have about so many bytes of text; beyond MOST_RANGES they grow.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 1 << 16
 
-    Rows are cut at quantiles of ``order`` into at most ``parts`` ranges; each range looks one row ahead, its last
-    row takes the first one of the next range that has rows. Rows with a null ``order`` come last.
-    """
-    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()["cuts"]
+
+def with_range(df: DataFrame, order: str, text: str) -> DataFrame:
+    """``df`` with the column __range: quantiles of ``order`` that hold some RANGE_BYTES of ``text`` each; null ``order`` comes last."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, min(MOST_RANGES, -(-size // RANGE_BYTES)))
+    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * max(parts, 1000)).alias("cuts")).first()["cuts"] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    spot = F.when(F.col(order).isNull(), F.lit(len(cuts) + 1))
-    if cuts:
-        listed = F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<bigint>")
-        # the cuts lie in order: the number of those below is where the value would stand among them
-        spot = spot.otherwise(F.size(F.filter(listed, lambda c: c < F.col(order))))
-    else:
-        spot = spot.otherwise(F.lit(0))
-    df = df.withColumn("__range", spot.cast("int"))
-    ahead = W.partitionBy("__range").orderBy(F.col(order).asc_nulls_last(), *columns)
-    rest = df.groupBy("__range").agg(F.min_by(F.struct(*columns), F.struct(F.col(order), *columns)).alias("__first"))
-    rest = rest.withColumn("__wrap", F.first("__first").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    rest = rest.select("__range", F.coalesce(F.lead("__first").over(W.orderBy("__range")), F.col("__wrap")).alias("__after"))
+    if not cuts:
+        return df.withColumn("__range", F.col(order).isNull().cast("int"))
+    listed = F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<bigint>")
+    # how many cuts lie below the value, by halving: the place is grown bit by bit from the highest
+    steps = F.array(*(F.lit(1 << bit) for bit in reversed(range(len(cuts).bit_length()))))
+    spot = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((at + step <= len(cuts)) & (F.get(listed, at + step - 1) < F.col(order)), step).otherwise(0))
+    return df.withColumn("__range", F.when(F.col(order).isNull(), F.lit(len(cuts) + 1)).otherwise(spot))
+
+
+def with_next(df: DataFrame, order: str, by: str, columns: list[str], firsts: DataFrame) -> DataFrame:
+    """``df`` (__range, a row for each ``order``, ties by ``by``) with ``next_<column>``: the columns of the next row, of the first row after the last.
+
+    Each range looks one row ahead, its last row takes the first one of the next range that has rows; ``firsts`` (__range,
+    columns) has the first row of each.
+    """
+    everything = W.partitionBy()  # a row for each range
+    rest = firsts.select("__range", F.struct(*columns).alias("__first"))
+    rest = rest.withColumn("__wrap", F.first("__first").over(everything.orderBy("__range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    rest = rest.select("__range", F.coalesce(F.lead("__first").over(everything.orderBy("__range")), F.col("__wrap")).alias("__after"))
+    ahead = W.partitionBy("__range").orderBy(F.col(order).asc_nulls_last(), by)
     df = df.withColumn("__next", F.lead(F.struct(*columns)).over(ahead)).join(rest, "__range")
     following = F.coalesce("__next", "__after")
     return df.select("*", *(following[c].alias(f"next_{c}") for c in columns)).drop("__range", "__next", "__after")
@@ -117,8 +127,11 @@ def edited_fingerprints(docs: DataFrame, bins: int = 128, bits: int = 8, width:
     Needs doc_id and text; other columns are ignored. A null text counts as empty: no characters, fingerprint ''. Rows that
     repeat a doc_id stand by text; null ids come last. No rows give no rows.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "values", bins, bits, width), "doc_id", ["text", "values"])
+    rows = with_range(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
+    # the first row of each range is found before fingerprints are made, which are dear
+    firsts = rows.groupBy("__range").agg(F.min_by("text", F.struct(F.col("doc_id"), F.col("text"))).alias("text"))
+    printed = lambda df: with_fingerprint(df, "text", "values", bins, bits, width)
+    rows = with_next(printed(rows), "doc_id", "text", ["text", "values"], printed(firsts))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
