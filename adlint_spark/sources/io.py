@@ -63,10 +63,11 @@ def with_issues(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def result_document(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
-    """(doc_id, json): one JSON object for each document."""
+    """(doc_id, json): one JSON object for each document, named as its file."""
     rows = with_issues(verdicts, findings)
     empty = F.array().cast("array<struct<id:string,severity:string,message:string,path:string,spec_ref:string,line:int,col:int>>")
-    body = F.struct("doc_id", "document_type", "input_status", F.col("version.effective").alias("version"), F.struct("errors", "warnings", "infos", "valid").alias("summary"), F.coalesce("issues", empty).alias("issues"))
+    version = F.coalesce("version.effective", F.lit("unknown")).alias("version")
+    body = F.struct(F.col("doc_id").alias("file"), "document_type", version, "valid", F.struct("errors", "warnings", "infos", "valid").alias("summary"), F.coalesce("issues", empty).alias("issues"))
     return rows.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -146,6 +146,7 @@ def test_result_documents(spark, documents):
     rows, findings = verdicts.validate(documents.filter("doc_id = 'duration'"))
     body = json.loads(io.result_document(rows, findings).collect()[0].json)
     assert body["summary"] == {"errors": 1, "warnings": 0, "infos": 0, "valid": False} and body["issues"][0]["id"] == "VAST-2.0-duration-format"
+    assert (body["file"], body["version"], body["valid"], body["issues"][0]["spec_ref"]) == ("duration", "4.2", False, "IAB VAST 2.0 §2.3.5.1")
 
 
 def test_detection(spark):
