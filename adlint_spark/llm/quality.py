@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adlint_spark.llm.common import map_batches, text_chunks
@@ -100,15 +101,19 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000, max_bytes: int = 128 << 20) -> Model:
     """The model for ``labels`` (doc_id, ``label`` 0 or 1) of ``docs`` (doc_id, text).
 
-    It is fitted on the driver to at most ``max_rows`` labelled rows, those with the least hash of doc_id. Their
+    It is fitted on the driver to at most ``max_rows`` labelled rows with ``max_bytes`` of text, those with the least hash of doc_id. Their
     ids, so bounded, are broadcast to the documents. Other labels, null ids and ids that ``docs`` lacks don't count.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # max_rows rows at most, so one window holds them
+    upto = F.sum(F.octet_length("text")).over(W.partitionBy().orderBy(F.xxhash64("doc_id"), "doc_id", "label"))
+    rows = rows.withColumn("__upto", upto).filter(F.col("__upto") <= max_bytes).drop("__upto").repartition(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(features.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), batch.column("label").slice(at, end - at), lists], names=["doc_id", "label", "features"])
 
-    # rows that repeat a document count once, so no more than max_rows of them reach the driver
+    # of rows that repeat a document the least text counts, so no more than max_rows of them reach the driver
     got = map_batches(rows, run, "doc_id long, label int, features array<int>").toArrow()
     ids, label = got.column("doc_id").to_numpy(), got.column("label").to_numpy()
     parts = [x for c in got.column("features").chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) if len(c)]
