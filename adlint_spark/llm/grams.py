@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from adlint_spark.llm.common import seeded, word_spans
+from adlint_spark.llm.common import seeded, span_hashes, word_spans
 
 _SEEDS = seeded(16, 505) | np.uint64(1)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -35,7 +35,7 @@ def byte_grams(data: np.ndarray, offs: np.ndarray, orders: tuple[int, ...], bits
 
 
 def word_shapes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shape, first word of each text): length class, case, the last two bytes' kinds, and whether a word repeats the one before."""
+    """(shape, first word of each text): length class, case, the last two bytes' kinds, and whether a word repeats the one before it in its text."""
     starts, ends, first = word_spans(data, offs)
     if not len(starts):
         return np.zeros(0, np.uint64), first
@@ -50,11 +50,9 @@ def word_shapes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     caps = (upper[ends] - upper[starts]).astype(np.uint64)
     length = np.minimum((ends - starts).astype(np.uint64), np.uint64(15))
     same = np.zeros(len(starts), np.uint64)
-    if len(starts) > 1:
-        equal = (ends - starts)[1:] == (ends - starts)[:-1]
-        for off in range(min(8, int((ends - starts).max()))):
-            equal &= (data[np.minimum(starts[1:] + off, ends[1:] - 1)] == data[np.minimum(starts[:-1] + off, ends[:-1] - 1)])
-        same[1:] = equal
+    whole = span_hashes(data, starts, ends, fold=False)
+    same[1:] = whole[1:] == whole[:-1]
+    same[first[:-1][np.diff(first) > 0]] = 0  # a text's first word has none before it
     shape = ((((length * np.uint64(64) + last) * np.uint64(64) + before) * np.uint64(4) + np.minimum(caps, np.uint64(3))) * np.uint64(2)) + same
     return shape, first
 

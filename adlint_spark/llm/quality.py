@@ -111,9 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000,
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    # max_rows rows at most, so one window holds them
-    upto = F.sum(F.octet_length("text")).over(W.partitionBy().orderBy(F.xxhash64("doc_id"), "doc_id", "label"))
-    rows = rows.withColumn("__upto", upto).filter(F.col("__upto") <= max_bytes).drop("__upto").repartition(16)
+    # max_rows lengths at most, so one window holds them
+    upto = F.sum("size").over(W.partitionBy().orderBy(F.xxhash64("doc_id"), "doc_id", "label"))
+    within = rows.select("doc_id", "label", F.octet_length("text").alias("size")).withColumn("upto", upto).filter(F.col("upto") <= max_bytes)
+    rows = rows.join(F.broadcast(within.select("doc_id", "label")), ["doc_id", "label"]).repartition(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +148,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, may_learn, label: str = "
 
     ``may_learn`` (a function of the doc_id column) marks the rows whose labels may be used; the others are held out. A score
     depends on the text alone. Null, empty and blank texts get the score of a text without features. Without labels,
-    or with one kind alone, every score is the smoothed share of label 1. Repeated rows score alike; no rows give no rows; other
-    columns are ignored.
+    or with one kind alone, every score is the smoothed share of label 1. Very long texts are scored whole, in memory in
+    proportion to the longest. Repeated rows score alike; no rows give no rows; other columns are ignored.
     """
     model = train(docs, labels.filter(may_learn(F.col("doc_id"))), label, max_rows)
     rows = with_score(docs.select("doc_id", "text"), model).drop("text")

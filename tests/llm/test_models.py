@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from adlint_spark.llm import langid, ppm, quality
 from adlint_spark.llm.common import held_in
+from adlint_spark.llm.grams import distinct_features, word_shapes
 from adlint_spark.llm.pieces import decode, encode, load_vocabulary
 from adlint_spark.llm.pieces_kernel import Vocabulary, encode_texts, piece_key
 from adlint_spark.llm.queries import TOKENIZERS
@@ -306,8 +307,27 @@ def test_languages_equal_plain_output_codes(docs_of):
             assert (r["lang_pred"], r["score"]) == ("und", 0)
 
 
+def test_word_shapes_come_from_the_text_alone():
+    texts = ["fine text", "good text", "text fine", "", "  ", "fine fine fine", "longworda longwordb longwordb", "text fine", "fine"]
+
+    def features(order):
+        data = [texts[i].encode() for i in order]
+        offs = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+        found, cuts = distinct_features(np.frombuffer(b"".join(data), np.uint8), offs, quality.BITS)
+        return {i: found[cuts[n] : cuts[n + 1]].tolist() for n, i in enumerate(order)}
+
+    alone = {i: features([i])[i] for i in range(len(texts))}
+    rng = random.Random(3)
+    for _ in range(20):
+        order = rng.sample(range(len(texts)), rng.randint(1, len(texts)))
+        assert features(order) == {i: alone[i] for i in order}
+    # words of over eight bytes are compared whole
+    pair = np.frombuffer(b"longworda longwordb longwordb", np.uint8)
+    shape, _ = word_shapes(pair, np.array([0, len(pair)]))
+    assert (shape & np.uint64(1)).tolist() == [0, 0, 1]
+
+
 def test_quality_equals_plain_naive_bayes_support_vectors(spark, docs_of):
-    from adlint_spark.llm.grams import distinct_features
 
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice(["fine", "good", "text", "Sun"] if k % 2 else ["BAD!!", "xx", "$$$", "text"]) for _ in range(rng.randrange(1, 12)))) for k in range(60)]
@@ -340,7 +360,7 @@ def test_quality_equals_plain_naive_bayes_support_vectors(spark, docs_of):
     check = [n for n in range(len(ids)) if n % 5 == 4]
     slope, intercept = quality.logistic(np.array([margin[ids[n]] for n in check]), np.array([y[n] for n in check]))
     for i in own:
-        assert got[i] == pytest.approx(1 / (1 + math.exp(-(slope * margin[i] + intercept))), abs=0.01)  # both stop near the optimum
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(slope * margin[i] + intercept))), abs=1e-5)
 
 
 def test_score_column_is_replaced_and_repeated_documents_count_once(spark, docs_of):
