@@ -8,17 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adlint_spark.llm.adaptive import LEAST_ROWS, MEASURES, SHARP, adaptive_rules
 from adlint_spark.llm.common import LOWER, UPPER, held_in, table
 from adlint_spark.llm.fingerprint import edited_fingerprints
 from adlint_spark.llm.langid import languages
 from adlint_spark.llm.mixing import mixed
 from adlint_spark.llm.neardup import near_duplicates
+from adlint_spark.llm.phrases import collocations
 from adlint_spark.llm.pieces import encode, load_vocabulary
 from adlint_spark.llm.ppm import lm_scores
 from adlint_spark.llm.quality import quality_scores
 from adlint_spark.llm.sharding import shard_documents
 from adlint_spark.llm.topk import top_k
 from adlint_spark.llm.urlfilter import filter_urls
+from adlint_spark.llm.whitening import whitened_components
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_WORD}')"
@@ -78,6 +81,18 @@ def op10_oph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_multiplicity_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules(table(spark, sf_dir, "documents")).drop("failed")
+
+
+def op13_misra_gries_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def _shard_sql(shards: int) -> str:
     """The last of the highest-scoring shards, as ties go to the larger number; equal weights leave the largest u."""
     scores = ", ".join(f"{{'s': 1.0 / -ln((('0x' || substr(md5(k || '/{i}'), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}), 'i': {i}}}" for i in range(shards))
@@ -149,10 +164,57 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
 """
 
+_VALUES = ", ".join(f"('{m.name}', CASE WHEN {m.of} > 0 THEN {m.scale} * {m.part} // {m.of} ELSE 0 END)" for m in MEASURES)
+_FENCES = ", ".join(f"('{m.name}', {m.reach}, {m.slack}, {str(m.below).lower()})" for m in MEASURES)
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS nth, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+wins AS (SELECT nth, i, w[i : i + 2] AS g FROM d, unnest(generate_series(1, len(w) - 2)) AS u(i) WHERE len(w) > 2),
+twice AS (SELECT nth, i FROM wins QUALIFY count(*) OVER (PARTITION BY nth, g) > 1),
+covered AS (SELECT nth, count(DISTINCT i + o) AS n FROM twice, unnest([0, 1, 2]) AS u(o) GROUP BY nth),
+lines AS (SELECT nth, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM d, unnest(string_split(t, chr(10))) AS u(line) WHERE regexp_matches(line, '{_WORD}') GROUP BY nth),
+c AS (SELECT d.nth, doc_id, lang, source, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM d LEFT JOIN lines USING (nth) LEFT JOIN covered USING (nth)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+v AS (SELECT nth, lang, source, measure, value, CASE WHEN value <= 0 THEN 0 ELSE (length(bin(value)) << {SHARP + 1}) + ((value << {SHARP}) >> (length(bin(value)) - 1)) END AS bucket
+      FROM (SELECT nth, lang, source, unnest([{_VALUES}]) AS m, m[1] AS measure, m[2]::BIGINT AS value FROM b WHERE NOT base_failed)),
+levels AS (SELECT 0 AS level, lang, source, measure, bucket FROM v UNION ALL SELECT 1, lang, NULL, measure, bucket FROM v UNION ALL SELECT 2, NULL, NULL, measure, bucket FROM v),
+sk AS (SELECT level, lang, source, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sk),
+q AS (SELECT level, lang, source, measure, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM cum GROUP BY ALL),
+e AS (SELECT * EXCLUDE (q1, q3), CASE WHEN q1 <= 0 THEN 0 ELSE (((q1 % {1 << SHARP + 1}) << ((q1 >> {SHARP + 1}) - 1)) + {(1 << SHARP) - 1}) >> {SHARP} END AS low,
+             CASE WHEN q3 <= 0 THEN 0 ELSE (((q3 % {1 << SHARP + 1}) << ((q3 >> {SHARP + 1}) - 1)) + {(1 << SHARP) - 1}) >> {SHARP} END AS high FROM q),
+f AS (SELECT e.*, CASE WHEN below THEN low - (high - low) * reach - slack ELSE -1 END AS least, high + (high - low) * reach + slack AS most
+      FROM e JOIN (VALUES {_FENCES}) AS r(measure, reach, slack, below) USING (measure)),
+fit AS (SELECT v.nth, bool_and(value BETWEEN CASE WHEN a.total >= {LEAST_ROWS} THEN a.least WHEN l.total >= {LEAST_ROWS} THEN l.least ELSE g.least END
+                                 AND CASE WHEN a.total >= {LEAST_ROWS} THEN a.most WHEN l.total >= {LEAST_ROWS} THEN l.most ELSE g.most END) AS within
+        FROM v JOIN f a ON a.level = 0 AND a.measure = v.measure AND a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source
+        JOIN f l ON l.level = 1 AND l.measure = v.measure AND l.lang IS NOT DISTINCT FROM v.lang JOIN f g ON g.level = 2 AND g.measure = v.measure GROUP BY v.nth)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       base_failed, NOT base_failed AND coalesce(within, false) AS kept
+FROM b LEFT JOIN fit USING (nth)
+"""
+
+OP13_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+           FROM documents, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS u(piece)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS f
+      FROM p, unnest(generate_series(1, 5)) AS x(k), unnest(generate_series(1, len(w) - k + 1)) AS y(i) WHERE len(w) >= k GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT c.lang, c.phrase, c.k, c.f AS a, cut, h.f AS l, t.f AS r, n.n, (1000 * c.f::HUGEINT * n.n::HUGEINT // (h.f::HUGEINT * t.f::HUGEINT))::BIGINT AS score
+         FROM c JOIN n ON n.lang = c.lang JOIN unnest(generate_series(1, 4)) AS x(cut) ON cut < c.k
+         JOIN c h ON h.lang = c.lang AND h.phrase = array_to_string(string_split(c.phrase, ' ')[1 : cut], ' ')
+         JOIN c t ON t.lang = c.lang AND t.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+left_ AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.f >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))::INT AS rank, phrase, a, l, r, n, score FROM left_ QUALIFY rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_topk": OP1_SQL, "op4_rendezvous_shards": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op6_bloom_cascade": OP6_SQL, "op7_minmax_neardup": OP7_SQL}
+    return {"op1_va_topk": OP1_SQL, "op4_rendezvous_shards": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op6_bloom_cascade": OP6_SQL, "op7_minmax_neardup": OP7_SQL, "op12_adaptive_rules": OP12_SQL, "op13_misra_gries_phrases": OP13_SQL}
