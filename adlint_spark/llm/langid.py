@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import map_batches, text_chunks
+from adlint_spark.llm.common import map_batches, release_memory, text_chunks
 from adlint_spark.llm.grams import byte_grams
 
 ORDERS = (2, 3, 4)
@@ -83,6 +83,8 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> Codes:
     counts = np.zeros((len(languages), len(ORDERS) << BITS))
     row = {lang: k for k, lang in enumerate(languages)}
     counts[[row[x] for x in names], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    del got, names
+    release_memory()
     by_order = counts.reshape(len(languages), len(ORDERS), 1 << BITS) + smoothing
     share = (by_order / by_order.sum(axis=2, keepdims=True)).reshape(counts.shape)
     weights = np.zeros((counts.shape[1], codes.shape[1]), np.float32)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adlint_spark.llm.common import map_batches, text_chunks
+from adlint_spark.llm.common import map_batches, release_memory, text_chunks
 from adlint_spark.llm.grams import distinct_features
 
 #: Hashed features: 2 ** BITS; a text's number in a run of texts takes the other bits of 32.
@@ -128,7 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = 8000,
     ids, label = got.column("doc_id").to_numpy(), got.column("label").to_numpy()
     parts = [x for c in got.column("features").chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1]) if len(c)]
     order = np.lexsort((label, ids, ids * np.int64(0x9E3779B1) % 1_000_003))  # any fixed order that mixes the ids
-    return fit([parts[i] for i in order], label[order])
+    model = fit([parts[i] for i in order], label[order])
+    del got, parts, ids
+    release_memory()  # what the fit has taken would stay with the driver else
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
