@@ -18,11 +18,13 @@ UNKNOWN = "und"
 #: Bits of the filter that tells tasks which n-grams may be frequent; more n-grams than it can tell apart cost time, no results.
 FILTER_BITS = 26
 #: Hash partitions of the n-grams; several may share a task.
-BUCKETS = 4096
+BUCKETS = 1024
+#: Distinct n-grams that a task holds before it sends their counts.
+HELD = 1 << 20
 _SPACE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 32]] = True
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
-_SEED = seeded(4, 1313) | np.uint64(1)
+_SEED = seeded(4, 1313) | np.uint64(1)  # odd factors
 
 
 class Chunk:
@@ -124,50 +126,60 @@ class Tally:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return ((h * _SEED[2]) >> np.uint64(64 - 12)).astype(np.int32)
+    return (h >> np.uint64(54)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, orders: tuple[int, ...], words: Broadcast | None, pairs: Broadcast | None) -> DataFrame:
-    """(bucket, h, n) of the n-grams of ``orders`` in ``docs`` (text, lang), counted within runs of a task, and for each
-    bucket rows whose h is null with the sum of the n.
+    """(bucket, mass, keys, counts) of the n-grams of ``orders`` in ``docs`` (text, lang): for each run of a task and hash partition
+    one row with the n-grams' next 32 bits and their counts in the run, as packed arrays; and for each task and hash partition
+    one without them, whose ``mass`` is the sum of all its counts.
 
-    With ``words``, a filter, n-grams with other words are left out; with ``pairs`` those with other pairs of words.
+    With ``words``, a filter, n-grams with other words are left out; with ``pairs`` those with other pairs of words. N-grams that share 42 bits of
+    their hash count as one, which lets more through, never less.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, mass, code = Tally(), np.zeros(BUCKETS, np.int64), {}
+        tally, mass, code = Tally(HELD), np.zeros(BUCKETS, np.int64), {}
 
         def out(everything: bool) -> Iterator[pa.RecordBatch]:
             h, n = tally.compact()
             if not everything and 2 * len(h) < tally.most:
                 return
-            buckets = _bucket(h)
-            mass[:] += np.bincount(buckets, n.astype(np.float64), BUCKETS).astype(np.int64)
             tally.held, tally.size = [], 0
-            for at in range(0, len(h), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(buckets[at : at + (1 << 17)]), pa.array(h[at : at + (1 << 17)].view(np.int64)), pa.array(n[at : at + (1 << 17)])], names=["bucket", "h", "n"])
+            cuts = np.searchsorted(_bucket(h), np.arange(BUCKETS + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            sums = np.concatenate([[0], np.cumsum(n)])[cuts]
+            mass[:] += np.diff(sums)
+            keys, counts = (h >> np.uint64(22)).astype(np.uint32), np.minimum(n, (1 << 32) - 1).astype(np.uint32)
+            pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[used], cuts[used + 1], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.int64()), pack(keys), pack(counts)], names=["bucket", "mass", "keys", "counts"])
 
         for batch in batches:
             for chunk in chunks_of(batch, code):
                 grams, fit = chunk.word, np.ones(len(chunk.word), bool)
                 if words is not None:
-                    fit = may_have(words.value, chunk.word)
+                    fit = may_have(words.value, short(chunk.word))
                 for order in range(1, max(orders) + 1):
                     if order > 1:
                         grams, whole = chunk.grams(grams, order), chunk.whole(order)
                         fit = fit[: len(grams)] & fit[1 : len(grams) + 1] & whole
                         if order == 2 and pairs is not None:
                             at = np.flatnonzero(fit)
-                            fit[at] = may_have(pairs.value, grams[at])
+                            fit[at] = may_have(pairs.value, short(grams[at]))
                     if order in orders:
-                        tally.add(grams[fit])
+                        tally.add(short(grams[fit]))
                 if tally.full():
                     yield from out(False)
         yield from out(True)
         used = np.flatnonzero(mass)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.int64()), pa.array(mass[used])], names=["bucket", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(mass[used]), pa.nulls(len(used), pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "mass", "keys", "counts"])
 
-    return map_batches(docs.select("text", "lang"), run, "bucket int, h long, n long")
+    return map_batches(docs.select("text", "lang"), run, "bucket int, mass long, keys binary, counts binary")
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """The 42 bits of hashes that summaries go by, in place."""
+    return h & np.uint64(0xFFFF_FFFF_FFC0_0000)
 
 
 class MisraGries:
@@ -195,20 +207,21 @@ class MisraGries:
 def survivors(counts: DataFrame, least: int) -> DataFrame:
     """(h): of ``gram_counts`` every n-gram that occurs ``least`` times or more, and some others.
 
-    Each hash partition has one summary, whose capacity exceeds its mass divided by ``least``, so it loses less than ``least`` of any n-gram. The masses come first, as rows without h.
+    Each hash partition, or several that share a task, has one summary, whose capacity exceeds its mass divided by ``least``, so it loses less than
+    ``least`` of any n-gram. The masses come first.
     """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = counts.repartition(parts, "bucket").sortWithinPartitions(F.col("h").isNotNull())
+    rows = counts.repartition(parts, "bucket").sortWithinPartitions(F.col("mass").isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, summary, held = 0, None, Tally(1 << 19)
         for batch in batches:
-            h, n = batch.column("h"), batch.column("n").to_numpy()
-            known = h.is_valid().to_numpy(zero_copy_only=False)
-            mass += int(n[~known].sum())
-            if known.any():
+            for bucket, own, keys, counts in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if own.is_valid:
+                    mass += own.as_py()
+                    continue
                 summary = summary or MisraGries(mass // least + 1)
-                held.add(h.drop_null().to_numpy().view(np.uint64), n[known])
+                held.add((np.uint64(bucket.as_py()) << np.uint64(54)) | (np.frombuffer(keys.as_buffer(), np.uint32).astype(np.uint64) << np.uint64(22)), np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64))
                 if held.full():
                     summary.merge(*held.compact())
                     held = Tally(1 << 19)
@@ -237,24 +250,30 @@ def exact_counts(docs: DataFrame, most_words: int, filters: dict[int, Broadcast]
     """(lang, phrase, words, f) of all phrases of up to ``most_words`` words that occur ``least`` times or more, and the number of
     words of each language as the phrase of 0 words. ``filters`` by number of words, the last for all longer ones.
 
-    Phrases are counted in task runs by two hashes, then by their text.
+    Phrases are counted in runs of texts by two hashes, in tasks and over all by their text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: dict[str, int] = {}
         total: dict[int, int] = {}
-        held: list[tuple] = []
+        held: dict[int, list[pa.RecordBatch]] = {}
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def merge() -> None:
+            """Runs of equal phrases to one each."""
             for order in range(1, most_words + 1):
-                parts = [x for x in held if x[0] == order]
+                parts = held.pop(order, [])
                 if parts:
-                    table = pa.table({"lang": pa.concat_arrays([x[1] for x in parts]), "phrase": pa.concat_arrays([x[2] for x in parts]), "n": pa.concat_arrays([x[3] for x in parts])})
-                    merged = table.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
-                    names = pa.array(list(code), pa.string()).take(merged.column("lang").combine_chunks())
-                    whole = pa.table({"lang": names, "phrase": merged.column("phrase").cast(pa.string()), "words": pa.array(np.full(len(merged), order, np.int32)), "n": merged.column("n_sum")})
-                    yield from whole.combine_chunks().to_batches(max_chunksize=1 << 16)
+                    table = pa.Table.from_batches(parts)
+                    held[order] = table.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).combine_chunks().to_batches()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(code), pa.string())
+            for order, parts in held.items():
+                for part in parts:
+                    for at in range(0, len(part), 1 << 15):
+                        some = part.slice(at, 1 << 15)
+                        yield pa.RecordBatch.from_arrays([names.take(some.column("lang")), some.column("phrase").cast(pa.string()), pa.array(np.full(len(some), order, np.int32)), some.column("n")], names=["lang", "phrase", "words", "n"])
             held.clear()
 
         for batch in batches:
@@ -267,7 +286,7 @@ def exact_counts(docs: DataFrame, most_words: int, filters: dict[int, Broadcast]
                         grams, whole = chunk.grams(grams, order), chunk.whole(order)
                         fit = fit[: len(grams)] & fit[1 : len(grams) + 1] & whole
                     at = np.flatnonzero(fit)
-                    fit[at] = may_have(filters[min(order, max(filters))].value, grams[at])
+                    fit[at] = may_have(filters[min(order, max(filters))].value, short(grams[at]))
                     at = np.flatnonzero(fit)
                     if len(at):
                         # equal hashes of one chunk stand for one phrase if their words' hashes agree as well
@@ -277,11 +296,15 @@ def exact_counts(docs: DataFrame, most_words: int, filters: dict[int, Broadcast]
                         h, c = grams[at][rank], check[rank]
                         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
                         one = at[rank[first]]
-                        held.append((order, pa.array(chunk.lang[one]), chunk.spell(one, order), pa.array(np.diff(np.append(first, len(rank))))))
+                        held.setdefault(order, []).append(pa.RecordBatch.from_arrays([pa.array(chunk.lang[one]), chunk.spell(one, order), pa.array(np.diff(np.append(first, len(rank))))], names=["lang", "phrase", "n"]))
                         size += len(one)
-                if size >= 1 << 19:
-                    yield from out()
-                    size = 0
+                if size >= HELD:
+                    merge()
+                    size = sum(len(p) for parts in held.values() for p in parts)
+                    if 2 * size >= HELD:
+                        yield from out()
+                        size = 0
+        merge()
         yield from out()
         if total:
             yield pa.RecordBatch.from_arrays(
