@@ -24,12 +24,17 @@ EVENTS_4_1 = (
     "mute unmute pause resume rewind skip playerExpand playerCollapse loaded start firstQuartile midpoint thirdQuartile complete progress "
     "closeLinear creativeView acceptInvitation adExpand adCollapse minimize close overlayViewDuration otherAdInteraction interactiveStart"
 ).split()
-EVENTS_4_0 = [e for e in EVENTS_4_1 if e not in ("loaded", "closeLinear", "interactiveStart")] + ["acceptInvitationLinear", "timeSpentViewing"]
+EVENTS_4_0 = (
+    "mute unmute pause resume rewind skip playerExpand playerCollapse start firstQuartile midpoint thirdQuartile complete progress "
+    "creativeView acceptInvitation adExpand adCollapse minimize close overlayViewDuration otherAdInteraction acceptInvitationLinear timeSpentViewing"
+).split()
 EVENTS_3_0 = (
     "creativeView start midpoint firstQuartile thirdQuartile complete mute unmute pause rewind resume fullscreen exitFullscreen expand "
     "collapse acceptInvitation close skip progress acceptInvitationLinear closeLinear"
 ).split()
-EVENTS_2_0 = [e for e in EVENTS_3_0 if e not in ("exitFullscreen", "skip", "progress", "acceptInvitationLinear", "closeLinear")]
+EVENTS_2_0 = (
+    "creativeView start midpoint firstQuartile thirdQuartile complete mute unmute pause rewind resume fullscreen expand collapse acceptInvitation close"
+).split()
 
 
 def among(c: Column, values) -> Column:
@@ -138,7 +143,18 @@ def is_omid_vendor(c: Column) -> Column:
 
 
 def is_mime(c: Column) -> Column:
-    return trimmed(F.substring_index(c, ";", 1)).rlike(r"^[!#$&^_.+A-Za-z0-9-]+/[!#$&^_.+A-Za-z0-9-]+$")
+    """A MIME type before any parameters: two tokens without wildcards."""
+    return F.substring_index(trimmed(c), ";", 1).rlike(r"^[A-Za-z0-9!#$%&'+.^_`|~-]+/[A-Za-z0-9!#$%&'+.^_`|~-]+$")
+
+
+def is_whole(c: Column) -> Column:
+    """A whole number that isn't negative."""
+    return trimmed(c).rlike(r"^\+?[0-9]+$")
+
+
+def is_registry(c: Column) -> Column:
+    """A registry's name, or a host with a dot and nothing else of a URL; an approximation of a full URL parse."""
+    return c.rlike(r"^[A-Za-z0-9_-]+$") | (c.contains(".") & c.rlike(r"^[^/\\:?#@\s<>^|%\[\]]+$"))
 
 
 def macro_tokens(c: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from adlint_spark.functions import values
 from adlint_spark.operators import chains, detect, fix, tallies, verdicts
 from adlint_spark.operators.rules import REVENUE, rule_catalog, run_rules
-from adlint_spark.sources import corpus
+from adlint_spark.sources import corpus, planted
 from adlint_spark.sources.io import cut_lineage
+from adlint_spark.sources.shred import register_shred_xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,7 +58,8 @@ f AS (
   UNION ALL SELECT k, 'VAST-2.0-inline-unknown-child', 'error', 1 FROM a WHERE inl AND p % 41 = 0
   UNION ALL SELECT k, 'VAST-2.0-mediafile-https', 'warning', 1 FROM a WHERE inl AND s % 3 = 0
   UNION ALL SELECT k, 'VAST-2.0-url-cdata', 'warning', 1 FROM a WHERE inl AND s % 4 = 1
-  UNION ALL SELECT k, 'VAST-4.1-mezzanine-recommended', 'info', 1 FROM a WHERE inl AND v BETWEEN 3 AND 6),
+  UNION ALL SELECT k, 'VAST-4.1-mezzanine-recommended', 'info', 1 FROM a WHERE inl AND v BETWEEN 3 AND 6
+  UNION ALL SELECT k, 'VAST-4.4-version-attribute', 'info', 1 FROM d WHERE v = 6),
 caller AS (SELECT k, CASE WHEN c % 97 = 0 OR c % 101 = 0 THEN 'anonymous' ELSE 'dsp-' || (c % 40) END AS caller, (c % 5)::VARCHAR AS policy_id FROM o),
 verdict AS (SELECT o.k, o.kind, o.v, coalesce(sum(times) FILTER (severity = 'error'), 0)::BIGINT AS errors, coalesce(sum(times) FILTER (severity = 'warning'), 0)::BIGINT AS warnings,
                    coalesce(sum(times) FILTER (severity = 'info'), 0)::BIGINT AS infos FROM o LEFT JOIN f ON f.k = o.k GROUP BY o.k, o.kind, o.v)
@@ -183,15 +185,69 @@ def wrapper_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hops.groupBy("depth").agg(F.count("*").alias("hops"), F.count_if(F.col("xml").isNull()).alias("dead_ends"))
 
 
+@query(
+    """WITH RECURSIVE hops AS (SELECT p_partkey AS root, 0 AS depth, p_partkey AS spot FROM part
+    UNION ALL SELECT root, depth + 1, spot + 1 FROM hops WHERE depth < 5 AND spot % 53 <> 0 AND spot % 8 <> 0 AND spot IN (SELECT p_partkey FROM part)),
+    ends AS (SELECT *, spot % 53 = 0 OR spot NOT IN (SELECT p_partkey FROM part) AS dead FROM hops)
+    SELECT count(*) AS hops, count(*) FILTER (dead) AS errors, CASE WHEN bool_or(dead) THEN 'error' ELSE 'none' END AS worst,
+           'https://ads.example.com/' || max(spot) AS last_url, CASE WHEN NOT bool_or(dead) AND max(spot) % 8 <> 0 THEN 'Wrapper' END AS ad_type, root FROM ends GROUP BY root"""
+)
+def chain_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chain's length, errors, worst severity and end: an empty response, a tag too far away, or none."""
+    part = corpus.table(spark, sf_dir, "part")
+    roots = part.select(F.col("p_partkey").alias("root_id"), F.concat(F.lit("https://ads.example.com/"), F.col("p_partkey").cast("string")).alias("url"))
+    hops = cut_lineage(chains.resolve_chains(roots, corpus.responses(spark, sf_dir)))
+    documents = chains.hop_documents(hops)
+    report = chains.chain_report(hops, verdicts.verdicts_of(documents), detect.inspect(documents))
+    return report.withColumnRenamed("root_id", "root")
+
+
+@query(_CTE + "SELECT name, count(*) AS n, count(DISTINCT k) AS documents FROM (SELECT k, 'Impression' AS name FROM imp, range(imp.times) UNION ALL SELECT k, unnest(['Duration', 'MediaFile']) FROM a WHERE inl UNION ALL SELECT k, 'VASTAdTagURI' FROM a WHERE NOT inl UNION ALL SELECT k, 'Duration' FROM a WHERE inl AND p % 11 <> 0 AND p % 23 <> 0 AND p % 43 = 0) GROUP BY name")
+def shredded_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements counted by a table function in SQL."""
+    register_shred_xml(spark)
+    verdicts.prepared(_corpus(spark, sf_dir)).createOrReplaceTempView("ad_documents")
+    names = "'Impression', 'Duration', 'MediaFile', 'VASTAdTagURI'"
+    return spark.sql(f"SELECT e.name, count(*) AS n, count(DISTINCT d.doc_id) AS documents FROM ad_documents d, LATERAL shred_xml(d.xml) e WHERE e.name IN ({names}) AND e.parse_error IS NULL GROUP BY e.name")
+
+
+@query("WITH e AS (SELECT event_id // 100 AS batch, epoch_ms(ts) AS t FROM events), tops AS (SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000 AS mark FROM e GROUP BY batch) SELECT batch, count(*) AS n, count(*) FILTER (t < mark) AS late FROM e JOIN tops USING (batch) GROUP BY batch")
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in batches of a hundred by event_id: how many a watermark of an hour would drop."""
+    events = corpus.table(spark, sf_dir, "events")
+    rows = events.select(F.floor(F.col("event_id") / 100).alias("batch"), F.unix_millis(F.col("ts").cast("timestamp")).alias("occurred_at_ms"))
+    return tallies.late_report(rows, "batch", 3_600_000)
+
+
+@query(_CTE + "SELECT k::VARCHAR AS request_id, CASE WHEN c % 7 = 0 THEN 3 END::INT AS code, CASE WHEN c % 7 <> 0 THEN errors END AS errors, CASE WHEN c % 7 <> 0 THEN warnings END AS warnings, CASE WHEN c % 7 <> 0 THEN errors + warnings + infos END AS findings FROM verdict JOIN (SELECT o_orderkey AS k, o_custkey AS c FROM orders) USING (k)")
+def message_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each message: a verdict, or an error for those with a wrong context."""
+    from adlint_spark import streaming
+
+    customer = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), "o_custkey")
+    documents = _corpus(spark, sf_dir).join(customer, "doc_id")
+    messages = documents.select(F.col("doc_id").alias("request_id"), F.col("xml").alias("document"), F.when(F.expr("o_custkey % 7 = 0"), 300).otherwise(0).alias("wrapper_depth"))
+    rows = streaming.validate_messages(messages)
+    return rows.select("request_id", F.col("error.code").alias("code"), "verdict.errors", "verdict.warnings", F.size("verdict.findings").cast("long").alias("findings"))
+
+
 @query(_CTE + "SELECT k::VARCHAR AS doc_id, count(*) AS n FROM a WHERE inl AND s % 3 = 0 GROUP BY k")
 def https_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = _well_formed(spark, sf_dir)
     return ready.select("doc_id", fix.upgrade_https(F.col("xml"))["n"].cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-@query(_CTE + "SELECT count(DISTINCT k) AS documents, 'https' AS fix FROM a WHERE inl AND s % 3 = 0")
+@query(_CTE + "SELECT 'VAST-2.0-mediafile-https' AS rule_id, count(DISTINCT k) AS documents, count(*) AS n FROM a WHERE inl AND s % 3 = 0 HAVING count(*) > 0")
 def fix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fix.fix_report(fix.fix(_well_formed(spark, sf_dir))).groupBy("fix").agg(F.countDistinct("doc_id").alias("documents"))
+    report = fix.fix_report(fix.fix(verdicts.prepared(_corpus(spark, sf_dir))))
+    return report.groupBy("rule_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum("n").alias("n"))
+
+
+@query(planted.repairs_sql(planted.REPAIRS))
+def planted_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of repair, by document."""
+    fixed = fix.fix(planted.planted_documents(spark, sf_dir, planted.REPAIRS))
+    return fix.fix_report(fixed).select("doc_id", "rule_id", F.col("n").cast("long").alias("n"), "path")
 
 
 @query(_CTE + "SELECT rule_id, sum(times)::BIGINT AS n FROM f WHERE rule_id NOT IN ('VAST-2.0-mediafile-https', 'VAST-2.0-json-escaped') GROUP BY rule_id")
@@ -200,7 +256,7 @@ def findings_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_rules(verdicts.elements(fixed)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-@query(_CTE + "SELECT 'right' AS side, 'VAST-4.1-adservingid-present' AS rule_id, count(*) AS n FROM a WHERE inl AND v NOT BETWEEN 3 AND 6 UNION ALL SELECT 'right', 'VAST-4.0-universaladid-present', count(*) FROM a WHERE inl AND v NOT BETWEEN 2 AND 6 UNION ALL SELECT 'right', 'VAST-4.1-mezzanine-recommended', count(*) FROM a WHERE inl AND v NOT BETWEEN 3 AND 6")
+@query(_CTE + "SELECT 'right' AS side, 'VAST-4.1-adservingid-present' AS rule_id, count(*) AS n FROM a WHERE inl AND v NOT BETWEEN 3 AND 6 UNION ALL SELECT 'right', 'VAST-4.0-universaladid-present', count(*) FROM a WHERE inl AND v NOT BETWEEN 2 AND 6 UNION ALL SELECT 'right', 'VAST-4.1-mezzanine-recommended', count(*) FROM a WHERE inl AND v NOT BETWEEN 3 AND 6 UNION ALL SELECT 'left', 'VAST-4.4-version-attribute', count(*) FROM d WHERE v = 6")
 def what_if_4_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = verdicts.what_if_version(_corpus(spark, sf_dir), "4.1")
     return changed.groupBy("side", "rule_id").agg(F.count("*").alias("n"))
@@ -274,7 +330,7 @@ def windowed_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.windowed_revenue(_distinct_events(spark, sf_dir), sorted(REVENUE)).select(F.unix_millis("window.start").alias("start_ms"), "caller", "n")
 
 
-@query(_CTE + "SELECT k::VARCHAR AS doc_id, count(*) AS media, 0::BIGINT AS tracking, 0::BIGINT AS simid FROM a WHERE inl AND s % 3 = 0 GROUP BY k")
+@query(_CTE + "SELECT k::VARCHAR AS doc_id, count(*) AS media, 0::BIGINT AS tracking, 0::BIGINT AS simid_files, 0::BIGINT AS simid_frames FROM a WHERE inl AND s % 3 = 0 GROUP BY k")
 def insecure_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fix.https_hits(_nodes(spark, sf_dir))
 
@@ -336,6 +392,18 @@ def value_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("x", text).select("k", values.is_hhmmss(c).alias("hhmmss"), values.is_time_or_percent(c).alias("time_or_percent"), values.is_xs_integer(c).alias("whole"), values.is_xs_boolean(c).alias("truth"))
 
 
+def _planted(sheet: planted.Sheet) -> Callable[[SparkSession, str], DataFrame]:
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = run_rules(verdicts.elements(verdicts.prepared(planted.planted_documents(spark, sf_dir, sheet))))
+        return rows.groupBy("rule_id", "severity", "path", "line", "col", "spec_ref").agg(F.count("*").alias("n"))
+
+    return found
+
+
+for _sheet in planted.SHEETS.values():
+    QUERIES[f"planted_{_sheet.name}"], SQL[f"planted_{_sheet.name}"] = _planted(_sheet), planted.planted_sql(_sheet)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

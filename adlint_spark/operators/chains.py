@@ -31,8 +31,12 @@ def hop_documents(hops: DataFrame, max_depth: int = 5) -> DataFrame:
     return hops.select(F.concat_ws("#", "root_id", "depth").alias("doc_id"), F.coalesce("xml", F.lit("")).alias("xml"), F.col("depth").alias("wrapper_depth"), F.lit(max_depth).alias("max_wrapper_depth"))
 
 
-def chain_report(hops: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(root_id, hops, errors, worst, last_url): for each chain, its length, errors, worst severity and end."""
-    rows = hops.withColumn("doc_id", F.concat_ws("#", "root_id", "depth")).join(verdicts, "doc_id", "left")
+def chain_report(hops: DataFrame, verdicts: DataFrame, inspected: DataFrame) -> DataFrame:
+    """(root_id, hops, errors, worst, last_url, ad_type): for each chain, its length, errors, worst severity, and where it ends in what kind of ad.
+
+    ``verdicts`` and ``inspected`` (doc_id, ad_type) are of ``hop_documents``; a chain that ends without response has no ad_type.
+    """
+    rows = hops.withColumn("doc_id", F.concat_ws("#", "root_id", "depth")).join(verdicts.select("doc_id", "errors", "warnings", "infos"), "doc_id", "left").join(inspected.select("doc_id", "ad_type"), "doc_id", "left")
     worst = F.when(F.max("errors") > 0, "error").when(F.max("warnings") > 0, "warning").when(F.max("infos") > 0, "info").otherwise("none")
-    return rows.groupBy("root_id").agg(F.count("*").alias("hops"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), worst.alias("worst"), F.max_by("url", "depth").alias("last_url"))
+    end = F.max_by(F.struct("url", "ad_type"), "depth")
+    return rows.groupBy("root_id").agg(F.count("*").alias("hops"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"), worst.alias("worst"), end["url"].alias("last_url"), end["ad_type"].alias("ad_type"))

@@ -43,7 +43,7 @@ def unescape_json_vast(documents: DataFrame, layers: int = 4) -> DataFrame:
 
 
 def guard_document(xml: Column, max_bytes: int = 4 << 20) -> Column:
-    """Why a document can't be parsed at all: too large, or a character that XML forbids; else null."""
+    """Why a document can't be parsed at all: too large, or a character that XML forbids; else null. The shredder says the same; this tells it without a parse."""
     return F.when(F.octet_length(xml) > max_bytes, "document too large").when(xml.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ufffe\\uffff]"), "invalid character")
 
 
@@ -71,17 +71,36 @@ def detect_version(declared: Column, inferred: Column, forced: Column, kind: Col
     return F.struct(source.alias("source"), declared.alias("declared"), inferred.alias("inferred"), F.when(both, version_ord(declared) >= version_ord(inferred)).alias("consistent"), F.coalesce(declared, inferred).alias("effective"))
 
 
-def with_detection(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with document_type, status, version (struct), v, the effective version's number, and whether rules of VAST apply."""
+def with_detection(nodes: DataFrame, target: str | None = None) -> DataFrame:
+    """``nodes`` with document_type, status, version (struct), v, the effective version's number, and whether rules of VAST apply.
+
+    ``target`` is a version that all documents are taken for; VAST inside a playlist keeps its own, as with forced_version.
+    The payload of a standardised CTV extension that fits the version (``paid``) is read like the element that it stands for: at its
+    ``native`` trail, under the version whose model it has.
+    """
     nodes = nodes.withColumn("document_type", document_type(F.col("root_name")))
+    own = F.col("base").isNull()
+    forced = F.when(own, F.col("forced_version") if target is None else F.lit(target))
+    ver = F.col("ver") if target is None else F.when(own & (F.col("document_type") == "VAST"), F.lit(VERSIONS.index(target))).otherwise(F.col("ver"))
     nodes = nodes.withColumns(
         {
             "status": input_status(F.col("parse_error"), F.col("root_name"), F.col("root_version")),
-            "version": detect_version(declared_version(F.col("root_name"), F.col("root_version")), F.col("inferred"), F.col("forced_version"), F.col("document_type")),
+            "version": detect_version(declared_version(F.col("root_name"), F.col("root_version")), F.col("inferred"), forced, F.col("document_type")),
+            "vast": F.expr("root_name = 'VAST' and parse_error is null"),
+            "ver": ver,
+        }
+    )
+    nodes = nodes.withColumn("fits", F.expr("ctv_from is not null and (ver is null or ver between ctv_from and ctv_to)"))
+    nodes = nodes.withColumn("paid", F.expr("fits and payload is not null"))
+    return nodes.withColumns(
+        {
+            "v": F.expr("case when not paid then ver when payload = 'Icon' then 1 when payload in ('AdVerifications', 'Mezzanine') then 3 else ver end"),
+            "trail": F.expr("case when paid then coalesce(native, trail) else trail end"),
+            "visited": F.expr("vast and (not vendor_ext or (paid and (native is not null or (payload = 'Mezzanine' and name = 'Mezzanine'))))"),
+            "first": F.expr("first or (paid and native is not null)"),
+            "main": F.expr("main or (paid and native is not null)"),
         }
     )
-    vast = F.coalesce((F.col("root_name") == "VAST") & F.col("parse_error").isNull(), F.lit(False))
-    return nodes.withColumns({"v": version_ord(F.col("version.effective")), "vast": vast, "visited": vast & ~F.col("vendor_ext")})
 
 
 def doc_meta(nodes: DataFrame) -> DataFrame:
@@ -99,12 +118,12 @@ def inspect(documents: DataFrame) -> DataFrame:
     """A row for each document of what its elements tell: ad type, system, title, duration, counts, wrapper URI.
 
     Of several the last non-empty one counts; tags with a prefix, tags closed at once and comments don't. Of a document
-    that isn't well formed nothing is told.
+    that isn't well formed the elements up to the error count.
     """
     from adlint_spark.sources.shred import shred
 
     nodes = shred(documents.withColumn("xml", F.coalesce("xml", F.lit(""))))
-    fine = F.col("opened") & F.col("parse_error").isNull()
+    fine = F.col("opened")
     last = lambda name: F.max_by(F.when(fine & (F.col("name") == name) & (F.col("text") != ""), F.col("text")), F.when(fine & (F.col("name") == name) & (F.col("text") != ""), F.col("node_id")))
     kind = fine & F.col("name").isin("InLine", "Wrapper")
     return nodes.groupBy("doc_id").agg(
@@ -137,6 +156,35 @@ def url_inventory(nodes: DataFrame, kind: str = "macros") -> DataFrame:
     return rows.select("doc_id", "spot", F.col("name").alias("kind"), F.col("text").alias("url"), scheme.alias("scheme"), host.alias("host"))
 
 
+def bind_ctv_extensions(nodes: DataFrame) -> DataFrame:
+    """(doc_id, payload, kind, status, target, target_name, playable, creatives): what the payload of each standardised CTV extension is bound to, by node_id.
+
+    ``status`` is local (its own creative), matched (the one element with the id that it names), unmatched (none or several have it), first (it names
+    none, and the first creative counts) or none. ``nodes`` has detection columns; only payloads in their place, version and shape are there.
+    """
+    fact = lambda c: F.col("facts")[c]
+    rows = nodes.filter(F.col("paid") & (F.col("payload") == F.col("name")) & fact("#bind").isNotNull())
+    media = (F.col("payload") != "UniversalAdId") & fact("#bind").isin("matched")
+    target = F.when(fact("#target").isNotNull(), F.when(media, "MediaFile").otherwise("Creative"))
+    return rows.select(
+        "doc_id", F.col("node_id").alias("payload"), F.col("name").alias("kind"), fact("#bind").alias("status"), fact("#target").cast("int").alias("target"), target.alias("target_name"),
+        F.coalesce(fact("#playable") == "1", F.lit(False)).alias("playable"), fact("#creatives").cast("int").alias("creatives"),
+    )
+
+
+def bind_portfolio(nodes: DataFrame) -> DataFrame:
+    """(doc_id, extension, declared, status, target, native, creatives): the creative that each CTV portfolio extension describes, by node_id.
+
+    ``status`` is matched, unmatched (no creative has the id), only (unnamed, and there is one) or unnamed; ``native`` tells that the creative has a resource of its own.
+    """
+    fact = lambda c: F.col("facts")[c]
+    rows = nodes.filter(F.coalesce(fact("#portfolio") == "1", F.lit(False)) & F.col("first") & F.col("vast"))
+    target = fact("#target").cast("int")
+    named = F.coalesce(fact("#declared"), F.lit("")) != ""
+    status = F.when(named & target.isNotNull(), "matched").when(named, "unmatched").when(target.isNotNull(), "only").otherwise("unnamed")
+    return rows.select("doc_id", F.col("node_id").alias("extension"), fact("#declared").alias("declared"), status.alias("status"), target.alias("target"), (fact("#native") == "1").alias("native"), fact("#creatives").cast("int").alias("creatives"))
+
+
 def tracking_inventory(nodes: DataFrame) -> DataFrame:
     rows = nodes.filter("name = 'Tracking' and parse_error is null")
     return rows.select("doc_id", F.col("attr")["event"].alias("event"), F.col("attr")["offset"].alias("offset"), F.col("text").alias("url"), F.try_element_at(F.split("trail", "/"), F.lit(-3)).alias("context"))

@@ -4,99 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from adlint_spark.functions.model import ATTRIBUTES, KNOWN, LATE, MODEL, PLACING, RENAMING, SINCE, TOLD_IN
 from adlint_spark.functions.values import among, is_uri_like
-from adlint_spark.operators.rules.spec import INLINE, TEXT, VAST, WRAPPER, Rule, inside, is_v4, kids_at, on, rule
+from adlint_spark.operators.rules.spec import INLINE, TEXT, VAST, WRAPPER, Rule, above, inside, is_v4, leaf, on, rule
 
 XSD, SPEC = "VAST XSD", "VAST spec"
 
-# For each parent its children. A tuple: the child holds text only and has these attributes; None: it has children.
-MODEL: dict[str, dict[str, tuple[str, ...] | None]] = {
-    "InLine": {
-        "AdSystem": ("version",), "AdTitle": (), "AdServingId": (), "Description": (), "Advertiser": (), "Pricing": ("model", "currency"), "Impression": ("id",), "Error": (),
-        "Survey": ("type",), "Category": ("authority",), "Expires": (), "Creatives": None, "Extensions": None, "AdVerifications": None, "ViewableImpression": None,
-    },
-    "Wrapper": {
-        "AdSystem": ("version",), "VASTAdTagURI": (), "Impression": ("id",), "Error": (), "Pricing": ("model", "currency"), "BlockedAdCategories": ("authority",),
-        "Creatives": None, "Extensions": None, "AdVerifications": None, "ViewableImpression": None,
-    },
-    "Creatives": {"Creative": None},
-    "Creative": {"Linear": None, "NonLinearAds": None, "CompanionAds": None, "CreativeExtensions": None, "UniversalAdId": ("idRegistry", "idValue")},
-    "Linear": {"Duration": (), "AdParameters": ("xmlEncoded",), "VideoClicks": None, "TrackingEvents": None, "MediaFiles": None, "Icons": None, "Extensions": None},
-    "TrackingEvents": {"Tracking": ("event", "offset")},
-    "MediaFiles": {
-        "MediaFile": ("id", "delivery", "type", "width", "height", "codec", "bitrate", "minBitrate", "maxBitrate", "scalable", "maintainAspectRatio", "apiFramework", "fileSize", "mediaType"),
-        "Mezzanine": ("id", "delivery", "type", "width", "height", "codec", "fileSize", "mediaType"),
-        "InteractiveCreativeFile": ("type", "apiFramework", "variableDuration"),
-        "ClosedCaptionFiles": None,
-    },
-    "ClosedCaptionFiles": {"ClosedCaptionFile": ("type", "language")},
-    "Extensions": {"Extension": None},
-    "CreativeExtensions": {"CreativeExtension": None},
-    "VideoClicks": {"ClickThrough": ("id",), "ClickTracking": ("id",), "CustomClick": ("id",)},
-    "NonLinearAds": {"TrackingEvents": None, "NonLinear": None, "Icons": None},
-    "NonLinear": {
-        "StaticResource": ("creativeType",), "IFrameResource": ("type", "apiFramework"), "HTMLResource": (), "AdParameters": ("xmlEncoded",), "NonLinearClickThrough": (),
-        "NonLinearClickTracking": ("id",), "MediaFiles": None, "Duration": (), "NonLinearCustomClick": ("id",),
-    },
-    "CompanionAds": {"Companion": None},
-    "Companion": {
-        "StaticResource": ("creativeType",), "IFrameResource": (), "HTMLResource": (), "AdParameters": ("xmlEncoded",), "AltText": (), "CompanionClickThrough": (),
-        "CompanionClickTracking": ("id",), "TrackingEvents": None, "CreativeExtensions": None,
-    },
-    "Icons": {"Icon": None},
-    "Icon": {"StaticResource": ("creativeType",), "IFrameResource": (), "HTMLResource": (), "IconViewTracking": (), "IconClickThrough": (), "IconClickTracking": ("id",), "IconClicks": None},
-    "IconClicks": {"IconClickThrough": (), "IconClickTracking": ("id",), "IconClickFallbackImages": None},
-    "AdVerifications": {"Verification": None},
-    "Verification": {"JavaScriptResource": ("apiFramework", "browserOptional"), "ExecutableResource": ("apiFramework", "type"), "VerificationParameters": (), "TrackingEvents": None},
-    "ViewableImpression": {"Viewable": (), "NotViewable": (), "ViewUndetermined": ()},
-}
-# Attributes of elements with element children; those not named aren't checked.
-ATTRIBUTES: dict[str, tuple[str, ...]] = {
-    "VAST": ("version",),
-    "Ad": ("id", "sequence", "conditionalAd", "adType"),
-    "InLine": (),
-    "Wrapper": ("followAdditionalWrappers", "allowMultipleAds", "fallbackOnNoAd"),
-    "Creatives": (),
-    "Creative": ("id", "adId", "AdID", "sequence", "apiFramework"),
-    "Linear": ("skipoffset",),
-    "MediaFiles": (),
-    "ClosedCaptionFiles": (),
-    "VideoClicks": (),
-    "NonLinearAds": (),
-    "NonLinear": ("id", "width", "height", "expandedWidth", "expandedHeight", "scalable", "maintainAspectRatio", "minSuggestedDuration", "apiFramework"),
-    "CompanionAds": ("required",),
-    "Companion": ("id", "width", "height", "assetWidth", "assetHeight", "expandedWidth", "expandedHeight", "apiFramework", "adSlotId", "pxratio", "renderingMode"),
-    "Icons": (),
-    "Icon": ("program", "width", "height", "xPosition", "yPosition", "duration", "offset", "apiFramework", "pxratio", "regs"),
-    "IconClicks": (),
-    "AdVerifications": (),
-    "Verification": ("vendor",),
-    "ViewableImpression": ("id",),
-}
-SINCE = {"Icons": "3.0", "Icon": "3.0", "IconClicks": "3.0", "ClosedCaptionFiles": "4.2", "AdVerifications": "4.0", "Verification": "4.0", "ViewableImpression": "4.0"}
-# Where each parent's children are told.
-TOLD_IN = {
-    "InLine": "IAB VAST 2.0 §2.3.1", "Wrapper": "IAB VAST 2.0 §2.3.2", "Creatives": "IAB VAST 2.0 §2.3.5", "Creative": "IAB VAST 2.0 §2.3.5", "Linear": "IAB VAST 2.0 §2.3.6",
-    "TrackingEvents": "IAB VAST 2.0 §2.3.6", "MediaFiles": "IAB VAST 2.0 §2.3.5.2", "ClosedCaptionFiles": "IAB VAST 4.2 §2.3.5.2", "Extensions": "IAB VAST 3.0 §3.1",
-    "CreativeExtensions": "IAB VAST 2.0 §2.3.5", "VideoClicks": "IAB VAST 2.0 §2.3.6", "NonLinearAds": "IAB VAST 2.0 §2.3.7", "NonLinear": "IAB VAST 2.0 §2.3.7",
-    "CompanionAds": "IAB VAST 2.0 §2.3.8", "Companion": "IAB VAST 2.0 §2.3.8", "Icons": "IAB VAST 3.0 §2.3.6.4", "Icon": "IAB VAST 3.0 §2.3.6.4", "IconClicks": "IAB VAST 3.0 §2.3.6.4",
-    "AdVerifications": "IAB VAST 4.2 XSD", "Verification": "IAB VAST 4.2 XSD", "ViewableImpression": "IAB VAST 4.2 XSD",
-}
-#: Allowed from 4.0 on only.
-LATE = {"NonLinearAds": ("Icons",), "NonLinear": ("MediaFiles", "Duration", "NonLinearCustomClick")}
-#: Parents whose unknown children are named with their place, and those whose only child's name stands for any.
-PLACING, RENAMING = ("Extensions", "CreativeExtensions", "AdVerifications", "ClosedCaptionFiles"), ("Creatives", "TrackingEvents")
-# Elements that have a place of their own in an ad.
-KNOWN = (
-    "VAST Ad InLine Wrapper AdSystem AdTitle AdServingId Description Advertiser Pricing Impression Error Survey Expires VASTAdTagURI Category BlockedAdCategories Creatives "
-    "Creative UniversalAdId Linear Duration AdParameters VideoClicks ClickThrough ClickTracking CustomClick TrackingEvents Tracking MediaFiles MediaFile Mezzanine "
-    "InteractiveCreativeFile ClosedCaptionFiles ClosedCaptionFile NonLinearAds NonLinear NonLinearClickThrough NonLinearClickTracking CompanionAds Companion "
-    "CompanionClickThrough CompanionClickTracking StaticResource IFrameResource HTMLResource AltText Icons Icon IconClicks IconClickThrough IconClickTracking "
-    "IconViewTracking IconClickFallbackImages AdVerifications Verification JavaScriptResource ExecutableResource VerificationParameters ViewableImpression Viewable "
-    "NotViewable ViewUndetermined AdCreativeId"
-).split()
-
-
 def trails() -> dict[str, list[str]]:
     """element -> the trails on which the content model reaches it; a trail ends where a child isn't allowed."""
     out = {"InLine": [INLINE], "Wrapper": [WRAPPER]}
@@ -115,23 +28,22 @@ def trails() -> dict[str, list[str]]:
 READ = VAST & F.col("main")
 
 
-def _other_than(names: list[str]):
-    return lambda k: ~among(k["name"], names)
-
-
 def unknown_child() -> list[Rule]:
+    """Told at the child, whose parent's trail the content model knows."""
     out, where = [], trails()
+    own = F.col("name")
     for parent, kids in MODEL.items():
-        here, late = READ & on(*where[parent]), LATE.get(parent, ())
-        new = F.coalesce(is_v4(), F.lit(False))
-        for condition, allowed in [(here & new, list(kids)), (here & ~new, [k for k in kids if k not in late])] if late else [(here, list(kids))]:
-            other = _other_than(allowed)
-            name = None
-            if parent in PLACING:
-                name = lambda k, i: F.concat(k["name"], F.lit("["), i, F.lit("]"))
-            elif parent in RENAMING:
-                name = lambda k, i, only=allowed[0]: F.concat(F.lit(f"{only}["), i, F.lit("]"))
-            out.append(rule(f"VAST-{SINCE.get(parent, '2.0')}-{parent.lower()}-unknown-child", "E", XSD, f"{parent} has an unknown child", parent, (F.size("kids") > 0) & condition & F.exists("kids", other), TOLD_IN[parent], mode="schema", each=kids_at(other, name)))
+        late = LATE.get(parent, ())
+        end = F.concat(F.lit("/"), own)
+        if parent in PLACING:
+            end = F.concat(F.lit("/"), own, F.lit("["), F.col("pos"), F.lit("]"))
+        elif parent in RENAMING:
+            end = F.concat(F.lit(f"/{next(iter(kids))}["), F.col("pos"), F.lit("]"))
+        told = (f"VAST-{SINCE.get(parent, '2.0')}-{parent.lower()}-unknown-child", "E", XSD, f"{parent} has an unknown child")
+        out.append(rule(*told, "", above(*where[parent]) & READ & ~among(own, list(kids)), TOLD_IN[parent], mode="schema_up", each=F.array(end), gate="odd"))
+        if late:
+            early = ~F.coalesce(is_v4(), F.lit(False))
+            out.append(rule(*told, " ".join(late), early & above(*where[parent]) & READ, TOLD_IN[parent], mode="schema_up", each=F.array(end)))
     return out
 
 
@@ -145,10 +57,9 @@ def text_and_attributes() -> list[Rule]:
     holders: dict[tuple[str, ...], dict[str, list[str]]] = {}
     for name, attributes in ATTRIBUTES.items():
         holders.setdefault(attributes, {})[name] = ["VAST"] if name == "VAST" else ["VAST/Ad"] if name == "Ad" else where[name]
-    names = sorted({kid for kids in leaves.values() for kid in kids})
     places = sorted({t for kids in leaves.values() for ts in kids.values() for t in ts})
-    any_ = lambda k: F.lit(True)
-    out = [rule("VAST-2.0-text-only-element", "E", XSD, "an element that holds text has children", " ".join(names), (F.size("kids") > 0) & READ & on(*places), "IAB VAST 2.0 §2", mode="schema", each=kids_at(any_))]
+    end = F.array(F.concat(F.lit("/"), F.col("name")))
+    out = [rule("VAST-2.0-text-only-element", "E", XSD, "an element that holds text has children", "", above(*places) & READ, "IAB VAST 2.0 §2", mode="schema_up", each=end, gate="odd")]
     for group in (leaves, holders):
         for attributes, elements in group.items():
             out.append(_unknown_attribute(sorted(elements), [t for ts in elements.values() for t in ts], attributes))
@@ -158,8 +69,9 @@ def text_and_attributes() -> list[Rule]:
 def _unknown_attribute(names: list[str], places: list[str], allowed: tuple[str, ...]) -> Rule:
     own = F.coalesce("bare_attrs", F.map_keys("attr"))
     extra = F.filter(own, lambda a: ~among(a, allowed)) if allowed else own
+    some = F.size(F.array_except(own, F.expr("array(" + ", ".join(f"'{a}'" for a in allowed) + ")"))) > 0 if allowed else F.size(own) > 0
     ends = F.transform(extra, lambda a: F.concat(F.lit("[@"), a, F.lit("]")))
-    return rule("VAST-2.0-unknown-attribute", "W", XSD, "an unknown attribute", " ".join(names), (F.size("attr") > 0) & (F.size(extra) > 0) & READ & on(*places), "IAB VAST 2.0 §2", mode="schema", each=ends)
+    return rule("VAST-2.0-unknown-attribute", "W", XSD, "an unknown attribute", " ".join(names), (F.size("attr") > 0) & some & READ & on(*places), "IAB VAST 2.0 §2", mode="schema", each=ends)
 
 
 def vendor_extensions() -> list[Rule]:
@@ -168,12 +80,12 @@ def vendor_extensions() -> list[Rule]:
         # the names between the extension and the element
         steps = F.split("trail", "/")
         between = F.filter(steps, lambda a, i: (i >= F.array_position(steps, holder)) & (i < F.size(steps) - 1))
-        inner = READ & F.col("vendor_ext") & inside(holder)
+        inner = READ & ~F.col("fits") & inside(holder)
         outermost = among(F.col("name"), KNOWN) & ~F.exists(between, lambda a: among(a, KNOWN))
-        leaf = (F.col("name") == holder) & READ & (F.size("kids") == 0) & ~F.col("has_cdata") & TEXT.rlike("[&<]") & ~is_uri_like(TEXT)
+        plain = (F.col("name") == holder) & READ & leaf() & ~F.col("has_cdata") & TEXT.rlike("[&<]") & ~is_uri_like(TEXT)
         out += [
-            rule(f"VAST-2.0-{prefix}-misplaced-element", "W", SPEC, "an element of the ad stands in an extension", "", inner & outermost, "IAB VAST 2.0 §2", mode="schema"),
-            rule(f"VAST-2.0-{prefix}-cdata", "W", "W3C XML 1.0", "markup in an extension is not in a CDATA section", holder, leaf, "W3C XML 1.0 §2.7", mode="schema"),
+            rule(f"VAST-2.0-{prefix}-misplaced-element", "W", SPEC, "an element of the ad stands in an extension", "", inner & outermost, "IAB VAST 2.0 §2", mode="inner", gate="vendor_ext"),
+            rule(f"VAST-2.0-{prefix}-cdata", "W", "W3C XML 1.0", "markup in an extension is not in a CDATA section", holder, plain, "W3C XML 1.0 §2.7", mode="schema"),
         ]
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adlint_spark.functions.values import is_break_type, is_hhmmss, is_time_offset, trimmed
-from adlint_spark.operators.rules.spec import TEXT, Rule, any_grand, attr, count_of, has, kids_at, lacks, rule
+from adlint_spark.operators.rules.spec import TEXT, Rule, any_grand, attr, count_of, fact, has, kids_at, lacks, rule
 
 SPEC = "IAB VMAP"
 EVENTS = ("breakStart", "breakEnd", "error")
@@ -25,8 +25,8 @@ def playlist() -> list[Rule]:
     other = lambda *names: (lambda k: ~k["name"].isin(*names))
     some = lambda *names: F.exists("kids", other(*names))
     event, offset = attr("event"), trimmed(attr("timeOffset"))
-    plays = any_grand("VASTAdData", lambda g: g["name"] == "VAST") & F.col("parent_attr")["#companions"].isNull()
-    displays = F.exists(F.split(F.col("parent_attr")["breakType"], ","), lambda t: trimmed(t) == "display")
+    plays = any_grand("VASTAdData", lambda g: g["name"] == "VAST") & fact("#companions").isNull()
+    displays = F.exists(F.split(fact("breakType"), ","), lambda t: trimmed(t) == "display")
     return [
         rule("VMAP-1.0-root-version", "E", SPEC, "VMAP has no version", "VMAP", at("VMAP") & lacks("version"), spec="IAB VMAP 1.0.1 §2.3"),
         rule("VMAP-1.0-root-version-value", "W", SPEC, "the version is not 1.0", "VMAP", at("VMAP") & (trimmed(attr("version")) != "1.0"), suffix="[@version]", spec="IAB VMAP 1.0.1 §2.3"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adlint_spark.functions.values import among, VERSIONS, is_omid_vendor, is_vendor_key, trimmed
-from adlint_spark.operators.rules.spec import INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_kid, at, attr, by_level, has, inside, is_v4, kids_at, lacks, on, rule
+from adlint_spark.operators.rules.spec import INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_kid, at, attr, by_level, fact, has, inside, is_v4, lacks, on, rule, told
 
 SPEC, XSD, BEST, GUESS = "VAST spec", "VAST XSD", "revenue impact", "inferred"
 LINEAR = f"{INLINE}/Creatives/Creative/Linear"
@@ -32,7 +32,7 @@ def inline_required() -> list[Rule]:
         rule("VAST-2.0-inline-adtitle", "E", SPEC, "InLine has no AdTitle", "InLine", here & ~has("AdTitle"), spec="IAB VAST 2.0 §2.3.2"),
         rule("VAST-2.0-inline-impression", "E", SPEC, "InLine has no Impression", "InLine", here & ~has("Impression"), spec="IAB VAST 2.0 §2.3.4"),
         rule("VAST-2.0-inline-creatives", "E", SPEC, "InLine has no Creatives", "InLine", here & ~has("Creatives"), spec="IAB VAST 2.0 §2.3.5"),
-        rule("VAST-2.0-inline-creatives", "E", SPEC, "Creatives has no Creative", "Creatives", at(f"{INLINE}/Creatives") & ~has("Creative"), spec="IAB VAST 2.0 §2.3.5"),
+        rule("VAST-2.0-inline-creatives", "E", SPEC, "Creatives has no Creative", "Creatives", at(f"{INLINE}/Creatives") & ~has("Creative"), located="up", spec="IAB VAST 2.0 §2.3.5"),
         rule("VAST-4.1-adservingid-present", "E", SPEC, "InLine has no AdServingId", "InLine", here & (V >= 3) & ~has("AdServingId"), spec="IAB VAST 4.1 §3.4.1"),
     ]
 
@@ -50,7 +50,7 @@ def linear_required() -> list[Rule]:
     return [
         rule("VAST-2.0-linear-duration", "E", SPEC, "Linear has no Duration", "Linear", at(LINEAR) & ~has("Duration"), spec="IAB VAST 2.0 §2.3.5.1"),
         rule("VAST-2.0-linear-mediafiles", "E", SPEC, "Linear has no MediaFiles", "Linear", at(LINEAR) & ~has("MediaFiles"), spec="IAB VAST 2.0 §2.3.5.2"),
-        rule("VAST-2.0-linear-mediafiles", "E", SPEC, "MediaFiles has no MediaFile", "MediaFiles", at(f"{LINEAR}/MediaFiles") & ~has("MediaFile"), spec="IAB VAST 2.0 §2.3.5.2"),
+        rule("VAST-2.0-linear-mediafiles", "E", SPEC, "MediaFiles has no MediaFile", "MediaFiles", at(f"{LINEAR}/MediaFiles") & ~has("MediaFile"), located="up", spec="IAB VAST 2.0 §2.3.5.2"),
     ]
 
 
@@ -69,7 +69,7 @@ def universal_ad_id() -> list[Rule]:
     empty = trimmed(TEXT) == ""
     return [
         rule("VAST-4.0-universaladid-present", "E", SPEC, "Creative has no UniversalAdId", "Creative", creative & is_v4() & ~has("UniversalAdId"), spec="IAB VAST 4.0 §3.8.1"),
-        rule("VAST-4.0-universaladid-idregistry", "E", SPEC, "UniversalAdId has no idRegistry", "UniversalAdId", here & lacks("idRegistry"), spec="IAB VAST 4.0 §3.8.1"),
+        rule("VAST-4.0-universaladid-idregistry", "E", SPEC, "UniversalAdId has no idRegistry", "UniversalAdId", here & (F.col("name_idx") == 0) & lacks("idRegistry"), located="up", spec="IAB VAST 4.0 §3.8.1"),
         rule("VAST-4.0-universaladid-idvalue", "E", SPEC, "UniversalAdId has neither idValue nor content", "UniversalAdId", here & (V == 2) & lacks("idValue") & empty, spec="IAB VAST 4.0 §2.3.5.3"),
         rule("VAST-4.1-universaladid-idvalue-removed", "W", SPEC, "idValue is no longer in use", "UniversalAdId", here & (V >= 3) & ~lacks("idValue"), spec="IAB VAST 4.1 §2.3.5.3"),
         rule("VAST-4.1-universaladid-content", "E", SPEC, "UniversalAdId has no content", "UniversalAdId", here & (V >= 3) & lacks("idValue") & empty, spec="IAB VAST 4.1 §2.3.5.3"),
@@ -98,7 +98,7 @@ def icons() -> list[Rule]:
         *(rule(f"VAST-3.0-icon-{a.lower()}", "W", SPEC, f"Icon has no {a}", "Icon", here & lacks(a) & is_v4(), spec="IAB VAST 4.3 §3.11.1", default="E") for a in five),
         rule("VAST-3.0-icon-resource", "E", SPEC, "Icon has no resource", "Icon", here & ~(has("StaticResource") | has("IFrameResource") | has("HTMLResource")), spec="IAB VAST 3.0 §2.3.6.4"),
         rule("VAST-3.0-icon-attrs", "W", SPEC, "Icon lacks attributes", "Icon", here & missing, spec="IAB VAST 3.0 §2.4.2"),
-        rule("VAST-4.2-icon-fallback-image-width-height", "W", SPEC, "IconClickFallbackImage has no width or height", "IconClickFallbackImage", fallback, spec="IAB VAST 4.2 §2.3.6.4"),
+        rule("VAST-4.2-icon-fallback-image-width-height", "W", SPEC, "IconClickFallbackImage has no width or height", "IconClickFallbackImage", fallback & F.col("trail").endswith("/Icon/IconClicks/IconClickFallbackImages/IconClickFallbackImage"), mode="last", spec="IAB VAST 4.2 §2.3.6.4"),
     ]
 
 
@@ -131,13 +131,12 @@ def verification() -> list[Rule]:
     js = VAST & on(*(f"{b}/Verification/JavaScriptResource" for b in block)) & gate
     exe = VAST & on(*(f"{b}/Verification/ExecutableResource" for b in block)) & gate
     early = V < 3
-    vendor, around = attr("vendor"), F.col("parent_attr")
+    vendor = attr("vendor")
     api = lambda k: F.lower(trimmed(k["attr"]["apiFramework"])) == "omid"
     omid = F.coalesce(is_omid_vendor(vendor), F.lit(False)) | F.coalesce(any_kid(lambda k: k["name"].isin("JavaScriptResource", "ExecutableResource") & api(k)), F.lit(False))
-    omid_parent = F.coalesce(is_omid_vendor(around["vendor"]), F.lit(False)) | F.coalesce(F.array_contains(F.split(around["#apis"], "\n"), "omid"), F.lit(False))
+    omid_parent = F.coalesce(is_omid_vendor(fact("vendor")), F.lit(False)) | told("#omid")
     parameters = any_kid(lambda k: (k["name"] == "VerificationParameters") & (trimmed(k["text"]) != ""))
-    key = F.lower(trimmed(vendor))
-    again = (key != "") & F.array_contains(F.split(around["#before"], "\n"), key)
+    again = told("#again")
     tracked = VAST & on(*(f"{b}/Verification/TrackingEvents/Tracking" for b in block)) & gate
     failed = attr("event") == "verificationNotExecuted"
     return [
@@ -182,13 +181,13 @@ def structure() -> list[Rule]:
         "Icon": "IconClicks",
         "Verification": "TrackingEvents VerificationParameters",
     }
-    names = F.expr("kids.name")
-    twice = lambda kids: F.filter(F.expr("array(" + ", ".join(f"'{k}'" for k in kids) + ")"), lambda k: (F.array_position(names, k) > 0) & (F.array_position(names, k) <= F.size(names) - F.array_position(F.reverse(names), k)))
+    found = lambda k: F.length("kid_names") - F.length(F.replace("kid_names", F.concat(F.lit("/"), k, F.lit("/")), F.lit("")))
+    twice = lambda kids: F.filter(F.expr("array(" + ", ".join(f"'{k}'" for k in kids) + ")"), lambda k: found(k) >= 2 * (F.length(k) + 2))
     return [
-        rule("VAST-2.0-wrapper-depth", "E", SPEC, "the wrapper chain is too long", "", top & F.col("parse_error").isNull() & (F.col("document_type") == "VAST") & (F.col("wrapper_depth") > F.col("max_wrapper_depth")), mode="top", spec="IAB VAST 4.x §2.3"),
-        rule("VAST-2.0-ad-sequence", "W", SPEC, "some Ads have a sequence, some have none", "VAST", top & VAST & (F.size(ads) >= 2) & (numbered > 0) & (numbered < F.size(ads)), spec="IAB VAST 2.0 §2.2"),
+        rule("VAST-2.0-wrapper-depth", "E", SPEC, "the wrapper chain is too long", "", top & F.col("parse_error").isNull() & (F.col("document_type") == "VAST") & (F.col("wrapper_depth") > F.col("max_wrapper_depth")), mode="top", located="none", spec="IAB VAST 4.x §2.3"),
+        rule("VAST-2.0-ad-sequence", "W", SPEC, "some Ads have a sequence, some have none", "VAST", top & VAST & (F.size(ads) >= 2) & (numbered > 0) & (numbered < F.size(ads)), located="none", spec="IAB VAST 2.0 §2.2"),
         *(
-            rule("VAST-2.0-duplicate-singular-element", "E", XSD, "an element stands twice", parent, VISITED & (F.size("kids") > F.size(F.array_distinct(names))) & (F.size(twice(kids.split())) > 0), each=F.transform(twice(kids.split()), lambda k: F.concat(F.lit("/"), k)), spec="IAB VAST 4.2 XSD")
+            rule("VAST-2.0-duplicate-singular-element", "E", XSD, "an element stands twice", parent, F.col("twins") & (VISITED | F.col("paid")) & (F.size(twice(kids.split())) > 0), each=F.transform(twice(kids.split()), lambda k: F.concat(F.lit("/"), k)), spec="IAB VAST 4.2 XSD")
             for parent, kids in singular.items()
         ),
     ]
@@ -200,15 +199,15 @@ def consistency() -> list[Rule]:
     # a Wrapper counts only where there is no InLine; such Ads are reported anyway
     here = at(INLINE, WRAPPER)
     return [
-        rule("VAST-2.0-parse-error", "E", "W3C XML 1.0", "the document is not well formed", "", (F.col("node_id") == 0) & F.col("parse_error").isNotNull(), mode="top", located=False, spec="IAB VAST 2.0 §2"),
-        rule("VAST-2.0-version-mismatch", "W", GUESS, "the structure is of a later version", "VAST", top & VAST & ~F.col("version.consistent"), located=False, spec="IAB VAST 2.0 §2.1"),
-        rule("VAST-2.0-duplicate-impression", "W", BEST, "an Impression URL stands twice", "InLine Wrapper", here & (F.size(F.array_distinct(urls)) < F.size(urls)), suffix="/Impression", located=False, spec="IAB VAST 2.0 §2.3.3"),
+        rule("VAST-2.0-parse-error", "E", "W3C XML 1.0", "the document is not well formed", "", (F.col("node_id") == 0) & F.col("parse_error").isNotNull(), mode="top", located="none", spec="IAB VAST 2.0 §2"),
+        rule("VAST-2.0-version-mismatch", "W", GUESS, "the structure is of a later version", "VAST", top & VAST & ~F.col("version.consistent"), located="none", spec="IAB VAST 2.0 §2.1"),
+        rule("VAST-2.0-duplicate-impression", "W", BEST, "an Impression URL stands twice", "InLine Wrapper", here & (F.size(F.array_distinct(urls)) < F.size(urls)), suffix="/Impression", located="none", spec="IAB VAST 2.0 §2.3.3"),
     ]
 
 
 def escaped() -> list[Rule]:
     # told before the parse, and carried through it
-    return [rule("VAST-2.0-json-escaped", "E", "W3C XML 1.0", "the document is JSON-escaped", "", (F.col("node_id") == 0) & F.col("was_escaped"), spec="W3C XML 1.0", mode="none", located=False)]
+    return [rule("VAST-2.0-json-escaped", "E", "W3C XML 1.0", "the document is JSON-escaped", "", (F.col("node_id") == 0) & F.col("was_escaped"), spec="W3C XML 1.0", mode="none", located="none")]
 
 
 def deprecated() -> list[Rule]:
@@ -236,16 +235,16 @@ def ambiguous() -> list[Rule]:
         rule("VAST-2.0-companion-dimensions", "W", SPEC, "Companion has no width or height", "Companion", at(f"{creative}/CompanionAds/Companion") & no_size, spec="IAB VAST 2.0 §2.3.7.1"),
         rule("VAST-4.0-wrapper-clickthrough", "W", SPEC, "a Wrapper has a ClickThrough", "VideoClicks", at(f"{WRAPPER}/Creatives/Creative/Linear/VideoClicks") & V.between(2, 3) & has("ClickThrough"), suffix="/ClickThrough", spec="IAB VAST 4.0 §2.4.1"),
         rule("VAST-2.0-linear-tracking-quartiles", "W", BEST, "Linear has no quartile events", "Linear", at(LINEAR) & ~has("TrackingEvents"), spec="IAB VAST 4.1 §3.14.2"),
-        rule("VAST-2.0-linear-tracking-quartiles", "W", BEST, "Linear has no quartile events", "TrackingEvents", at(f"{LINEAR}/TrackingEvents") & ~events, mode="up", spec="IAB VAST 4.1 §3.14.2"),
+        rule("VAST-2.0-linear-tracking-quartiles", "W", BEST, "Linear has no quartile events", "TrackingEvents", at(f"{LINEAR}/TrackingEvents") & ~events, mode="up", located="up", spec="IAB VAST 4.1 §3.14.2"),
     ]
 
 
 def ctv() -> list[Rule]:
     files = at(f"{LINEAR}/MediaFiles") & (V >= 3)
-    creatives = F.coalesce(F.col("parent_attr")["#creatives"].cast("int"), F.lit(0))
+    creatives = F.coalesce(fact("#creatives").cast("int"), F.lit(0))
     return [
         rule("VAST-4.1-mezzanine-recommended", "I", BEST, "MediaFiles has no Mezzanine", "MediaFiles", files & ~has("Mezzanine"), spec="IAB VAST 4.1 §3.9.2"),
-        rule("VAST-4.1-vpaid-in-interactive-context", "W", BEST, "VPAID beside an InteractiveCreativeFile", "MediaFile", at(f"{LINEAR}/MediaFiles/MediaFile") & (V >= 3) & (F.lower(attr("apiFramework")) == "vpaid") & F.array_contains(F.split(F.col("parent_attr")["#with"], "\n"), "InteractiveCreativeFile"), spec="IAB VAST 4.1 §2.4.3"),
+        rule("VAST-4.1-vpaid-in-interactive-context", "W", BEST, "VPAID beside an InteractiveCreativeFile", "MediaFile", at(f"{LINEAR}/MediaFiles/MediaFile") & (V >= 3) & (F.lower(attr("apiFramework")) == "vpaid") & told("#icf"), spec="IAB VAST 4.1 §2.4.3"),
         # once for each creative that has media files
         rule("VAST-4.1-ad-serving-id-empty", "W", GUESS, "AdServingId is empty", "AdServingId", at(f"{INLINE}/AdServingId") & (V >= 3) & (trimmed(TEXT) == "") & (creatives > 0), each=F.array_repeat(F.lit(""), creatives), spec="IAB VAST 4.1 §3.4.1"),
     ]

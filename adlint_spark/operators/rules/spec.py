@@ -22,7 +22,8 @@ class Rule:
     end with instead. ``mode`` is the form of the path (sem: numbers among namesakes; pos and schema: places among all siblings of
     all, or of some, steps; last: sem, the last step numbered whatever it is; up and schema_up: the parent's; top: /VAST; root: /;
     none: no path), ``suffix`` its fixed end. ``located``
-    tells whether line and column are given. ``default`` is the level in the catalog where ``level`` is that of a variant."""
+    tells whose line and column are given: the element's own, its parent's (up) or none. ``default`` is the level in the catalog where ``level`` is that of a variant. ``gate`` is a
+    column that is false for nearly all elements, where the rule needn't be looked at."""
 
     rule_id: str
     level: str
@@ -33,9 +34,10 @@ class Rule:
     mode: str = "sem"
     suffix: str = ""
     each: Column | None = None
-    located: bool = True
+    located: str = "own"
     spec: str = ""
     default: str = ""
+    gate: str = ""
 
     def hit(self, number: int) -> Column:
         """The line, or lines, of the row's hits if the rule is broken, else null."""
@@ -63,7 +65,7 @@ def lacks(name: str) -> Column:
 
 
 def has(kid: str) -> Column:
-    return F.expr(f"array_contains(kids.name, '{kid}')")
+    return F.expr(f"instr(kid_names, '/{kid}/') > 0")
 
 
 def count_of(kid: str) -> Column:
@@ -96,6 +98,23 @@ def any_kid(test) -> Column:
     return F.exists("kids", test)
 
 
+def above(*trails: str) -> Column:
+    return F.expr(f"left(trail, length(trail) - length(name) - 1) {_among(trails)}")
+
+
+def fact(name: str) -> Column:
+    return F.expr(f"facts['{name}']")
+
+
+def told(name: str) -> Column:
+    """A fact that is there or isn't."""
+    return F.expr(f"coalesce(facts['{name}'] = '1', false)")
+
+
+def leaf() -> Column:
+    return F.expr("kid_names = ''")
+
+
 def any_grand(of: str, test) -> Column:
     """Whether a child of the first child ``of`` fits."""
     return F.exists("grand", lambda g: (g["of"] == of) & test(g))

@@ -25,7 +25,7 @@ from adlint_spark.functions.values import (
     valid_tracking_event,
 )
 from adlint_spark.operators.detect import MACRO_ELEMENTS, URL_ELEMENTS
-from adlint_spark.operators.rules.spec import INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_grand, any_kid, at, attr, has, inside, is_v4, lacks, on, rule
+from adlint_spark.operators.rules.spec import INLINE, TEXT, V, VAST, VISITED, WRAPPER, Rule, any_grand, at, attr, fact, has, inside, is_v4, lacks, leaf, on, rule
 
 SPEC, XSD, BEST, SIMID = "VAST spec", "VAST XSD", "revenue impact", "IAB SIMID"
 LINEAR = f"{INLINE}/Creatives/Creative/Linear"
@@ -87,17 +87,17 @@ def formats() -> list[Rule]:
 def security() -> list[Rule]:
     here = VAST & (inside("InLine") | inside("Wrapper") | F.col("name").isin("InLine", "Wrapper"))
     tag = at(f"{WRAPPER}/VASTAdTagURI")
-    leaf = (F.size("kids") == 0) & (TEXT != "") & ~F.col("has_cdata")
+    plain = leaf() & (TEXT != "") & ~F.col("has_cdata") & TEXT.contains(":")
     names = " ".join([*URL_ELEMENTS, "MediaFile", "Tracking"])
     others = " ".join([*URL_ELEMENTS, "Tracking"])
     checks = [(here, "pos", names, others), (tag, "sem", "VASTAdTagURI", "VASTAdTagURI")]  # an ad tag is checked a second time
     return [
         rule("VAST-2.0-mediafile-https", "W", BEST, "a MediaFile URL is not secure", "MediaFile", here & TEXT.startswith("http://"), mode="pos", spec="IAB VAST 2.0 §2.3.5.2"),
-        rule("VAST-2.0-url-cdata", "W", SPEC, "a URL is not in a CDATA section", "", here & leaf & is_uri_like(TEXT), mode="pos", spec="IAB VAST 2.0 §2"),
-        *(r for on, mode, some, plain in checks for r in (
-            rule("VAST-2.0-tracking-https", "W", BEST, "a tracking URL is not secure", plain, on & TEXT.startswith("http://"), mode=mode, spec="IAB VAST 2.0 §2"),
-            rule("VAST-2.0-url-empty", "E", SPEC, "a URL is empty", some, on & (TEXT == ""), mode=mode, located=False, spec="IAB VAST 2.0 §2"),
-            rule("VAST-2.0-url-invalid", "W", "RFC 3986", "a URL is not an absolute URL", some, on & (TEXT != "") & ~is_uri_like(TEXT), mode=mode, located=False, spec="IAB VAST 2.0 §2"),
+        rule("VAST-2.0-url-cdata", "W", SPEC, "a URL is not in a CDATA section", "", here & plain & is_uri_like(TEXT), mode="pos", spec="IAB VAST 2.0 §2"),
+        *(r for on, mode, some, unsafe in checks for r in (
+            rule("VAST-2.0-tracking-https", "W", BEST, "a tracking URL is not secure", unsafe, on & TEXT.startswith("http://"), mode=mode, spec="IAB VAST 2.0 §2"),
+            rule("VAST-2.0-url-empty", "E", SPEC, "a URL is empty", some, on & (TEXT == ""), mode=mode, located="none", spec="IAB VAST 2.0 §2"),
+            rule("VAST-2.0-url-invalid", "W", "RFC 3986", "a URL is not an absolute URL", some, on & (TEXT != "") & ~is_uri_like(TEXT), mode=mode, located="none", spec="IAB VAST 2.0 §2"),
         )),
     ]
 
@@ -118,7 +118,7 @@ def macros() -> list[Rule]:
 
 
 def simid() -> list[Rule]:
-    api, own = attr("apiFramework"), F.col("parent_attr")["apiFramework"]
+    api, own = attr("apiFramework"), fact("apiFramework")
     creative = f"{INLINE}/Creatives/Creative"
     holders = [f"{c}/NonLinearAds/NonLinear" for c in (creative, f"{WRAPPER}/Creatives/Creative")]
     file = at(f"{LINEAR}/MediaFiles/InteractiveCreativeFile", *(f"{h}/MediaFiles/InteractiveCreativeFile" for h in holders)) & is_simid(api)
@@ -145,7 +145,7 @@ def simid() -> list[Rule]:
         rule("SIMID-1.0-simid-apiframework-case", "W", SIMID, "the apiFramework is SIMID in upper case", "IFrameResource", frame & is_simid_near_miss(api), v10, mode="last"),
         rule("SIMID-1.0-simid-variable-duration-value", "W", SIMID, "variableDuration is not true", "InteractiveCreativeFile", file & (attr("variableDuration") != "true"), v10),
         rule("SIMID-1.0-simid-mediafile-required", "E", SIMID, "SIMID has no playable MediaFile", "Linear", linear & has_simid & no(playable), "IAB SIMID 1.0 §3.4"),
-        rule("SIMID-1.0-simid-ssai-no-client", "I", SIMID, "SIMID beside a Mezzanine has no progressive MediaFile", "Linear", linear & has_simid & any_grand("MediaFiles", lambda g: g["name"] == "Mezzanine") & no(progressive), "IAB VAST 4.1 §1.1.2"),
+        rule("SIMID-1.0-simid-ssai-no-client", "I", BEST, "SIMID beside a Mezzanine has no progressive MediaFile", "Linear", linear & has_simid & any_grand("MediaFiles", lambda g: g["name"] == "Mezzanine") & no(progressive), "IAB VAST 4.1 §1.1.2"),
         rule("SIMID-1.0-simid-interactive-start", "I", SIMID, "SIMID has no interactiveStart event", "Linear", linear & has_simid & (V >= 4) & no(started), "IAB VAST 4.2 interactiveStart", suffix="/TrackingEvents"),
         rule("SIMID-1.1-nonlinear-simid-no-iframe", "E", SIMID, "a SIMID NonLinear has no IFrameResource", "NonLinear", nonlinear & ~has("IFrameResource") & no(has_simid), v11),
         rule("SIMID-1.1-iframe-simid-type-required", "W", SIMID, "a SIMID frame has no type text/html", "IFrameResource", frame & html, v11, mode="last"),

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adlint_spark.functions.values import normalize_caller
+from adlint_spark.sources.io import cut_lineage
 
 #: Upper bounds of latency buckets, in seconds.
 BUCKETS = (0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, float("inf"))
@@ -67,11 +68,60 @@ def request_count(log: DataFrame) -> DataFrame:
     return log.groupBy("method", "status").count()
 
 
+#: How many ranges the values of a level are cut into, and how often.
+RANGES, ROUNDS = 4096, 2
+
+
+def quantiles(log: DataFrame, key: str, value: str, wanted: tuple[float, ...]) -> DataFrame:
+    """(``key``, quantile, x): quantiles of ``value`` for each key, between two values in proportion, without a buffer of all values.
+
+    Values are counted; ranges of equal width tell in which of them a rank lies, are cut again, and only values of the last
+    ranges, a part in 16 million of a key's span, are put in order. Null values don't count.
+    """
+    values = cut_lineage(log.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n")))
+    spans = values.groupBy("k").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("total"))
+    each = F.explode(F.array(*(F.lit(q) for q in wanted))).alias("q")
+    # of a rank between two whole ones both count
+    at = F.col("q") * (F.col("total") - 1)
+    ranks = spans.select("*", each).withColumn("at", at).withColumn("r", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    targets = ranks.select("k", "q", "at", "r", "low", ((F.col("high") - F.col("low")) / RANGES).alias("width"), F.lit(0).cast("long").alias("before"), F.col("high").alias("top"))
+    for _ in range(ROUNDS):
+        steps = targets.select("k", "low", "width", "top").distinct()
+        place = F.when(F.col("width") > 0, F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.lit(RANGES - 1))).otherwise(F.lit(0)).alias("range")
+        cells = values.join(F.broadcast(steps), "k").filter((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("top"))).groupBy("k", "low", "width", "top", place).agg(F.sum("n").alias("n"), F.min("x").alias("first"), F.max("x").alias("last"))
+        order = W.partitionBy("k", "low", "width", "top").orderBy("range")  # RANGES rows at most
+        cells = cells.withColumn("upto", F.sum("n").over(order)).withColumn("until", F.col("upto") - F.col("n"))
+        hit = (F.col("r") >= F.col("before") + F.col("until")) & (F.col("r") < F.col("before") + F.col("upto"))
+        targets = targets.join(cells, ["k", "low", "width", "top"]).filter(hit)
+        targets = targets.select("k", "q", "at", "r", F.col("first").alias("low"), ((F.col("last") - F.col("first")) / RANGES).alias("width"), (F.col("before") + F.col("until")).alias("before"), F.col("last").alias("top"))
+        targets = cut_lineage(targets)
+    found = values.join(F.broadcast(targets), "k").filter((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("top")))
+    upto = F.sum("n").over(W.partitionBy("k", "q", "r").orderBy("x"))
+    found = found.withColumn("upto", F.col("before") + upto).filter(F.col("upto") > F.col("r")).groupBy("k", "q", "at", "r").agg(F.min("x").alias("x"))
+    share = F.col("at") - F.floor("at")
+    low, high = F.min_by("x", "r"), F.max_by("x", "r")
+    return found.groupBy("k", "q", "at").agg(low.alias("a"), high.alias("b")).select(F.col("k").alias(key), F.col("q").alias("quantile"), (F.col("a") + (F.col("b") - F.col("a")) * share).alias("x"))
+
+
 def load_report(log: DataFrame) -> DataFrame:
     """Quantiles, goodput and refused requests for each concurrency level."""
     ok = F.col("status") == "ok"
-    quantile = lambda q, name: F.percentile("seconds", F.lit(q)).alias(name)
-    return log.groupBy("concurrency").agg(quantile(0.5, "p50"), quantile(0.99, "p99"), quantile(0.999, "p999"), F.max("seconds").alias("most"), F.count_if(ok).alias("good"), F.count_if(F.col("status") == "shed").alias("shed"))
+    names = {0.5: "p50", 0.99: "p99", 0.999: "p999"}
+    found = quantiles(log, "concurrency", "seconds", tuple(names))
+    wide = found.groupBy("concurrency").agg(*(F.max(F.when(F.col("quantile") == q, F.col("x"))).alias(name) for q, name in names.items()))
+    sums = log.groupBy("concurrency").agg(F.max("seconds").alias("most"), F.count_if(ok).alias("good"), F.count_if(F.col("status") == "shed").alias("shed"))
+    return wide.join(sums, "concurrency").select("concurrency", *names.values(), "most", "good", "shed")
+
+
+def late_report(events: DataFrame, batch: str, delay_ms: int) -> DataFrame:
+    """(``batch``, n, late): rows that come later than a watermark allows, for each batch of a stream as it was stored.
+
+    The watermark is the greatest occurred_at_ms of all earlier batches, less ``delay_ms``; batches are put in order, rows aren't.
+    """
+    tops = events.groupBy(batch).agg(F.max("occurred_at_ms").alias("top"))
+    mark = F.max("top").over(W.orderBy(batch).rowsBetween(W.unboundedPreceding, -1)) - delay_ms
+    rows = events.join(F.broadcast(tops.select(batch, mark.alias("mark"))), batch)
+    return rows.groupBy(batch).agg(F.count("*").alias("n"), F.count_if(F.col("occurred_at_ms") < F.col("mark")).alias("late"))
 
 
 def findings_by_dimension(findings: DataFrame, dimensions: list[str]) -> DataFrame:

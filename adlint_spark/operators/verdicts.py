@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adlint_spark.operators.detect import detect_version, document_type, declared_version, unescape_json_vast, with_detection
-from adlint_spark.functions.values import version_ord
-from adlint_spark.operators.rules import _rule_table, findings_of, hit_counts, hits, run_rules
+from adlint_spark.operators.detect import unescape_json_vast, with_detection
+from adlint_spark.operators.rules import FINDING_COLUMNS, LEVELS, MARKS, each_hit, findings_of, hit_rule, hits, run_rules
 from adlint_spark.sources.shred import shred
 
 #: Rules that a policy can't switch off; they then stay as they are.
@@ -24,47 +23,54 @@ def elements(documents: DataFrame) -> DataFrame:
     return with_detection(shred(documents))
 
 
+#: Levels of policies, the strictest first.
+POLICY_LEVELS = ("error", "warning", "info", "off")
+
+
 def policy_levels(overrides: DataFrame) -> DataFrame:
-    """(policy_id, rule_id, level), one for each policy and rule: of several levels the one that comes first by name."""
-    return overrides.groupBy(F.col("policy_id").cast("string").alias("policy_id"), "rule_id").agg(F.min("level").alias("level"))
+    """(policy_id, rule_id, level), one for each policy and rule: of several levels the strictest; others than POLICY_LEVELS don't count."""
+    rank = F.array_position(F.array(*map(F.lit, POLICY_LEVELS)), F.col("level"))
+    rows = overrides.filter(F.col("level").isin(*POLICY_LEVELS))
+    return rows.groupBy(F.col("policy_id").cast("string").alias("policy_id"), "rule_id").agg(F.min_by("level", rank).alias("level"))
+
+
+def overridden(rule_id: Column, severity: Column, level: Column) -> Column:
+    """A finding's severity under a policy's level for its rule; null if it is off."""
+    off = F.coalesce((level == "off") & ~rule_id.isin(*NOT_SILENCED), F.lit(False))
+    return F.when(~off, F.coalesce(F.when(level.isin("error", "warning", "info"), level), severity))
 
 
 def apply_policy(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     """``findings`` under ``overrides`` (policy_id, rule_id, level): ``off`` drops a finding, another level is its severity.
 
-    Policies are small tables; Spark sends them along where they are. A policy that names a rule twice has the level that
-    comes first by name.
+    Policies are small tables; Spark sends them along where they are. Of several levels that a policy has for a rule the
+    strictest counts, and unknown levels don't.
     """
     rows = findings.join(policy_levels(overrides), ["policy_id", "rule_id"], "left")
-    off = (F.col("level") == "off") & ~F.col("rule_id").isin(*NOT_SILENCED)
-    level = F.when(F.col("level") != "off", F.col("level"))
-    return rows.filter(~F.coalesce(off, F.lit(False))).withColumn("severity", F.coalesce(level, "severity")).select(*findings.columns)
+    return rows.withColumn("severity", overridden(F.col("rule_id"), F.col("severity"), F.col("level"))).filter("severity is not null").select(*findings.columns)
 
 
 def check_policy(overrides: DataFrame, catalog: DataFrame, strict: bool = False) -> DataFrame:
-    """(policy_id, unknown_rules, bad_levels): what is wrong with each policy. ``strict`` makes the first wrong one an error of the job."""
+    """(policy_id, unknown_rules, bad_levels, bad_depth): what is wrong with each policy; a max_wrapper_depth, where there is such a column, lies between 0 and 255.
+
+    ``strict`` makes the job fail with all unknown rules, or else bad levels or depths, of all policies, sorted.
+    """
     rows = overrides.join(F.broadcast(catalog.select("rule_id", F.lit(True).alias("known"))), "rule_id", "left")  # under 300 rules
-    bad = ~F.coalesce(F.col("level").isin("error", "warning", "info", "off"), F.lit(False))
+    bad = ~F.coalesce(F.col("level").isin(*POLICY_LEVELS), F.lit(False))
+    depth = F.col("max_wrapper_depth").cast("long") if "max_wrapper_depth" in overrides.columns else F.lit(None).cast("long")
     out = rows.groupBy("policy_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("rule_id")))).alias("unknown_rules"),
         F.array_sort(F.collect_set(F.when(bad, F.coalesce("level", F.lit("null"))))).alias("bad_levels"),
+        F.max(F.when(~depth.between(0, 255), depth)).alias("bad_depth"),
     )
-    out = out.filter("size(unknown_rules) > 0 or size(bad_levels) > 0")
-    if not strict:
-        return out
-    said = F.concat(F.lit("policy "), F.coalesce("policy_id", F.lit("null")), F.lit(": unknown rules ["), F.array_join("unknown_rules", ", "), F.lit("], levels ["), F.array_join("bad_levels", ", "), F.lit("]"))
-    return out.withColumn("unknown_rules", F.when(F.lit(True), F.raise_error(said).cast("array<string>")))
-
-
-def counts(severity: Column) -> list[Column]:
-    return [F.count_if(severity == s).cast("long").alias(c) for s, c in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))]
-
-
-def summarize(findings: DataFrame, documents: DataFrame) -> DataFrame:
-    """``documents`` (doc_id, ...) with errors, warnings, infos and valid, documents without findings included."""
-    sums = findings.groupBy("doc_id").agg(*counts(F.col("severity")))
-    rows = documents.join(sums, "doc_id", "left").fillna(0, ["errors", "warnings", "infos"])
-    return rows.withColumn("valid", F.col("errors") == 0)
+    out = out.filter("size(unknown_rules) > 0 or size(bad_levels) > 0 or bad_depth is not null")
+    if strict:
+        all_ = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), ", ")
+        wrong = out.agg(F.count("*").alias("n"), all_("unknown_rules").alias("rules"), all_("bad_levels").alias("levels"), F.max("bad_depth").alias("depth")).first()
+        if wrong["n"]:
+            said = f"unknown rule IDs: {wrong['rules']}" if wrong["rules"] else f"unknown levels: {wrong['levels']}" if wrong["levels"] else f"max_wrapper_depth {wrong['depth']} exceeds the maximum of 255"
+            raise ValueError(said)
+    return out
 
 
 def validate(documents: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,20 +85,17 @@ def verdicts_of(documents: DataFrame, overrides: DataFrame | None = None) -> Dat
     Findings are counted where they arise, and only roots and elements with findings are summed by document; with a policy
     they are looked up one by one before that.
     """
-    nodes = elements(prepared(documents)).withColumn("hits", hits())
+    nodes = elements(prepared(documents))
     top = F.col("node_id") == 0
-    meta = F.when(top, F.struct("caller", "document_type", F.col("status").alias("input_status"), "version"))
-    rows = nodes.filter(top | (F.col("hits") != "")).select("doc_id", "policy_id", "hits", meta.alias("meta"))
+    meta = F.when(top, F.struct("caller", "document_type", F.col("status").alias("input_status"), "version")).alias("meta")
+    rows = each_hit(nodes, ["doc_id", "policy_id", top.alias("top"), meta], hits()).filter("top or hit <> ''")
     if overrides is None:
-        rows = rows.select("doc_id", "meta", *hit_counts(F.col("hits")))
+        rows = rows.select("doc_id", "meta", *(F.coalesce(F.col("hit").startswith(MARKS[k]), F.lit(False)).cast("long").alias(f"{LEVELS[k]}s") for k in LEVELS))
     else:
-        rows = rows.select("doc_id", "policy_id", "meta", F.posexplode_outer(F.split(F.nullif("hits", F.lit("")), "\n")).alias("nth", "hit"))
-        found = F.element_at(_rule_table(), F.substring_index(F.substring("hit", 2, 1 << 20), ":", 1).cast("int") + 1)
-        rows = rows.withColumns({"rule_id": found["rule_id"], "severity": found["severity"], "meta": F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("meta"))})
+        rows = rows.withColumn("r", hit_rule(F.col("hit"))).select("doc_id", "policy_id", "meta", "r.rule_id", "r.severity")
         rows = rows.join(policy_levels(overrides), ["policy_id", "rule_id"], "left")
-        off = (F.col("level") == "off") & ~F.col("rule_id").isin(*NOT_SILENCED)
-        severity = F.when(~F.coalesce(off, F.lit(False)), F.coalesce(F.when(F.col("level") != "off", F.col("level")), "severity"))
-        rows = rows.select("doc_id", "meta", *((severity == s).cast("long").alias(c) for s, c in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))))
+        severity = overridden(F.col("rule_id"), F.col("severity"), F.col("level"))
+        rows = rows.select("doc_id", "meta", *(F.coalesce(severity == s, F.lit(False)).cast("long").alias(f"{s}s") for s in LEVELS.values()))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
     rows = rows.groupBy("doc_id").agg(F.first("meta", ignorenulls=True).alias("meta"), total("errors"), total("warnings"), total("infos"))
     return rows.select("doc_id", "meta.*", "errors", "warnings", "infos", (F.col("errors") == 0).alias("valid"))
@@ -139,15 +142,15 @@ def what_if_version(documents: DataFrame, target: str) -> DataFrame:
 
     The elements stay as they are, so the rules run twice over each row, and only hits of one side go on.
     """
-    nodes = elements(prepared(documents)).withColumn("__own", hits())
-    forced = detect_version(declared_version(F.col("root_name"), F.col("root_version")), F.col("inferred"), F.lit(target), document_type(F.col("root_name")))
-    nodes = nodes.withColumn("version", forced)
-    nodes = nodes.withColumn("v", version_ord(F.col("version.effective"))).withColumn("__then", hits())
-    rows = nodes.filter("__own <> __then").withColumns({"__own": F.split("__own", "\n"), "__then": F.split("__then", "\n")})
-    only = lambda a, b: F.array_join(F.filter(a, lambda x: (x != "") & ~F.array_contains(b, x)), "\n")
-    sides = F.array(F.struct(F.lit("left").alias("side"), only("__own", F.col("__then")).alias("hits")), F.struct(F.lit("right").alias("side"), only("__then", F.col("__own")).alias("hits")))
-    rows = rows.select("doc_id", "caller", "policy_id", "base", "spot", "trail", "line", "col", F.inline(sides)).filter("hits <> ''")
-    return findings_of(rows, "side").select("side", *FINDING_KEY)
+    changed = ("trail", "first", "main", "ver")
+    nodes = shred(prepared(documents)).withColumns({f"__{c}": F.col(c) for c in changed})
+    nodes = with_detection(nodes).withColumns({"__own": F.split(hits(), "\n"), "__own_paid": F.col("paid")})
+    nodes = with_detection(nodes.withColumns({c: F.col(f"__{c}") for c in changed}), target).withColumn("__then", F.split(hits(), "\n"))
+    only = lambda a, b: F.filter(a, lambda x: (x != "") & ~F.array_contains(b, x))
+    side = lambda name, a, b, paid: F.transform(only(a, b), lambda x: F.struct(F.lit(name).alias("side"), x.alias("hit"), F.col(paid).alias("paid")))
+    sides = F.concat(side("left", "__own", F.col("__then"), "__own_paid"), side("right", "__then", F.col("__own"), "paid"))
+    rows = nodes.select(*(c for c in FINDING_COLUMNS if c != "paid"), sides.alias("__sides")).select("*", F.explode_outer("__sides").alias("s")).filter("s.hit <> ''")
+    return findings_of(rows.select("*", "s.*"), "side").select("side", *FINDING_KEY)
 
 
 def catalog_vs_docs(catalog: DataFrame, described: DataFrame) -> DataFrame:

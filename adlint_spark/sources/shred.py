@@ -11,10 +11,13 @@ from xml.parsers import expat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from adlint_spark.functions.model import MODEL
+from adlint_spark.functions.values import VERSIONS
+
 MAX_BYTES, MAX_DEPTH, MAX_ELEMENTS = 4 << 20, 128, 100_000
 #: Steps of paths of which any sibling counts, not just the first.
 INDEXED = frozenset("Ad AdBreak Creative MediaFile Mezzanine InteractiveCreativeFile Icon Tracking Verification Companion NonLinear Extension CreativeExtension".split())
@@ -26,32 +29,58 @@ FLOORS = (
 )
 STANDARD_EXTENSIONS = frozenset(["ctv_ad_portfolio", "tl_qrcode"])
 CTV_EXTENSIONS = frozenset(["UniversalAdId", "InteractiveCreativeFile", "Mezzanine", "Icon", "AdVerifications"])
-#: Children whose texts and attributes, elements whose parent's attributes, and elements whose grandchildren rules ask for.
-TOLD_KIDS = frozenset("Ad Impression MediaFile InteractiveCreativeFile Tracking JavaScriptResource ExecutableResource VerificationParameters HTMLResource Creative".split())
-ASKING_PARENT = frozenset("JavaScriptResource ExecutableResource IFrameResource Verification AdServingId AdSource".split())
-_EXTENSIONS = frozenset(["Extension", "CreativeExtension"])
+#: Children that rules ask of some elements: those with attributes, those with texts. Playlists tell all children.
+TOLD_ATTRS = frozenset("Ad Tracking JavaScriptResource ExecutableResource".split())
+TOLD_TEXTS = frozenset("Impression VerificationParameters HTMLResource AdParameters".split())
+TOLD_UNDER = frozenset("VAST VMAP DAAST InLine Wrapper Verification TrackingEvents AdBreak AdSource InteractiveCreativeFile".split())
 ASKING_GRAND = frozenset("Linear NonLinear AdSource".split())
+#: Elements of which rules ask more than their own, as facts.
+ASKING = frozenset("JavaScriptResource ExecutableResource IFrameResource Verification AdServingId AdSource MediaFile MediaFiles Extension CreativeExtension".split())
+_EXTENSIONS = frozenset(["Extension", "CreativeExtension"])
+_RESOURCES = frozenset("StaticResource IFrameResource HTMLResource".split())
+SIGNALS = ("plcmt", "pos", "playbackmethod", "attr")
+#: Where a standardised CTV extension may stand: (element, type) -> trails of what holds it, first and last version's number. Any unknown version fits.
+_INLINE, _WRAPPER, _CREATIVE = "VAST/Ad/InLine/Extensions", "VAST/Ad/Wrapper/Extensions", "VAST/Ad/InLine/Creatives/Creative/CreativeExtensions"
+CTV_PLACES = {
+    ("Extension", "AdVerifications"): ((_INLINE, _WRAPPER), 0, 2),
+    ("Extension", "UniversalAdId"): ((_INLINE,), 0, 0),
+    ("Extension", "InteractiveCreativeFile"): ((_INLINE,), 0, 0),
+    ("Extension", "Mezzanine"): ((_INLINE,), 0, 0),
+    ("Extension", "Icon"): ((_INLINE,), 0, 0),
+    ("CreativeExtension", "InteractiveCreativeFile"): ((_CREATIVE,), 1, 6),
+    ("CreativeExtension", "UniversalAdId"): ((_CREATIVE,), 1, 1),
+    ("CreativeExtension", "Mezzanine"): ((_CREATIVE,), 1, 1),
+}
+#: Payloads that are read like elements of the ad proper: where those stand.
+NATIVE = {"Icon": "VAST/Ad/InLine/Creatives/Creative/Linear/Icons/", "AdVerifications": "VAST/Ad/InLine/"}
 _BAD_CHARS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+_WHOLE = re.compile(r"[+-]?[0-9]+", re.A)
 _CDATA = re.compile(rb"<!\[CDATA\[.*?\]\]>", re.S)
 
 _ATTRS = pa.map_(pa.string(), pa.string())
 _KID = pa.struct([("name", pa.string()), ("text", pa.string()), ("has_cdata", pa.bool_()), ("line", pa.int32()), ("col", pa.int32()), ("attr", _ATTRS)])
 _GRAND = pa.struct([("of", pa.string()), ("name", pa.string()), ("attr", _ATTRS)])
 #: Document columns that every element row repeats.
-CONTEXT = ("doc_id", "caller", "policy_id", "was_escaped", "forced_version", "wrapper_depth", "max_wrapper_depth")
+CONTEXT = ("doc_id", "caller", "policy_id", "was_escaped", "forced_version", "wrapper_depth", "max_wrapper_depth", "note")
 _CONTEXT_TYPES = {"was_escaped": pa.bool_(), "wrapper_depth": pa.int32(), "max_wrapper_depth": pa.int32()}
 NODE_SCHEMA = pa.schema(
     [
         *((c, _CONTEXT_TYPES.get(c, pa.string())) for c in CONTEXT),
-        *((c, pa.string()) for c in ("parse_error", "root_name", "root_version", "inferred", "base")),
+        *((c, pa.string()) for c in ("parse_error", "root_name", "root_version", "inferred", "base")), ("ver", pa.int32()),
         *((c, pa.int32()) for c in ("node_id", "parent_id", "depth")),
         ("name", pa.string()), ("pos", pa.int32()), ("name_idx", pa.int32()), ("text", pa.string()), ("has_cdata", pa.bool_()), ("opened", pa.bool_()),
         ("trail", pa.string()), ("spot", pa.string()), ("first", pa.bool_()), ("main", pa.bool_()), ("vendor_ext", pa.bool_()),
-        ("line", pa.int32()), ("col", pa.int32()), ("bare_attrs", pa.list_(pa.string())),
-        ("attr", _ATTRS), ("parent_attr", _ATTRS), ("kids", pa.list_(_KID)), ("grand", pa.list_(_GRAND)),
+        ("line", pa.int32()), ("col", pa.int32()), ("up_line", pa.int32()), ("up_col", pa.int32()), ("bare_attrs", pa.list_(pa.string())), ("odd", pa.bool_()), ("twins", pa.bool_()), ("kid_names", pa.string()),
+        ("attr", _ATTRS), ("facts", _ATTRS), ("kids", pa.list_(_KID)), ("grand", pa.list_(_GRAND)),
+        ("payload", pa.string()), ("native", pa.string()), ("ctv_from", pa.int32()), ("ctv_to", pa.int32()),
     ]
 )
 NODE_TYPES = from_arrow_schema(NODE_SCHEMA)
+_FORCED = CONTEXT.index("forced_version")
+
+
+#: Parents and children that stand together in ads.
+PAIRS = [(p, c) for p, kids in MODEL.items() for c in kids] + [("VAST", "Ad"), ("VAST", "Error"), ("Ad", "InLine"), ("Ad", "Wrapper")]
 
 
 class _Reject(Exception):
@@ -67,8 +96,13 @@ class Tree:
         self.not_opened: set[int] = set()
         self.error: str | None = None
 
-    def kids(self, i: int) -> list[int]:
-        return [k for k in range(i + 1, len(self.parents)) if self.parents[k] == i]
+    def children(self) -> list[list[int]]:
+        """The children of each element, gathered in one pass."""
+        out: list[list[int]] = [[] for _ in self.names]
+        for i, p in enumerate(self.parents):
+            if p >= 0:
+                out[p].append(i)
+        return out
 
 
 def parse(xml: str) -> tuple[Tree, bytes]:
@@ -122,7 +156,8 @@ def parse(xml: str) -> tuple[Tree, bytes]:
         if entities:
             flush()
         i = stack.pop()
-        if parser.CurrentByteIndex == at[i]:
+        # closed at once: nothing within, and the parser stands behind its tag
+        if i == len(names) - 1 and not texts[i] and data.endswith(b"/>", 0, parser.CurrentByteIndex):
             not_opened.add(i)
 
     def text(chars: str) -> None:
@@ -168,51 +203,290 @@ def _value(attributes: list[str], name: str) -> str | None:
     return None
 
 
-def _extension(tree: Tree, i: int) -> str:
-    """'' or what kind of extension the element is."""
-    if tree.names[i] not in ("Extension", "CreativeExtension"):
-        return ""
-    kind = _value(tree.attrs[i], "type") or ""
-    return "standard" if kind.strip().lower() in STANDARD_EXTENSIONS else "ctv" if kind in CTV_EXTENSIONS and "type" in tree.attrs[i][::2] else "vendor"
+def _standard(tree: Tree, i: int) -> bool:
+    return tree.names[i] in _EXTENSIONS and (_value(tree.attrs[i], "type") or "").strip().lower() in STANDARD_EXTENSIONS
+
+
+def _ctv(tree: Tree, i: int) -> str | None:
+    """The type of a standardised CTV extension: its type attribute without prefix, as it stands."""
+    if tree.names[i] not in _EXTENSIONS:
+        return None
+    a = tree.attrs[i]
+    kind = next((a[k + 1] for k in range(0, len(a), 2) if a[k] == "type"), None)
+    return kind if kind in CTV_EXTENSIONS else None
+
+
+def _place(tree: Tree, i: int) -> tuple[int, int] | None:
+    """The numbers of the first and last version whose CTV extensions of that type stand there; None if none do."""
+    kind = _ctv(tree, i)
+    where = CTV_PLACES.get((tree.names[i], kind)) if kind else None
+    if where is None:
+        return None
+    steps, k = [], tree.parents[i]
+    while k >= 0 and len(steps) < 7:
+        steps.append(tree.names[k])
+        if tree.names[k] == "VAST" and (tree.parents[k] < 0 or tree.names[tree.parents[k]] == "VASTAdData"):
+            break
+        k = tree.parents[k]
+    return where[1:] if "/".join(reversed(steps)) in where[0] else None
+
+
+def _number(version: str | None) -> int | None:
+    """A declared version's number; None if it isn't a known one."""
+    version = (version or "").strip()
+    return VERSIONS.index(version) if version in VERSIONS else 0 if version == "2.0.1" else None
 
 
 def inferred_version(tree: Tree, begin: int, end: int) -> str | None:
-    """The least version that the elements of a subtree ask for, those in standard extensions left out."""
+    """The least version that the elements of a subtree ask for, those in standardised extensions left out."""
     names = set(tree.names if end - begin == len(tree.names) else tree.names[begin:end])
     told = names
-    if "Extension" in names or "CreativeExtension" in names:
+    if not names.isdisjoint(_EXTENSIONS):
+        v = _number(_value(tree.attrs[begin], "version"))
         out = [False] * (end - begin)
-        for i in range(begin, end):
-            parent = tree.parents[i] - begin
-            out[i - begin] = i > begin and (out[parent] or _extension(tree, tree.parents[i]) in ("standard", "ctv"))
+        for i in range(begin + 1, end):
+            held = False
+            if tree.names[i] in _EXTENSIONS:
+                place = _place(tree, i)
+                held = _standard(tree, i) or place is not None and (v is None or place[0] <= v <= place[1])
+            out[i - begin] = held or out[tree.parents[i] - begin]
         told = {n for n, x in zip(tree.names[begin:end], out, strict=True) if not x}
     return next((v for v, floor in FLOORS if told & floor), "2.0" if "MediaFile" in names else None)
 
 
-def _around(tree: Tree, i: int) -> list[str]:
-    """The parent's attributes, and what rules ask of an element's siblings, under names that no attribute has."""
-    name, parent, told = tree.names[i], tree.parents[i], []
-    if parent < 0:
+def effective_version(root: str, forced: str | None, declared: str | None, floor: str | None) -> int | None:
+    """The number of the version that rules go by: the forced, else the declared, else the inferred one; none for playlists and audio."""
+    if root in ("VMAP", "DAAST"):
+        return None
+    found = next((n for n in (_number(forced), _number(declared) if root == "VAST" else None, _number(floor)) if n is not None), None)
+    return found
+
+
+def _playable(attributes: list[str]) -> bool:
+    kind = _value(attributes, "type") or ""
+    return kind.startswith(("video/", "audio/")) or kind == "application/x-mpegURL"
+
+
+def _whole(text: str) -> int | None:
+    """A 64-bit whole number, as it stands between white space."""
+    text = text.strip()
+    if not _WHOLE.fullmatch(text):
+        return None
+    n = int(text)
+    return n if -(1 << 63) <= n < 1 << 63 else None
+
+
+class _Facts:
+    """What rules ask of an element beyond its own attributes and children. Each list of siblings is read once."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.below = tree, tree.children()
+        self.out: dict[int, list[str]] = {}
+        self.held: dict = {}
+
+    def once(self, what: str, i: int, make):
+        key = (what, i)
+        if key not in self.held:
+            self.held[key] = make(i)
+        return self.held[key]
+
+    def named(self, i: int | None, name: str) -> list[int]:
+        return [] if i is None else [k for k in self.below[i] if self.tree.names[k] == name]
+
+    def child(self, i: int | None, name: str) -> int | None:
+        return None if i is None else next((k for k in self.below[i] if self.tree.names[k] == name), None)
+
+    def kid_set(self, i: int) -> frozenset[str]:
+        return self.once("set", i, lambda p: frozenset(self.tree.names[k] for k in self.below[p]))
+
+    def up(self, i: int, steps: int) -> int:
+        for _ in range(steps):
+            i = self.tree.parents[i] if i >= 0 else -1
+        return i
+
+    def gather(self) -> None:
+        tree = self.tree
+        for i, (name, p) in enumerate(zip(tree.names, tree.parents, strict=True)):
+            if p < 0 or name not in ASKING:
+                continue
+            told: list[str] = []
+            if name == "Verification":
+                key = (_value(tree.attrs[i], "vendor") or "").strip().lower()
+                seen = self.once("vendors", p, lambda _: set())
+                told = ["#again", "1"] if key and key in seen else []
+                seen.add(key)
+            elif name in ("JavaScriptResource", "ExecutableResource"):
+                vendor = _value(tree.attrs[p], "vendor")
+                told = ["vendor", vendor] if vendor is not None else []
+                told += ["#omid", "1"] if self.once("omid", p, self._omid) else []
+            elif name == "IFrameResource":
+                api = _value(tree.attrs[p], "apiFramework")
+                told = ["apiFramework", api] if api is not None else []
+                told += ["#media", "1"] if "MediaFiles" in self.kid_set(p) else []
+                told += ["#simid", "1"] if self._meant(p) else []
+            elif name == "AdServingId":
+                told = ["#creatives", str(self.once("creatives", p, self._filled))] if not tree.texts[i] else []
+            elif name == "MediaFile":
+                told = ["#icf", "1"] if "InteractiveCreativeFile" in self.kid_set(p) else []
+            elif name == "MediaFiles":
+                told = ["#classic", "1"] if tree.names[p] == "NonLinear" and self.kid_set(p) & _RESOURCES else []
+            elif name == "AdSource":
+                kind = _value(tree.attrs[p], "breakType")
+                told = ["breakType", kind] if kind is not None else []
+                inner = next((v for d in self.named(i, "VASTAdData") for v in self.named(d, "VAST")), None)
+                told += ["#companions", "1"] if inner is not None and "CompanionAds" in tree.names[inner : _end(tree, inner)] else []
+            else:
+                told = self._extension(i, name, p)
+            if told:
+                self.out.setdefault(i, []).extend(told)
+
+    def _meant(self, i: int) -> bool:
+        """Whether the nearest NonLinear at or above an element is meant for SIMID."""
+        while i >= 0 and self.tree.names[i] != "NonLinear":
+            i = self.tree.parents[i]
+        return i >= 0 and (_value(self.tree.attrs[i], "apiFramework") or "").strip().lower() == "simid"
+
+    def _omid(self, p: int) -> bool:
+        resources = [k for k in self.below[p] if self.tree.names[k] in ("JavaScriptResource", "ExecutableResource")]
+        return any((_value(self.tree.attrs[k], "apiFramework") or "").strip().lower() == "omid" for k in resources)
+
+    def _filled(self, ad: int) -> int:
+        """Creatives with media files."""
+        return sum(self.child(self.child(c, "Linear"), "MediaFiles") is not None for c in self.named(self.child(ad, "Creatives"), "Creative"))
+
+    # -- standardised extensions
+
+    def _extension(self, i: int, name: str, p: int) -> list[str]:
+        tree = self.tree
+        kind = _ctv(tree, i)
+        told = []
+        if kind is not None:
+            told = ["#ctv", kind]
+            kids = self.below[i]
+            if len(kids) == 1 and tree.names[kids[0]] == kind and not tree.texts[i].strip():
+                told += ["#shaped", "1"]
+                if kind not in ("Icon", "AdVerifications") and _place(tree, i) is not None:
+                    self.out.setdefault(kids[0], []).extend(self._bound(i, kids[0], kind))
+        holder = self.up(i, 2)
+        if name == "Extension" and tree.names[p] == "Extensions" and holder >= 0 and tree.names[holder] in ("InLine", "Wrapper"):
+            if (_value(tree.attrs[i], "type") or "").strip().lower() == "ctv_ad_portfolio":
+                told += self._portfolio(i, holder)
+            elif self._is_signal(i):
+                told += ["#adcom", "1"]
+                self._signals(p, [k for k in self.below[i] if tree.names[k] in SIGNALS], "adcom", _value(tree.attrs[i], "type"))
         return told
-    kids = tree.kids(parent)
-    if name == "Verification":
-        told = ["#before", "\n".join((_value(tree.attrs[k], "vendor") or "").strip().lower() for k in kids if k < i and tree.names[k] == name)]
-    elif name in ("JavaScriptResource", "ExecutableResource"):
-        told = ["#apis", "\n".join((_value(tree.attrs[k], "apiFramework") or "").strip().lower() for k in kids if tree.names[k] in ("JavaScriptResource", "ExecutableResource"))]
-    elif name == "AdServingId":
-        of = lambda k, want: next((x for x in tree.kids(k) if tree.names[x] == want), None) if k is not None else None
-        creatives = of(parent, "Creatives")
-        told = ["#creatives", str(sum(of(of(k, "Linear"), "MediaFiles") is not None for k in (tree.kids(creatives) if creatives is not None else []) if tree.names[k] == "Creative"))]
-    elif name == "MediaFile":
-        told = ["#with", "\n".join({tree.names[k] for k in kids})]
-    elif name == "AdSource":
-        inner = next((k for k in range(i + 1, len(tree.names)) if tree.names[k] == "VAST" and tree.parents[tree.parents[k]] == i), None)
-        if inner is not None and "CompanionAds" in tree.names[inner : _end(tree, inner)]:
-            told = ["#companions", "1"]
-    own: dict[str, str] = {}
-    for k in range(0, len(tree.attrs[parent]), 2):
-        own.setdefault(tree.attrs[parent][k].rpartition(":")[2], tree.attrs[parent][k + 1])
-    return [*(x for item in own.items() for x in item), *told]
+
+    def _is_signal(self, i: int) -> bool:
+        return (_value(self.tree.attrs[i], "ext") or "").lower() == "adcom" or not self.kid_set(i).isdisjoint(SIGNALS)
+
+    def _bound(self, i: int, payload: int, kind: str) -> list[str]:
+        """What the payload of an extension is bound to: its own creative, the one element with the id that it names, or the first."""
+        tree = self.tree
+        legacy = tree.names[i] == "Extension"
+        inline = self.child(self.up(i, 3 if legacy else 5), "InLine")
+        block = self.child(inline, "Creatives")
+        if block is None:
+            return ["#bind", "none"]
+        creatives = self.once("list", block, lambda b: self.named(b, "Creative"))
+        media = lambda c: self.named(self.child(self.child(c, "Linear"), "MediaFiles"), "MediaFile")
+        told = ["#creatives", str(len(creatives))]
+        if not legacy:
+            own = self.up(i, 2)
+            nth = self.once("places", self.up(i, 3), lambda b: {c: n for n, c in enumerate(self.named(b, "Creative"))})[own]
+            if nth >= len(creatives):
+                return ["#bind", "none", *told]
+            own = creatives[nth]
+            fallback = self.once("playable", own, lambda c: any(_playable(tree.attrs[m]) for m in media(c)))
+            return ["#bind", "local", "#target", str(own), *(["#playable", "1"] if fallback and _value(tree.attrs[payload], "mediaFileId") is None else []), *told]
+        wanted = _value(tree.attrs[payload], "creativeId" if kind == "UniversalAdId" else "mediaFileId")
+        if wanted is not None:
+            by_id = self.once("creative ids" if kind == "UniversalAdId" else "media ids", block, lambda _: self._ids(creatives if kind == "UniversalAdId" else [m for c in creatives for m in media(c)]))
+            found = by_id.get(wanted, []) if wanted.strip() else []
+            if len(found) != 1:
+                return ["#bind", "unmatched", *told]
+            hit = found[0]
+            return ["#bind", "matched", "#target", str(hit), *(["#playable", "1"] if tree.names[hit] == "MediaFile" and _playable(tree.attrs[hit]) else []), *told]
+        if not creatives:
+            return ["#bind", "none", *told]
+        files = self.once("first media", block, lambda _: media(creatives[0])[:1])
+        target = files[0] if files and kind != "UniversalAdId" else creatives[0]
+        return ["#bind", "first", "#target", str(target), *(["#playable", "1"] if files and _playable(tree.attrs[files[0]]) else []), *told]
+
+    def _ids(self, nodes: list[int]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for k in nodes:
+            own = _value(self.tree.attrs[k], "id")
+            if own is not None:
+                out.setdefault(own, []).append(k)
+        return out
+
+    def _signals(self, scope: int, rows: list[int], shape: str, kind: str | None) -> None:
+        """Facts of signal elements: the first whole number of each name in a scope counts there."""
+        tree = self.tree
+        firsts = self.once("firsts", scope, lambda _: {})
+        for k in rows:
+            told = ["#signal", shape] + (["#type", kind.strip()] if kind is not None else [])
+            value = _whole(tree.texts[k])
+            if value is not None and tree.names[k] not in firsts:
+                firsts[tree.names[k]] = (k, value)
+            self.out[k] = told
+            self.held.setdefault(("scoped",), []).append((k, scope))
+
+    def finish(self) -> None:
+        """Tells the signals that count of the placement that they must agree with, once all of a scope have been read."""
+        for k, scope in self.held.get(("scoped",), []):
+            firsts = self.held["firsts", scope]
+            if firsts.get(self.tree.names[k], (None,))[0] == k and "plcmt" in firsts:
+                self.out[k] += ["#plcmt", str(firsts["plcmt"][1])]
+
+    def _portfolio(self, i: int, holder: int) -> list[str]:
+        tree = self.tree
+        self._signals(i, [k for k in self.below[i] if tree.names[k] in SIGNALS], "portfolio", None)
+        block = self.child(holder, "Creatives")
+        creatives = [] if block is None else self.once("list", block, lambda b: self.named(b, "Creative"))
+        by_id = {} if block is None else self.once("creative ids", block, lambda _: self._ids(creatives))
+        named = self.child(i, "CreativeId")
+        declared = tree.texts[named].strip() if named is not None else ""
+        bound = by_id.get(declared, [None])[0] if declared else creatives[0] if len(creatives) == 1 else None
+        native = bound is not None and self.once("native", bound, lambda c: any(self.kid_set(n) & _RESOURCES for n in self.named(self.child(c, "NonLinearAds"), "NonLinear")))
+        told = ["#portfolio", "1", "#creatives", str(len(creatives)), "#native", str(int(native))]
+        if bound is not None:
+            told += ["#target", str(bound)]
+        if named is not None:
+            told += ["#declared", declared, "#unmatched", str(int(bool(declared and by_id and declared not in by_id)))]
+            self.out[named] = ["#unmatched", told[-1]]
+        for code in self.named(self.child(i, "CreativeExtensions"), "CreativeExtension"):
+            for k in (code, *self.below[code]):
+                self.out.setdefault(k, []).extend(["#in_portfolio", "1"])
+        files = self.child(i, "MediaFiles")
+        if files is not None:
+            kids = self.kid_set(files)
+            video = any((_value(tree.attrs[m], "type") or "").strip().lower().startswith("video/") for m in self.named(files, "MediaFile"))
+            letters = ("m" if "MediaFile" in kids else "") + ("i" if "InteractiveCreativeFile" in kids else "") + ("v" if video else "")
+            told += ["#files", letters]
+            self.out.setdefault(files, []).extend(["#holds", letters, "#native", str(int(native))])
+        return told
+
+
+def _payloads(tree: Tree) -> dict[int, tuple]:
+    """(payload's kind if it has its shape, trail as an element of the ad proper, first and last version) of the elements in CTV extensions in their place."""
+    out: dict[int, tuple] = {}
+    for i, name in enumerate(tree.names):
+        if name in _EXTENSIONS and i not in out:
+            place = _place(tree, i)
+            if place is None:
+                continue
+            kind, end = _ctv(tree, i), _end(tree, i)
+            kids = [k for k in range(i + 1, end) if tree.parents[k] == i]
+            shaped = len(kids) == 1 and tree.names[kids[0]] == kind and not tree.texts[i].strip()
+            out[i] = (None, None, *place)
+            trails: dict[int, str] = {}
+            for k in range(i + 1, end):
+                own = None
+                if shaped and kind in NATIVE:
+                    own = trails[k] = NATIVE[kind] + tree.names[k] if tree.parents[k] == i else f"{trails[tree.parents[k]]}/{tree.names[k]}"
+                out[k] = (kind if shaped else None, own, *place)
+    return out
 
 
 def _end(tree: Tree, i: int) -> int:
@@ -246,30 +520,27 @@ class _Rows:
         self.names, self.parents, self.links, self.depth, self.texts, self.lines, self.cols, self.attrs = [], [], [], [], [], [], [], []
         self.cdata, self.not_opened, self.vendors = [], [], []
         self.bare: dict[int, list[str]] = {}
-        self.around: dict[int, list[str]] = {}
+        self.facts: dict[int, list[str]] = {}
+        self.payloads: dict[int, tuple] = {}
+        #: Elements whose grandchildren rules ask for.
+        self.asking: list[int] = []
         self.starts: list[int] = []
         #: Runs of elements with equal document values.
         self.runs: list[int] = []
         self.told: list[tuple] = []
+        self.playlists: list[bool] = []
 
     def __len__(self) -> int:
         return len(self.names)
 
     def add(self, own: tuple, tree: Tree, data: bytes) -> None:
-        """One document whose context values are ``own``; only its root if it can't be parsed."""
+        """One document whose context values are ``own``; its elements up to the error if it isn't well formed."""
         base, names, attrs = len(self.names), tree.names, tree.attrs
         self.starts.append(base)
-        if tree.error or not names:
-            self.names.append(names[0] if names else "__empty__")
-            self.parents.append(-1)
-            self.links.append(-1)
-            self.depth.append(0)
-            self.texts.append("")
-            self.lines.append(1 + data[: tree.at[0]].count(b"\n") if names else 1)
-            self.cols.append(tree.at[0] - data[: tree.at[0]].rfind(b"\n") if names else 1)
-            self.attrs.append(attrs[0] if names else [])
-            self.runs.append(base)
-            self.told.append((*own, tree.error, self.names[-1], _value(attrs[0], "version") if names else None, inferred_version(tree, 0, len(names)) if names else None, None))
+        if not names:
+            for column, value in ((self.names, "__empty__"), (self.parents, -1), (self.links, -1), (self.depth, 0), (self.texts, ""), (self.lines, 1), (self.cols, 1), (self.attrs, []), (self.runs, base), (self.playlists, False)):
+                column.append(value)
+            self.told.append((*own, tree.error, "__empty__", None, None, None, effective_version("__empty__", own[_FORCED], None, None)))
             return
         n = len(names)
         self.names += names
@@ -291,24 +562,33 @@ class _Rows:
             self.cols += [x + 1 for x in tree.at]
         kinds = set(names)
         if not kinds.isdisjoint(_EXTENSIONS):
-            self.vendors += [i + base for i in range(n) if _extension(tree, i) == "vendor"]
-        apis = any(["apiFramework" in a for a in attrs if a])
-        if apis or not kinds.isdisjoint(ASKING_PARENT):
-            for i, name in enumerate(names):
-                if name in ASKING_PARENT and (name != "AdServingId" or not tree.texts[i]) or (name == "MediaFile" and "apiFramework" in attrs[i]):
-                    self.around[i + base] = _around(tree, i)
-        head = (*own, None, names[0], _value(attrs[0], "version"), inferred_version(tree, 0, n), None)
+            self.vendors += [i + base for i in range(n) if names[i] in _EXTENSIONS and not _standard(tree, i)]
+            if "VAST" in kinds:
+                self.payloads |= {i + base: x for i, x in _payloads(tree).items()}
+        if not kinds.isdisjoint(ASKING - {"MediaFile", "MediaFiles"}) or "NonLinear" in kinds:
+            facts = _Facts(tree)
+            facts.gather()
+            facts.finish()
+            for i in sorted(facts.out):
+                self.facts[i + base] = facts.out[i]
+        if not kinds.isdisjoint(("InteractiveCreativeFile", "NonLinear", "AdSource")) or b"skip" in data or b"&#" in data:
+            self.asking += [i + base for i, name in enumerate(names) if name in ASKING_GRAND]
+        version, floor = _value(attrs[0], "version"), inferred_version(tree, 0, n)
+        head = (*own, tree.error, names[0], version, floor, None, effective_version(names[0], own[_FORCED], version, floor))
         self.runs.append(base)
         self.told.append(head)
+        self.playlists.append(names[0] == "VMAP")
         depth = tree.depth
-        if names[0] == "VMAP" and "VAST" in kinds:
+        if names[0] == "VMAP" and "VAST" in kinds and not tree.error:
             depth = list(depth)
             for i, path in _embedded(tree):
                 end = _end(tree, i)
                 parents[i] = -1
                 depth[i:end] = [d - tree.depth[i] for d in depth[i:end]]
                 self.runs += [base + i, base + end] if end < n else [base + i]
-                self.told += [(*own, None, "VAST", _value(attrs[i], "version"), inferred_version(tree, i, end), path)] + ([head] if end < n else [])
+                version, floor = _value(attrs[i], "version"), inferred_version(tree, i, end)
+                self.told += [(*own, None, "VAST", version, floor, path, effective_version("VAST", None, version, floor))] + ([head] if end < n else [])
+                self.playlists += [False, True] if end < n else [False]
         self.links += parents
         self.depth += depth
 
@@ -352,36 +632,58 @@ class _Rows:
         trail, spot = pa.concat_arrays(trails).take(order), pa.concat_arrays(spots).take(order)
         cdata, opened = np.zeros(n, bool), np.ones(n, bool)
         cdata[self.cdata], opened[self.not_opened] = True, False
-        attr = self._maps({i: a for i, a in enumerate(self.attrs) if a}, n)
+        attr = self._maps({i: a for i, a in enumerate(self.attrs) if a}, n, True)
         lines, cols = pa.array(self.lines, pa.int32()), pa.array(self.cols, pa.int32())
         texts = pa.array(self.texts, pa.string())
 
+        holder = np.where(root, 0, parent)
+        twins = np.zeros(n, bool)
+        twins[holder[(nth == 1) & ~root]] = True
+        # pairs of parent and child that the content model doesn't know
+        place_of = {k: c for c, k in enumerate(kinds)}
+        known = np.array(sorted(place_of[p] * len(kinds) + place_of[c] for p, c in PAIRS if p in place_of and c in place_of), np.int64)
+        odd = ~root & ~np.isin(code[holder] * len(kinds) + code, known)
         kid = by_parent[parent[by_parent] >= 0]
         ends = np.concatenate([[0], np.cumsum(np.bincount(parent[kid], minlength=n))]).astype(np.int32)
-        at, told = pa.array(kid), pa.array(kid, mask=~member(TOLD_KIDS)[kid])
-        kids = pa.StructArray.from_arrays([name.take(at), texts.take(told), pa.array(cdata[kid]), lines.take(at), cols.take(at), attr.take(told)], fields=list(_KID))
-        holder = np.where(root, 0, parent)
+        wrapped = pc.binary_join_element_wise("", name, "", "/").take(pa.array(kid))
+        kid_names = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), wrapped), "")
+        # of the children those that rules ask for
+        playlist = member({"VMAP", "AdBreak", "AdSource", "TrackingEvents"}) & np.repeat(self.playlists, np.diff([*self.runs, n]))
+        with_attrs, with_texts = member(TOLD_ATTRS), member(TOLD_TEXTS)
+        kid = kid[(member(TOLD_UNDER)[parent[kid]] & (with_attrs | with_texts)[kid]) | playlist[parent[kid]]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(parent[kid], minlength=n))]).astype(np.int32)
+        at = pa.array(kid)
+        kids = pa.StructArray.from_arrays(
+            [name.take(at), texts.take(pa.array(kid, mask=~with_texts[kid])), pa.array(cdata[kid]), lines.take(at), cols.take(at), attr.take(pa.array(kid, mask=~with_attrs[kid]))], fields=list(_KID)
+        )
+        asks = np.zeros(n, bool)
+        asks[self.asking] = True
         grand = (~root) & (parent[holder] >= 0) & member({"MediaFiles", "TrackingEvents", "VASTAdData"})[holder] & (nth[holder] == 0)
         top = np.where(grand, parent[holder], 0)
-        grand &= member(ASKING_GRAND)[top]
+        grand &= asks[top]
         rows = np.flatnonzero(grand)
         rows = rows[np.argsort(top[rows], kind="stable")]
         grand_ends = np.concatenate([[0], np.cumsum(np.bincount(top[rows], minlength=n))]).astype(np.int32)
         grands = pa.StructArray.from_arrays([name.take(pa.array(parent[rows])), name.take(pa.array(rows)), attr.take(pa.array(rows))], fields=list(_GRAND))
+        paid = [self.payloads.get(i) for i in range(n)] if self.payloads else None
+        paid_column = lambda k, kind: pa.array([x[k] if x else None for x in paid], kind) if paid else pa.nulls(n, kind)
 
         document = pa.array(np.repeat(np.arange(len(self.runs)), np.diff([*self.runs, n])))
         begin = np.repeat(self.starts, np.diff([*self.starts, n]))
-        columns = {c: pa.array(x, NODE_SCHEMA.field(c).type).take(document) for c, x in zip((*CONTEXT, "parse_error", "root_name", "root_version", "inferred", "base"), zip(*self.told, strict=True), strict=True)}
+        columns = {c: pa.array(x, NODE_SCHEMA.field(c).type).take(document) for c, x in zip((*CONTEXT, "parse_error", "root_name", "root_version", "inferred", "base", "ver"), zip(*self.told, strict=True), strict=True)}
         columns |= {
             "node_id": pa.array(np.arange(n) - begin, pa.int32()), "parent_id": pa.array(np.where(root, -1, parent - begin), pa.int32()), "depth": pa.array(depth, pa.int32()),
             "name": name, "pos": pa.array(pos, pa.int32()), "name_idx": pa.array(nth, pa.int32()), "text": texts, "has_cdata": pa.array(cdata), "opened": pa.array(opened),
             "trail": trail, "spot": spot, "first": pa.array(first), "main": pa.array(main), "vendor_ext": pa.array(vendor), "line": lines, "col": cols,
-            "bare_attrs": pa.array([self.bare.get(i) for i in range(n)] if self.bare else [None] * n, pa.list_(pa.string())), "attr": attr, "parent_attr": self._maps(self.around, n),
+            "up_line": lines.take(pa.array(holder)), "up_col": cols.take(pa.array(holder)),
+            "bare_attrs": pa.array([self.bare.get(i) for i in range(n)] if self.bare else [None] * n, pa.list_(pa.string())), "attr": attr, "facts": self._maps(self.facts, n),
+            "odd": pa.array(odd), "twins": pa.array(twins), "kid_names": kid_names,
+            "payload": paid_column(0, pa.string()), "native": paid_column(1, pa.string()), "ctv_from": paid_column(2, pa.int32()), "ctv_to": paid_column(3, pa.int32()),
             "kids": pa.ListArray.from_arrays(pa.array(ends), kids), "grand": pa.ListArray.from_arrays(pa.array(grand_ends), grands),
         }
         return pa.RecordBatch.from_arrays([columns[f.name] for f in NODE_SCHEMA], schema=NODE_SCHEMA)
 
-    def _maps(self, some: dict[int, list[str]], n: int) -> pa.MapArray:
+    def _maps(self, some: dict[int, list[str]], n: int, own_names: bool = False) -> pa.MapArray:
         """Maps of names and values at some rows, of local names; what has no prefix is told apart where others have one."""
         counts, keys, values = np.zeros(n, np.int64), [], []
         for i, a in some.items():
@@ -390,7 +692,7 @@ class _Rows:
                 own: dict[str, str] = {}
                 for x, y in zip(names, a[1::2], strict=True):
                     own.setdefault(x.rpartition(":")[2], y)
-                if some is not self.around:
+                if own_names:
                     self.bare[i] = [x for x in names if ":" not in x and x != "xmlns"]
                 keys += own
                 values += own.values()
@@ -405,10 +707,13 @@ class _Rows:
 def shred(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """The nodes table: a row for each element of each document, in document order within it.
 
-    ``documents`` has doc_id and ``xml``; further columns of CONTEXT are carried where present. A document that isn't well formed,
-    or is null, has one row, its root's (or ``__empty__``), with ``parse_error``. ``attr`` has local names; ``bare_attrs`` those
-    without prefix, null where all are. ``kids`` repeats what rules ask of an element's children, so that they need no join,
-    ``grand`` of the children of some of those. ``trail`` is the names from the root, ``opened`` tells a tag without prefix that isn't closed at once; ``spot`` adds each step's number among
+    ``documents`` has doc_id and ``xml``; further columns of CONTEXT are carried where present. A document that isn't well formed
+    has its elements up to the error, each with ``parse_error``, which rules leave out; without any, or null, it has one row, ``__empty__``. ``attr`` has local names; ``bare_attrs`` those
+    without prefix, null where all are. ``kid_names`` has each child's name between slashes, ``twins`` tells that one comes twice, ``odd``
+    that the content model doesn't know the element below its parent. ``kids`` repeats what rules ask of an element's children, so that they need no
+    join, ``grand`` of the children of some of those; ``facts`` is what they ask of parents, siblings and bound elements. Elements in a standardised CTV extension in
+    its place have the versions that it fits (``ctv_from``, ``ctv_to``), ``payload``, its type if it has the right shape, and ``native``, the trail
+    of the element that it stands for. ``trail`` is the names from the root, ``opened`` tells a tag without prefix that isn't closed at once; ``spot`` adds each step's number among
     its namesakes and among all siblings; ``first`` tells that no step but the indexed ones is a second of its name, ``main`` that the
     third isn't. VAST inside a playlist's VASTAdData counts as a document below ``base``, with a root, version and trails of
     its own. Documents are read one at a time, so memory is bounded by the largest (4 MiB).
@@ -432,3 +737,28 @@ def shred(documents: DataFrame, xml: str = "xml") -> DataFrame:
             yield out.batch()
 
     return rows.mapInArrow(run, NODE_TYPES)
+
+
+class ShredXml:
+    """A table function: the elements of one document, for SQL with LATERAL."""
+
+    def eval(self, xml: str | None):
+        tree, data = parse(xml or "")
+        counts: dict[tuple[int, str], int] = {}
+        starts = [0, *accumulate(len(x) + 1 for x in data.split(b"\n"))]
+        for i, (name, parent) in enumerate(zip(tree.names, tree.parents, strict=True)):
+            nth = counts.get((parent, name), 0)
+            counts[parent, name] = nth + 1
+            own: dict[str, str] = {}
+            for k in range(0, len(tree.attrs[i]), 2):
+                own.setdefault(tree.attrs[i][k].rpartition(":")[2], tree.attrs[i][k + 1])
+            line = bisect_right(starts, tree.at[i])
+            yield i, parent, tree.depth[i], name, nth, tree.texts[i], line, tree.at[i] - starts[line - 1] + 1, own, tree.error
+
+
+SHRED_ROW = "node_id int, parent_id int, depth int, name string, name_idx int, text string, line int, col int, attr map<string,string>, parse_error string"
+
+
+def register_shred_xml(spark: SparkSession, name: str = "shred_xml") -> None:
+    """Makes ``SELECT … FROM documents, LATERAL shred_xml(xml)`` work. A document without elements has no rows."""
+    spark.udtf.register(name, F.udtf(ShredXml, returnType=SHRED_ROW))
