@@ -250,30 +250,31 @@ def exact_counts(docs: DataFrame, most_words: int, filters: dict[int, Broadcast]
     """(lang, phrase, words, f) of all phrases of up to ``most_words`` words that occur ``least`` times or more, and the number of
     words of each language as the phrase of 0 words. ``filters`` by number of words, the last for all longer ones.
 
-    Phrases are counted in runs of texts by two hashes, in tasks and over all by their text.
+    Phrases are counted in runs of texts by two hashes, in tasks and over all by their text. They travel in blocks, one for each hash partition and run
+    of a task. Their number is at most that of the words read, and grows faster than the input where phrases come to pass ``least``. A last task holds
+    the phrases of its hash partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: dict[str, int] = {}
         total: dict[int, int] = {}
-        held: dict[int, list[pa.RecordBatch]] = {}
+        held: dict[int, pa.RecordBatch] = {}
+        fresh: dict[int, list[pa.RecordBatch]] = {}
         size = 0
 
         def merge() -> None:
-            """Runs of equal phrases to one each."""
-            for order in range(1, most_words + 1):
-                parts = held.pop(order, [])
-                if parts:
-                    table = pa.Table.from_batches(parts)
-                    held[order] = table.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).combine_chunks().to_batches()
+            for order, parts in fresh.items():
+                held[order] = _merged([*([held[order]] if order in held else []), *parts], ["lang", "bucket", "phrase"])
+            fresh.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
             names = pa.array(list(code), pa.string())
-            for order, parts in held.items():
-                for part in parts:
-                    for at in range(0, len(part), 1 << 15):
-                        some = part.slice(at, 1 << 15)
-                        yield pa.RecordBatch.from_arrays([names.take(some.column("lang")), some.column("phrase").cast(pa.string()), pa.array(np.full(len(some), order, np.int32)), some.column("n")], names=["lang", "phrase", "words", "n"])
+            for order, rows in held.items():
+                rows = rows.take(pc.sort_indices(rows.column("bucket")))
+                used, cuts = np.unique(rows.column("bucket").to_numpy(), return_index=True)
+                cuts = pa.array(np.append(cuts, len(rows)).astype(np.int32))
+                columns = [names.take(rows.column("lang")), rows.column("phrase").cast(pa.string()), rows.column("n")]
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), order, np.int32)), *(pa.ListArray.from_arrays(cuts, c) for c in columns)], names=["bucket", "words", "langs", "phrases", "counts"])
             held.clear()
 
         for batch in batches:
@@ -296,25 +297,45 @@ def exact_counts(docs: DataFrame, most_words: int, filters: dict[int, Broadcast]
                         h, c = grams[at][rank], check[rank]
                         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
                         one = at[rank[first]]
-                        held.setdefault(order, []).append(pa.RecordBatch.from_arrays([pa.array(chunk.lang[one]), chunk.spell(one, order), pa.array(np.diff(np.append(first, len(rank))))], names=["lang", "phrase", "n"]))
+                        columns = [pa.array(chunk.lang[one]), pa.array(_bucket(grams[one]).astype(np.int32)), chunk.spell(one, order), pa.array(np.diff(np.append(first, len(rank))))]
+                        fresh.setdefault(order, []).append(pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "phrase", "n"]))
                         size += len(one)
                 if size >= HELD:
                     merge()
-                    size = sum(len(p) for parts in held.values() for p in parts)
+                    size = sum(len(p) for p in held.values())
                     if 2 * size >= HELD:
                         yield from out()
                         size = 0
         merge()
         yield from out()
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, k in code.items() if k in total], pa.string()), pa.array([""] * len(total)), pa.array([0] * len(total), pa.int32()), pa.array([total[k] for k in code.values() if k in total], pa.int64())],
-                names=["lang", "phrase", "words", "n"],
-            )
-
-    rows = map_batches(docs.select("text", "lang"), run, "lang string, phrase string, words int, n long")
-    rows = rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
-    return rows.filter((F.col("words") == 0) | (F.col("f") >= least))
+        some = [(x, total[k]) for x, k in code.items() if k in total]
+        if some:
+            one = pa.array(range(len(some) + 1), pa.int32())
+            lists = [pa.ListArray.from_arrays(one, x) for x in (pa.array([x for x, _ in some], pa.string()), pa.array([""] * len(some)), pa.array([n for _, n in some], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), pa.array(np.zeros(len(some), np.int32)), *lists], names=["bucket", "words", "langs", "phrases", "counts"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64())], names=["lang", "phrase", "words", "n"]), []
+        for batch in batches:
+            lengths = batch.column("phrases").value_lengths().to_numpy()
+            columns = [batch.column("langs").flatten(), batch.column("phrases").flatten(), pa.array(np.repeat(batch.column("words").to_numpy(), lengths)), batch.column("counts").flatten()]
+            fresh.append(pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"]))
+            if sum(len(x) for x in fresh) >= HELD:
+                held, fresh = _merged([held, *fresh], ["lang", "phrase", "words"]), []
+        held = _merged([held, *fresh], ["lang", "phrase", "words"])
+        held = held.filter(pc.or_(pc.equal(held.column("words"), 0), pc.greater_equal(held.column("n"), least)))
+        yield pa.RecordBatch.from_arrays(held.columns, names=["lang", "phrase", "words", "f"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = map_batches(docs.select("text", "lang"), run, "bucket int, words int, langs array<string>, phrases array<string>, counts array<bigint>")
+    return map_batches(packed.repartition(parts, "bucket"), sums, "lang string, phrase string, words int, f long")
+
+
+def _merged(parts: list[pa.RecordBatch], keys: list[str]) -> pa.RecordBatch:
+    """Rows with equal keys as one, their n added up."""
+    table = pa.Table.from_batches(parts).group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks()
+    schema = pa.schema([table.schema.field(k) for k in [*keys, "n"]])
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, bits: int = FILTER_BITS) -> DataFrame:
