@@ -43,7 +43,8 @@ def among(c: Column, values) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at both ends. Elements' texts are so already."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def version_ord(version: Column) -> Column:

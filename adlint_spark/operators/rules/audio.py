@@ -37,7 +37,7 @@ def audio() -> list[Rule]:
         rule("DAAST-1.0-videoclicks-element", "W", GUESS, "VideoClicks in an audio ad", "VideoClicks", once(f"{linear}/VideoClicks"), spec="IAB DAAST 1.0 §3.2.1.6"),
         rule("DAAST-1.0-audiointeractions-renamed", "W", SPEC, "AudioInteractions is now AdInteractions", "AudioInteractions", once(f"{linear}/AudioInteractions", f"{wrapper}/Creatives/Creative/Linear/AudioInteractions"), spec="IAB DAAST 1.1 Document Updates"),
         rule("DAAST-1.0-linear-duration", "E", SPEC, "Linear has no Duration", "Linear", at(linear) & ~has("Duration"), spec="IAB DAAST 1.0 §3.2.1.2"),
-        rule("DAAST-1.0-duration-format", "E", SPEC, "Duration is not HH:MM:SS", "Duration", at(f"{linear}/Duration") & (trimmed(TEXT) != "") & ~is_hhmmss(trimmed(TEXT)), spec="IAB DAAST 1.0 §3.2.1.2"),
+        rule("DAAST-1.0-duration-format", "E", SPEC, "Duration is not HH:MM:SS", "Duration", at(f"{linear}/Duration") & (TEXT != "") & ~is_hhmmss(TEXT), spec="IAB DAAST 1.0 §3.2.1.2"),
         rule("DAAST-1.0-linear-mediafiles", "E", SPEC, "Linear has no MediaFiles", "Linear", at(linear) & ~has("MediaFiles"), spec="IAB DAAST 1.0 §3.2.1.3"),
         rule("DAAST-1.0-linear-mediafiles", "E", SPEC, "Linear has no MediaFile", "MediaFiles", at(f"{linear}/MediaFiles") & ~has("MediaFile"), mode="up", located="up", spec="IAB DAAST 1.0 §3.2.1.3"),
         rule("DAAST-1.0-mediafile-delivery", "E", SPEC, "MediaFile has no delivery", "MediaFile", media & lacks("delivery"), spec="IAB DAAST 1.0 §3.2.1.4"),
@@ -45,15 +45,15 @@ def audio() -> list[Rule]:
         rule("DAAST-1.0-mediafile-type", "E", SPEC, "MediaFile has no type", "MediaFile", media & lacks("type"), spec="IAB DAAST 1.0 §3.2.1.4"),
         rule("DAAST-1.0-mediafile-audio-type", "W", GUESS, "the type is not audio", "MediaFile", media & attr("type").startswith("video/"), suffix="[@type]", spec="IAB DAAST 1.0 §3.2.1.4"),
         rule("DAAST-1.0-mediafile-id", "W", XSD, "MediaFile has no id", "MediaFile", media & lacks("id"), spec="IAB DAAST 1.0 §3.2.1.4"),
-        rule("DAAST-1.0-mediafile-url-empty", "E", SPEC, "MediaFile has no URL", "MediaFile", media & (trimmed(TEXT) == ""), spec="IAB DAAST 1.0 §3.2.1.4"),
+        rule("DAAST-1.0-mediafile-url-empty", "E", SPEC, "MediaFile has no URL", "MediaFile", media & (TEXT == ""), spec="IAB DAAST 1.0 §3.2.1.4"),
         rule("DAAST-1.0-tracking-event-value", "E", XSD, "the event is unknown", "Tracking", tracking & ~among(event, EVENTS), suffix="[@event]", spec="IAB DAAST 1.0 §3.2.1.7"),
         rule("DAAST-1.0-progress-offset", "E", SPEC, "a progress event has no offset", "Tracking", tracking & (event == "progress") & lacks("offset"), spec="IAB DAAST 1.0 §3.2.4.3"),
         rule("DAAST-1.0-progress-offset", "E", SPEC, "a progress event has no fitting offset", "Tracking", tracking & (event == "progress") & ~is_time_or_percent(trimmed(attr("offset"))), suffix="[@offset]", spec="IAB DAAST 1.0 §3.2.4.3"),
         rule("DAAST-1.0-pricing-model", "E", SPEC, "Pricing has no model", "Pricing", price & lacks("model"), spec="IAB DAAST 1.0 §3.1.4.2"),
         rule("DAAST-1.0-pricing-model-value", "W", XSD, "the model is unknown", "Pricing", price & ~F.lower(attr("model")).isin("cpm", "cpc", "cpe", "cpv", "cpo"), suffix="[@model]", spec="IAB DAAST 1.0 §3.1.4.2"),
         rule("DAAST-1.0-pricing-currency", "E", SPEC, "Pricing has no currency", "Pricing", price & lacks("currency"), spec="IAB DAAST 1.0 §3.1.4.2"),
-        rule("DAAST-1.0-error-url-empty", "W", SPEC, "Error has no URL", "Error", error & (trimmed(TEXT) == ""), mode="last", spec="IAB DAAST 1.0 §3.1.3"),
-        rule("DAAST-1.0-error-tracking-macro", "I", SPEC, "Error has no [ERRORCODE]", "Error", error & (trimmed(TEXT) != "") & ~TEXT.contains("[ERRORCODE]"), mode="last", spec="IAB DAAST 1.0 §3.1.3"),
+        rule("DAAST-1.0-error-url-empty", "W", SPEC, "Error has no URL", "Error", error & (TEXT == ""), mode="last", spec="IAB DAAST 1.0 §3.1.3"),
+        rule("DAAST-1.0-error-tracking-macro", "I", SPEC, "Error has no [ERRORCODE]", "Error", error & (TEXT != "") & ~TEXT.contains("[ERRORCODE]"), mode="last", spec="IAB DAAST 1.0 §3.1.3"),
     ]
 
 

@@ -44,7 +44,7 @@ def ctv_addendum() -> list[Rule]:
     extension = VISITED & fact("#ctv").isNotNull()
     uid, mez, icf, icon = (_paid(k) for k in ("UniversalAdId", "Mezzanine", "InteractiveCreativeFile", "Icon"))
     bound, several = fact("#bind"), fact("#creatives").cast("int") > 1
-    text = trimmed(TEXT)
+    text = TEXT
     registry = attr("idRegistry")
     unknown = text == "unknown"
     no_registry = registry.isNull() | ((trimmed(registry) == "") & ~unknown)
@@ -54,7 +54,7 @@ def ctv_addendum() -> list[Rule]:
     payloads = any_kid(lambda k: k["name"] == "HTMLResource")
     count = lambda kid: F.expr(f"length(kid_names) - length(replace(kid_names, '/{kid}/', ''))") / (len(kid) + 2)
     no_data = data & (F.expr("trim(substring(text, instr(text, ',') + 1)) = ''") | (F.instr(TEXT, ",") == 0))
-    bad_html = any_kid(lambda k: (k["name"] == "HTMLResource") & ((trimmed(k["text"]) == "") | ~k["has_cdata"]))
+    bad_html = any_kid(lambda k: (k["name"] == "HTMLResource") & ((k["text"] == "") | ~k["has_cdata"]))
     wrong_payload = no_data | (F.expr("replace(replace(kid_names, '/HTMLResource/', ''), '/AdParameters/', '') <> ''")) | (count("HTMLResource") > 1) | (count("AdParameters") > 1) | (html & (text != "")) | (payloads & bad_html)
     inner = lambda name: F.expr(f"paid and payload = 'InteractiveCreativeFile' and left(trail, length(trail) - length(name) - 1) like '%Extension/InteractiveCreativeFile' and name = '{name}'")
     names = lambda *xs: " ".join(xs)
@@ -116,7 +116,7 @@ def ctv_portfolio() -> list[Rule]:
     signals = F.expr("vast and main and trail in (" + ", ".join(f"'{b}/{s}'" for b in blocks for s in ("plcmt", "pos", "playbackmethod", "attr")) + ")") & known
     shape, number = fact("#signal"), F.expr("try_cast(trim(text) as bigint)")
     signal = signals & ((shape == "portfolio") | ((shape == "adcom") & v4))
-    whole = trimmed(TEXT).rlike(r"^[+-]?[0-9]+$") & number.isNotNull()
+    whole = TEXT.rlike(r"^[+-]?[0-9]+$") & number.isNotNull()
     plcmt = fact("#plcmt").cast("bigint")
     fits = F.when(plcmt.isin(5, 6), number.isin(7, 8)).when(plcmt == 7, number.isin(5, 9, 10, 14, 15)).when(plcmt == 8, number.isin(11, 12, 13, 16, 17))
     owner = F.when(number.isin(8, 9), 5).when(number.isin(10, 11), 6)

@@ -43,16 +43,16 @@ def playlist() -> list[Rule]:
         *(rule("VMAP-1.0-adsource-bool-attr", "W", SPEC, f"{a} is not a boolean", "AdSource", source & ~trimmed(attr(a)).isin("true", "false"), suffix=f"[@{a}]", spec="IAB VMAP 1.0.1 §2.3.2") for a in ("allowMultipleAds", "followRedirects")),
         rule("VMAP-1.0-adsource-content", "E", SPEC, "AdSource has not just one content", "AdSource", source & (content != 1), spec="IAB VMAP 1.0.1 §2.3.2"),
         rule("VMAP-1.0-display-break-no-companions", "I", SPEC, "a display break's ads have no CompanionAds", "AdSource", source & plays & displays, spec="IAB VMAP 1.0.1 §2.3.1", suffix="/VASTAdData"),
-        rule("VMAP-1.0-adtaguri-empty", "E", SPEC, "AdTagURI is empty", "AdTagURI", inside("AdTagURI") & (trimmed(TEXT) == ""), spec="IAB VMAP 1.0.1 §2.3.2"),
-        rule("VMAP-1.0-adtaguri-cdata", "E", SPEC, "AdTagURI is not in a CDATA section", "AdTagURI", inside("AdTagURI") & (trimmed(TEXT) != "") & ~F.col("has_cdata"), spec="IAB VMAP 1.0.1 §2.3.2"),
-        rule("VMAP-1.0-customaddata-cdata", "E", SPEC, "CustomAdData is not in a CDATA section", "CustomAdData", inside("CustomAdData") & (trimmed(TEXT) != "") & ~F.col("has_cdata"), spec="IAB VMAP 1.0.1 §2.3.2"),
+        rule("VMAP-1.0-adtaguri-empty", "E", SPEC, "AdTagURI is empty", "AdTagURI", inside("AdTagURI") & (TEXT == ""), spec="IAB VMAP 1.0.1 §2.3.2"),
+        rule("VMAP-1.0-adtaguri-cdata", "E", SPEC, "AdTagURI is not in a CDATA section", "AdTagURI", inside("AdTagURI") & (TEXT != "") & ~F.col("has_cdata"), spec="IAB VMAP 1.0.1 §2.3.2"),
+        rule("VMAP-1.0-customaddata-cdata", "E", SPEC, "CustomAdData is not in a CDATA section", "CustomAdData", inside("CustomAdData") & (TEXT != "") & ~F.col("has_cdata"), spec="IAB VMAP 1.0.1 §2.3.2"),
         rule("VMAP-1.0-vastaddata-vast-root", "E", SPEC, "VASTAdData has no VAST", "VASTAdData", inside("VASTAdData") & ~has("VAST"), spec="IAB VMAP 1.0.1 §2.3.2"),
         rule("VMAP-1.0-embedded-vast-version", "I", SPEC, "VAST in a playlist is of version 3.0", "VAST", F.col("base").isNotNull() & (F.col("depth") == 0) & (trimmed(attr("version")) != "3.0"), spec="IAB VMAP 1.0.1 §3.2", suffix="[@version]"),
         rule("VMAP-1.0-trackingevents-unknown-child", "E", SPEC, "TrackingEvents has an unknown child", "TrackingEvents", at("VMAP/AdBreak/TrackingEvents") & some("Tracking"), each=kids_at(other("Tracking")), spec="IAB VMAP 1.0.1 §2.3.3"),
         rule("VMAP-1.0-tracking-event", "E", SPEC, "Tracking has no event", "Tracking", tracking & event.isNull(), spec="IAB VMAP 1.0.1 §2.3.3"),
         rule("VMAP-1.0-tracking-event-value", "E", SPEC, "the event is unknown", "Tracking", tracking & ~event.isin(*EVENTS), suffix="[@event]", spec="IAB VMAP 1.0.1 §2.3.3"),
         rule("VMAP-1.0-error-tracking-macro", "I", SPEC, "an error event has no [ERROR_CODE]", "Tracking", tracking & (event == "error") & ~TEXT.contains("[ERROR_CODE]"), spec="IAB VMAP 1.0.1 §2.5"),
-        rule("VMAP-1.0-tracking-url-empty", "E", SPEC, "Tracking has no URL", "Tracking", tracking & (trimmed(TEXT) == ""), spec="IAB VMAP 1.0.1 §2.3.3"),
+        rule("VMAP-1.0-tracking-url-empty", "E", SPEC, "Tracking has no URL", "Tracking", tracking & (TEXT == ""), spec="IAB VMAP 1.0.1 §2.3.3"),
     ]
 
 

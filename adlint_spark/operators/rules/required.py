@@ -66,7 +66,7 @@ def media_attributes() -> list[Rule]:
 
 def universal_ad_id() -> list[Rule]:
     creative, here = at(f"{INLINE}/Creatives/Creative"), at(f"{INLINE}/Creatives/Creative/UniversalAdId")
-    empty = trimmed(TEXT) == ""
+    empty = TEXT == ""
     return [
         rule("VAST-4.0-universaladid-present", "E", SPEC, "Creative has no UniversalAdId", "Creative", creative & is_v4() & ~has("UniversalAdId"), spec="IAB VAST 4.0 §3.8.1"),
         rule("VAST-4.0-universaladid-idregistry", "E", SPEC, "UniversalAdId has no idRegistry", "UniversalAdId", here & (F.col("name_idx") == 0) & lacks("idRegistry"), located="up", spec="IAB VAST 4.0 §3.8.1"),
@@ -135,7 +135,7 @@ def verification() -> list[Rule]:
     api = lambda k: F.lower(trimmed(k["attr"]["apiFramework"])) == "omid"
     omid = F.coalesce(is_omid_vendor(vendor), F.lit(False)) | F.coalesce(any_kid(lambda k: k["name"].isin("JavaScriptResource", "ExecutableResource") & api(k)), F.lit(False))
     omid_parent = F.coalesce(is_omid_vendor(fact("vendor")), F.lit(False)) | told("#omid")
-    parameters = any_kid(lambda k: (k["name"] == "VerificationParameters") & (trimmed(k["text"]) != ""))
+    parameters = any_kid(lambda k: (k["name"] == "VerificationParameters") & (k["text"] != ""))
     again = told("#again")
     tracked = VAST & on(*(f"{b}/Verification/TrackingEvents/Tracking" for b in block)) & gate
     failed = attr("event") == "verificationNotExecuted"
@@ -195,7 +195,7 @@ def structure() -> list[Rule]:
 
 def consistency() -> list[Rule]:
     top = F.col("depth") == 0
-    urls = F.filter(F.transform(F.filter("kids", lambda k: k["name"] == "Impression"), lambda k: trimmed(k["text"])), lambda x: x != "")
+    urls = F.filter(F.transform(F.filter("kids", lambda k: k["name"] == "Impression"), lambda k: k["text"]), lambda x: x != "")
     # a Wrapper counts only where there is no InLine; such Ads are reported anyway
     here = at(INLINE, WRAPPER)
     return [
@@ -246,7 +246,7 @@ def ctv() -> list[Rule]:
         rule("VAST-4.1-mezzanine-recommended", "I", BEST, "MediaFiles has no Mezzanine", "MediaFiles", files & ~has("Mezzanine"), spec="IAB VAST 4.1 §3.9.2"),
         rule("VAST-4.1-vpaid-in-interactive-context", "W", BEST, "VPAID beside an InteractiveCreativeFile", "MediaFile", at(f"{LINEAR}/MediaFiles/MediaFile") & (V >= 3) & (F.lower(attr("apiFramework")) == "vpaid") & told("#icf"), spec="IAB VAST 4.1 §2.4.3"),
         # once for each creative that has media files
-        rule("VAST-4.1-ad-serving-id-empty", "W", GUESS, "AdServingId is empty", "AdServingId", at(f"{INLINE}/AdServingId") & (V >= 3) & (trimmed(TEXT) == "") & (creatives > 0), each=F.array_repeat(F.lit(""), creatives), spec="IAB VAST 4.1 §3.4.1"),
+        rule("VAST-4.1-ad-serving-id-empty", "W", GUESS, "AdServingId is empty", "AdServingId", at(f"{INLINE}/AdServingId") & (V >= 3) & (TEXT == "") & (creatives > 0), each=F.array_repeat(F.lit(""), creatives), spec="IAB VAST 4.1 §3.4.1"),
     ]
 
 
@@ -256,7 +256,7 @@ SYSTEMS = "adsystem;ad system;adserver;ad server;server;system;unknown;test;test
 
 
 def quality() -> list[Rule]:
-    low = F.lower(trimmed(TEXT))
+    low = F.lower(TEXT)
     system = at(f"{INLINE}/AdSystem", f"{WRAPPER}/AdSystem")
     return [
         rule("VAST-2.0-adtitle-quality", "W", BEST, "AdTitle is a placeholder", "AdTitle", at(f"{INLINE}/AdTitle") & among(low, ["", *TITLES]), spec="IAB VAST 2.0 §2"),

@@ -59,7 +59,7 @@ def taxonomy_authority() -> list[Rule]:
 
 def formats() -> list[Rule]:
     media = VISITED & _v4_inside("NonLinear")
-    duration = VISITED & _v4_inside("NonLinear") & (trimmed(TEXT) != "")
+    duration = VISITED & _v4_inside("NonLinear") & (TEXT != "")
     tracking = VISITED & ~inside("Verification")
     event = attr("event")
     wrong = event.isNotNull() & ~valid_tracking_event(event, V)
@@ -67,8 +67,8 @@ def formats() -> list[Rule]:
     linear = at(LINEAR, f"{WRAPPER}/Creatives/Creative/Linear")
     low, high = attr("minBitrate"), attr("maxBitrate")
     return [
-        rule("VAST-2.0-duration-format", "E", SPEC, "Duration is not HH:MM:SS", "Duration", duration & ~is_hhmmss(trimmed(TEXT)), spec="IAB VAST 2.0 §2.3.5.1"),
-        rule("VAST-2.0-duration-zero", "W", BEST, "Duration is zero", "Duration", duration & is_hhmmss(trimmed(TEXT)) & is_zero_duration(trimmed(TEXT)), spec="IAB VAST 2.0 §2.3.5.1"),
+        rule("VAST-2.0-duration-format", "E", SPEC, "Duration is not HH:MM:SS", "Duration", duration & ~is_hhmmss(TEXT), spec="IAB VAST 2.0 §2.3.5.1"),
+        rule("VAST-2.0-duration-zero", "W", BEST, "Duration is zero", "Duration", duration & is_hhmmss(TEXT) & is_zero_duration(TEXT), spec="IAB VAST 2.0 §2.3.5.1"),
         rule("VAST-2.0-mediafile-delivery-enum", "E", XSD, "delivery is neither progressive nor streaming", "MediaFile", media & ~attr("delivery").isin("progressive", "streaming"), suffix="[@delivery]", spec="IAB VAST 2.0 §2.3.5.2"),
         rule("VAST-3.0-minmaxbitrate-pair", "E", SPEC, "one of minBitrate and maxBitrate is missing", "MediaFile", media & (low.isNull() != high.isNull()), spec="IAB VAST 3.0 §2.3.5.2"),
         rule("VAST-3.0-bitrate-conflict", "W", SPEC, "bitrate stands beside minBitrate or maxBitrate", "MediaFile", media & ~lacks("bitrate") & (low.isNotNull() | high.isNotNull()), spec="IAB VAST 3.0 §2.3.5.2"),
@@ -87,7 +87,7 @@ def formats() -> list[Rule]:
 def security() -> list[Rule]:
     here = VAST & (inside("InLine") | inside("Wrapper") | F.col("name").isin("InLine", "Wrapper"))
     tag = at(f"{WRAPPER}/VASTAdTagURI")
-    plain = leaf() & (TEXT != "") & ~F.col("has_cdata") & TEXT.contains(":")
+    plain = leaf() & (TEXT != "") & ~F.col("has_cdata") & TEXT.contains(":")  # most leaves have no URL, which is told without a pattern
     names = " ".join([*URL_ELEMENTS, "MediaFile", "Tracking"])
     others = " ".join([*URL_ELEMENTS, "Tracking"])
     checks = [(here, "pos", names, others), (tag, "sem", "VASTAdTagURI", "VASTAdTagURI")]  # an ad tag is checked a second time
@@ -131,7 +131,7 @@ def simid() -> list[Rule]:
     progressive = any_grand("MediaFiles", lambda g: (g["name"] == "MediaFile") & (g["attr"]["delivery"] == "progressive"))
     started = any_grand("TrackingEvents", lambda g: (g["name"] == "Tracking") & (g["attr"]["event"] == "interactiveStart"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
-    url = trimmed(TEXT)
+    url = TEXT
     data, html = F.coalesce(is_data_uri(url), F.lit(False)), no(attr("type") == "text/html")
     v10, v11 = "IAB SIMID 1.0 §5", "IAB SIMID 1.1 §3.5.1"
     return [
