@@ -296,19 +296,20 @@ def test_inspection_takes_the_last_value(spark):
 
 
 def test_messages_become_verdicts_or_errors(spark, documents, validated, tmp_path):
-    messages = documents.selectExpr("doc_id as request_id", "xml as document", "cast(null as int) as wrapper_depth", "0 as max_wrapper_depth", "cast(null as string) as forced_version", "cast(null as map<string,string>) as rule_overrides", "1 as hit", "2 as first")
+    shape = "request_id string, document string, wrapper_depth int, max_wrapper_depth int, forced_version string, rule_overrides map<string,string>, hit int, first int"
+    messages = spark.createDataFrame([(k, x, None, 0, None, None, 1, 2) for k, (x, _) in CASES.items()], shape)
     more = [
         ("deep", CLEAN, 256, 0, None, None), ("deeper", CLEAN, 0, 999, None, None), ("version", CLEAN, 0, 0, "9.9", None), ("rules", CLEAN, 0, 0, None, {"Z": "off", "A": "off"}),
         ("level", CLEAN, 0, 0, None, {"VAST-2.0-duration-format": "zzz"}), ("large", "<" * (4 << 20) + "<", 0, 0, None, None), ("chain", CLEAN, 6, 0, None, None),
         ("silent", CLEAN.replace("00:00:30", "30s"), 0, 0, None, {"VAST-2.0-duration-format": "off"}), ("soft", CLEAN.replace("00:00:30", "30s"), 0, 0, None, {"VAST-2.0-duration-format": "info"}),
         ("clean", CLEAN, 0, 0, "3.0", None), (None, None, None, None, None, None),
     ]
-    more = spark.createDataFrame([(*m, 1, 2) for m in more], messages.schema)
+    more = spark.createDataFrame([(*m, 1, 2) for m in more], shape)
     messages.unionByName(more).repartition(3).write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
         batch = streaming.validate_messages(spark.read.parquet(str(tmp_path / "in"))).collect()
-        stream = streaming.validate_messages(io.stream_documents(spark, str(tmp_path / "in"), messages.schema))
+        stream = streaming.validate_messages(io.stream_documents(spark, str(tmp_path / "in"), shape))
         query = stream.writeStream.format("memory").queryName("all_verdicts").trigger(availableNow=True).start()
         query.awaitTermination(180)
     finally:
