@@ -125,7 +125,7 @@ def edited_fingerprints(docs: DataFrame, bins: int = 128, bits: int = 8, width:
     with its edited one, ``near_next`` with the next document.
 
     Needs doc_id and text; other columns are ignored. A null text counts as empty: no characters, fingerprint ''. Rows that
-    repeat a doc_id stand by text; null ids come last. No rows give no rows.
+    repeat a doc_id stand by text; null ids come last. No rows give no rows. Very long texts are read whole, in memory in proportion to the longest.
     """
     rows = with_range(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
     # the first row of each range is found before fingerprints are made, which are dear

@@ -144,7 +144,7 @@ def languages(docs: DataFrame, may_learn) -> DataFrame:
 
     Learns from the text and lang of rows that ``may_learn`` (a function of the doc_id column) marks; a prediction depends on
     the text alone. Null and empty texts, and texts without a letter, are ``und``. Repeated rows are predicted alike; no
-    rows give no rows; other columns are ignored.
+    rows give no rows; other columns are ignored. Very long texts are read whole, in memory in proportion to the longest.
     """
     model = train(docs.filter(may_learn(F.col("doc_id"))))
     rows = with_language(docs.select("doc_id", "text"), model).drop("text")

@@ -60,7 +60,7 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, se
     Needs doc_id, text, source; further columns stay. Size is the number of words; null, empty and blank texts have
     0 and are sampled like the others. A null source is a source of its own. A source without words has the target 0 and
     gives nothing. The order is a function of doc_id and size alone, rows that repeat both count one by one.
-    No rows give no rows.
+    No rows give no rows. Very long texts are read whole, in memory in proportion to the longest.
     """
     order = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.withColumn("__size", n_words(F.col("text")))

@@ -55,7 +55,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     in the same lattice with pieces that can't stand side by side kept apart. Characters without a piece become
     their bytes (the unknown id if the model has none). A null or empty text has no ids. Repeated rows are encoded
     alike; a column that has the name already is replaced. ``checked`` names a further column that tells whether decoding
-    the ids gives the text back (null counts as empty).
+    the ids gives the text back (null counts as empty). No rows give no rows. Very long texts are read whole, in memory in proportion to the longest.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # of the size of the model file
     kept = [c for c in docs.columns if c not in (ids, checked)]

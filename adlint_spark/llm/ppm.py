@@ -341,6 +341,7 @@ def lm_scores(docs: DataFrame, may_learn, order: int = 5, max_cells: int = 1 <<
 
     Null, empty and blank texts have one token, the end. Repeated rows are scored alike and each counts in training. Without
     training rows all bytes are alike and no token is known. No rows give no rows; other columns are ignored.
+    Very long texts are read whole, in memory in proportion to the longest.
     """
     model, tokens, cells = train(docs.filter(may_learn(F.col("doc_id"))), order, max_cells, max_head)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -37,7 +37,7 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown: Sequence[f
     are alike.
 
     size is the text's UTF-8 bytes (none for null) plus 8; a null text has a null text_crc32. Rows with a null doc_id
-    share a shard, and are spread over its slices by their text. No rows give no rows; other columns are ignored.
+    share a shard, and are spread over its slices by their text. No rows give no rows; other columns are ignored. Very long texts are read whole, in memory in proportion to the longest.
     """
     grown = [*weights, weights[-1]] if grown is None else grown
     # the slice depends on the text too: rows that share a key don't share a slice
