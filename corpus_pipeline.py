@@ -20,14 +20,20 @@ LEAST_LANGUAGE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be of label 1; it learns from labels outside its held-out fold."""
+    """Documents that the quality classifier predicts to be of label 1; it learns from labels outside its held-out fold.
+
+    Null and empty texts are scored as texts without features; rows that repeat stay or go together; no rows give no rows.
+    """
     labels = table(spark, sf_dir, "labels").filter(held_in(F.col("doc_id"), 5, 0))
     model = quality.train(docs, labels, "quality")
     return quality.with_score(docs.select(COLUMNS), model, "__score").filter(F.col("__score") >= LEAST_QUALITY).select(COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; the classifier learns from text and lang outside its held-out fold."""
+    """Documents in a language that can be told; the classifier learns from text and lang outside its held-out fold.
+
+    Null and empty texts, and those without a letter, go; rows that repeat stay or go together; no rows give no rows.
+    """
     model = langid.train(docs.filter(held_in(F.col("doc_id"), 3, 1)))
     return langid.with_language(docs.select(COLUMNS), model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(COLUMNS)
 
@@ -48,14 +54,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null and empty texts have no words and are sampled like others; rows that repeat count one by one; a null source is one of its own; no rows give no rows.
+    """
     rows = mixed(docs.select(COLUMNS), MIX_WEIGHTS, MIX_MOST)
     copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
     return rows.filter("__copies > 0").select(*COLUMNS, copies.alias("__nth")).drop("__nth")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of each text, and whether decoding them gives the text back."""
+    """doc_id, source, n_tokens and ids of each text, and whether decoding them gives the text back. Null and empty texts have no ids; rows that repeat are encoded alike; no rows give no rows."""
     rows = encode(docs.select("doc_id", "source", "text"), load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"), checked="round_trip")
     return rows.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
