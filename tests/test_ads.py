@@ -465,3 +465,29 @@ def test_sheets_are_clean_without_their_plants(spark, sheet):
     assert all(1 <= n <= len(lines) for p in sheet.plants for n in p.lines)
     rows = spark.createDataFrame([("a", "\n".join(lines).replace("{k}", "1"))], "doc_id string, xml string")
     assert [(r.rule_id, r.path) for r in verdicts.validate(rows)[1].collect()] == []
+
+
+def test_named_elements_are_those_of_the_whole_table(spark):
+    """Elements of some names, and roots where asked for, are the rows that the whole table has of them."""
+    documents = corpus.ad_corpus(spark, "/root/testdata/sf0.001").filter("cast(doc_id as long) < 300")
+    columns = [c for c in shred.NODE_SCHEMA.names if c not in ("attr", "facts", "kids", "grand")]
+    rows = lambda df: sorted(map(repr, df.select(columns).collect()))
+    whole = shred.shred(documents)
+    assert rows(shred.shred(documents, names=["Tracking"], roots=False)) == rows(whole.filter("name = 'Tracking'"))
+    assert rows(shred.shred(documents, names=["Ad"])) == rows(whole.filter("name = 'Ad' or node_id = 0"))
+
+
+def test_texts_of_the_corpus_are_not_shuffled(spark):
+    """Only the tables' short rows are dealt out; nothing is shuffled once there are texts."""
+    plan = corpus.ad_corpus(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert shuffles and all("REPARTITION_BY_NUM" in line for line in shuffles)
+    assert "l_extendedprice" not in plan
+
+
+def test_detection_is_one_projection(spark):
+    """Each projection over the elements copies their wide rows."""
+    documents = spark.createDataFrame([("a", "<VAST/>")], "doc_id string, xml string")
+    plan = verdicts.elements(documents)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert above.count("Project [") == 1
