@@ -58,3 +58,22 @@ def test_kinds_are_few_and_their_members_all_elements(spark):
     every = shred.shred(documents).filter("node_id > 0")
     assert sorted(map(repr, members.filter("node_id > 0").select(place).collect())) == sorted(map(repr, every.select(place).collect()))
     assert shred.shred(documents, kinds=True).count() * 10 < every.count()
+
+
+def test_documents_of_one_shape_are_looked_at_once(monkeypatch):
+    """What follows from a document's elements is found out once for its shape, and is the same."""
+    texts = [planted.ADDENDUM.text.strip().replace("{k}", str(k)) for k in range(20)] + [planted.PORTFOLIO.text.strip().replace("{k}", str(k)) for k in range(20)]
+    texts += [x.replace('creativeId="c1"', 'creativeId="c9"') for x in texts[:2]] + [x.replace("<CreativeId>c2", "<CreativeId>c9") for x in texts[20:22]]
+    looked = []
+    whole = shred._shape
+    monkeypatch.setattr(shred, "_shape", lambda tree: looked.append(1) or whole(tree))
+
+    def rows(shapes):
+        out, known = shred._Rows(), {}
+        for text in texts:
+            out.add(("x", None, None, False, None, 0, 5, None), *shred.parse_plain(text, known), shapes)
+        return out.batch().to_pylist()
+
+    once = rows({})
+    assert len(looked) == 4
+    assert once == rows(None) and len(looked) == 4 + len(texts)
