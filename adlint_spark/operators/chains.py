@@ -26,6 +26,11 @@ def resolve_chains(roots: DataFrame, responses: DataFrame, max_depth: int = 5) -
     return hops.join(chosen, "url", "left").select("root_id", "depth", "url", label.alias("label"), "xml")
 
 
+def last_hops(hops: DataFrame, max_depth: int = 5) -> DataFrame:
+    """The last hop of each chain that ``resolve_chains`` found: a hop tells by itself whether it has a next one."""
+    return hops.filter((F.col("depth") >= max_depth) | first_wrapper_uri(F.col("xml")).isNull())
+
+
 def hop_documents(hops: DataFrame, max_depth: int = 5) -> DataFrame:
     """The hops as documents to validate, all at once."""
     return hops.select(F.concat_ws("#", "root_id", "depth").alias("doc_id"), F.coalesce("xml", F.lit("")).alias("xml"), F.col("depth").alias("wrapper_depth"), F.lit(max_depth).alias("max_wrapper_depth"))
@@ -34,7 +39,7 @@ def hop_documents(hops: DataFrame, max_depth: int = 5) -> DataFrame:
 def chain_report(hops: DataFrame, verdicts: DataFrame, inspected: DataFrame) -> DataFrame:
     """(root_id, hops, errors, worst, last_url, ad_type): for each chain, its length, errors, worst severity, and where it ends in what kind of ad.
 
-    ``verdicts`` and ``inspected`` (doc_id, ad_type) are of ``hop_documents``; a chain that ends without response has no ad_type.
+    ``verdicts`` and ``inspected`` (doc_id, ad_type; of ``last_hops`` at least) are of ``hop_documents``; a chain that ends without response has no ad_type.
     """
     rows = hops.withColumn("doc_id", F.concat_ws("#", "root_id", "depth")).join(verdicts.select("doc_id", "errors", "warnings", "infos"), "doc_id", "left").join(inspected.select("doc_id", "ad_type"), "doc_id", "left")
     worst = F.when(F.max("errors") > 0, "error").when(F.max("warnings") > 0, "warning").when(F.max("infos") > 0, "info").otherwise("none")

@@ -66,3 +66,13 @@ def test_a_document_is_one_row_before_it_is_shuffled_for_inspection(spark):
     assert found["1"] == found["2"] == (None, None, None, None, 0, 0, 0, None)
     assert found["3"] == ("Wrapper", None, None, None, 0, 0, 0, "u") and found["4"][0] is None and found["5"][5] == 1
     assert found["10"] == (None, None, None, None, 0, 1, 0, None)
+
+
+def test_last_hops_are_told_without_a_shuffle(spark):
+    tag = "<VAST><Ad><Wrapper><VASTAdTagURI>{}</VASTAdTagURI></Wrapper></Ad></VAST>"
+    responses = spark.createDataFrame([*((f"u{i}", tag.format(f"u{i + 1}")) for i in range(9)), ("e", "<VAST/>"), ("b", tag.format(" ")), ("d", tag.format("gone")), ("s", tag.format("s"))], "url string, xml string")
+    roots = spark.createDataFrame([(f"r{i}", f"u{i}") for i in range(9)] + [(f"q{u}", u) for u in ("e", "b", "d", "s", "gone")], "root_id string, url string")
+    hops = chains.resolve_chains(roots, responses).localCheckpoint()
+    deepest = {r["root_id"]: r["d"] for r in hops.groupBy("root_id").agg({"depth": "max"}).toDF("root_id", "d").collect()}
+    found = chains.last_hops(hops).select("root_id", "depth").collect()
+    assert len(found) == len(deepest) == 14 and {r["root_id"]: r["depth"] for r in found} == deepest
