@@ -50,3 +50,8 @@ def test_documents_of_a_sheet_are_few_kinds(spark):
     documents = planted.planted_documents(spark, DATA, planted.SHEETS["content"]).coalesce(1)
     kinds = shred.shred(documents, kinds=True)
     assert kinds.count() * 25 < kinds.selectExpr("sum(size(members))").first()[0]
+
+
+def test_documents_of_the_inline_sheet_are_parsed_once():
+    texts = [planted.SHEETS["inline"].text.strip().replace("{k}", str(k)) for k in range(1000, 1050)]
+    assert len(set(shred._Alike().keys(pa.array(texts), [OWN] * 50))) == 1
