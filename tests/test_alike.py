@@ -55,3 +55,8 @@ def test_documents_of_a_sheet_are_few_kinds(spark):
 def test_documents_of_the_inline_sheet_are_parsed_once():
     texts = [planted.SHEETS["inline"].text.strip().replace("{k}", str(k)) for k in range(1000, 1050)]
     assert len(set(shred._Alike().keys(pa.array(texts), [OWN] * 50))) == 1
+
+
+def test_documents_of_the_portfolio_sheet_are_parsed_once():
+    texts = [planted.SHEETS["ctv_portfolio"].text.strip().replace("{k}", str(k)) for k in range(1000, 1050)]
+    assert len(set(shred._Alike().keys(pa.array(texts), [OWN] * 50))) == 1
