@@ -94,3 +94,17 @@ def test_messages_are_folded_by_their_number(spark):
         wanted[f["doc_id"]].append((f["rule_id"], f["path"] or "", f["line"] or 0, f["col"] or 0))
         errors[f["doc_id"]] += f["severity"] == "error"
     assert sorted((r, e, repr(f)) for r, e, _, f in said) == sorted((ids[d], errors[d], repr(sorted(f))) for d, f in wanted.items())
+
+
+def test_repairs_without_their_report_are_the_same(spark):
+    from adlint_spark.operators import fix
+    from adlint_spark.sources import corpus
+
+    texts = [r["xml"] for r in corpus.ad_corpus(spark, DATA).limit(300).collect()]
+    texts += [None, "", "HTTP://a", "<a>http://b</a>", "<MediaFile>hTTp://b</MediaFile>", "<Wrapper><VASTAdTagURI> http://x </VASTAdTagURI></Wrapper>", "<NonLinear apiFramework='simid'/>", "<Ad conditionalAd='1'>http://x</Ad>", "<MediaFile>http://é</MediaFile>"]
+    documents = spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "doc_id string, xml string").coalesce(1)
+    told = {r["doc_id"]: (r["xml"], {a["rule_id"]: a["n"] for a in r["applied"] or ()}) for r in fix.fix(documents).collect()}
+    wanted = {str(k): (None, {}) if x is None else fix.repaired(x) for k, x in enumerate(texts)}
+    assert told == wanted
+    silent = fix.fix(documents, told=False)
+    assert silent.columns == ["doc_id", "xml"] and {r["doc_id"]: r["xml"] for r in silent.collect()} == {d: x for d, (x, _) in wanted.items()}
